@@ -69,7 +69,7 @@ def first_setting(*settings: Column) -> Column:
 
 def csv_list(setting: Column) -> Column:
     """Trimmed, non-empty entries of a comma-separated setting."""
-    entries = F.transform(F.split(F.coalesce(setting, F.lit("")), ","), F.trim)
+    entries = F.transform(F.split(F.coalesce(setting, F.lit("")), ","), lambda entry: F.trim(entry))
     return F.filter(entries, lambda entry: entry != "")
 
 

@@ -7,17 +7,14 @@ folder. Readers collapse the log; ``compact`` writes the collapsed log to a new
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from jobmetrics.operators.skew import top_per_key
-from jobmetrics.operators.state import collapse
+from jobmetrics.operators.state import changed_steps, collapse
 
 REFRESH = "8 seconds"
 MAX_FAILURES = 10
@@ -80,25 +77,27 @@ def failure_counts(rejects: DataFrame, limit: int = MAX_FAILURES) -> DataFrame:
     return counts.withColumn("tracked", F.col("n_failed") < limit)
 
 
-def changed_steps_stream(updates: DataFrame, seq: Sequence[str]) -> DataFrame:
-    """Streaming form of ``changed_steps``: the last status of each step is kept between micro-batches.
+def changed_steps_stream(
+    updates: DataFrame, out: str, log: str, checkpoint: str, seq: Sequence[str], bucket: str, refresh: str | None = REFRESH
+) -> StreamingQuery:
+    """Streaming form of ``changed_steps``, written to ``out`` batch by batch.
 
-    The rows of a step in one micro-batch are put in order by ``seq``; bound the batches (maxFilesPerTrigger,
-    maxOffsetsPerTrigger) so that the busiest step of a batch fits in a task.
+    The last status of each step is kept in ``log`` as one narrow row per step and batch. Inside a batch the rows
+    of a step are put in order by slices, as in the batch form; only the first of them needs the kept status.
     """
-    schema = T.StructType([*updates.schema.fields, T.StructField("previous_status", T.StringType())])
-    order = list(seq)
-
-    def changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(frames, ignore_index=True).sort_values(order, kind="stable")
-        first = state.get[0] if state.exists else None
-        previous = rows["step_status"].shift(1)
-        previous.iloc[0] = first
-        state.update((rows["step_status"].iloc[-1],))
-        changed = previous.isna() | (rows["step_status"] == "RUNNING") | (rows["step_status"] != previous)
-        yield rows.assign(previous_status=previous.where(previous.notna(), None))[changed]
-
-    return updates.groupBy("step_id").applyInPandasWithState(
-        changes, schema, "step_status string", "append", GroupStateTimeout.NoTimeout
-    )
+    spark = updates.sparkSession
+    none = updates.select("step_id", "step_status", *seq)
+    spark.createDataFrame([], none.schema).write.mode("ignore").parquet(f"{log}/{BATCH}=-1")
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        earlier = spark.read.schema(none.schema).parquet(log).filter(F.col(BATCH) < batch_id)
+        known = earlier.groupBy("step_id").agg(F.max_by("step_status", F.struct(BATCH, *seq)).alias("known_status"))
+        changes = changed_steps(batch, seq, bucket, known)
+        changes.write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
+        position = F.struct(*seq)
+        last = batch.groupBy("step_id").agg(F.max_by(F.struct("step_status", *seq), position).alias("_row"))
+        last.select("step_id", "_row.*").write.mode("overwrite").parquet(f"{log}/{BATCH}={batch_id}")
+        batch.unpersist()
+
+    return _start(updates.writeStream.foreachBatch(write), checkpoint, refresh)
