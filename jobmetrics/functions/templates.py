@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -32,6 +33,20 @@ def fill_named(template: Column, values: Mapping[str, Column]) -> Column:
     return _restore(out)
 
 
+def fill_fixed(template: str, values: Mapping[str, Column]) -> Column:
+    """``fill_named`` for a template that is known when the plan is made: one concatenation."""
+    pieces = []
+    for piece in re.split(r"(`%|%\{[^}]*\})", template):
+        if piece == "`%":
+            pieces.append(F.lit("%"))
+        elif re.fullmatch(r"%\{[^}]*\}", piece):
+            if piece[2:-1] in values:
+                pieces.append(F.coalesce(values[piece[2:-1]].cast("string"), F.lit("")))
+        elif piece:
+            pieces.append(F.lit(piece))
+    return F.concat(*pieces)
+
+
 def fill_positional(template: Column, values: Sequence[Column]) -> Column:
     """Replace each ``%`` by the next value; none left gives nothing."""
     parts = F.split(_guard(template), "%")
@@ -54,16 +69,10 @@ def _with_groups(text: Column, pattern: str, template: str, groups: int) -> Colu
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces])
 
 
-def _group_count(pattern: str) -> int:
-    import re
-
-    return re.compile(pattern).groups
-
-
 def regex_map(text: Column, rules: Sequence[tuple[str, str]], default: Column) -> Column:
     """Apply ordered (pattern, template) rules. The last matching rule gives the whole result."""
     out = default
     for pattern, template in rules:
-        filled = _with_groups(text, pattern, template, _group_count(pattern))
+        filled = _with_groups(text, pattern, template, re.compile(pattern).groups)
         out = F.when(text.rlike(pattern), filled).otherwise(out)
     return out

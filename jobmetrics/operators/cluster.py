@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobmetrics.functions.names import args_array, user_link, without_prefix
-from jobmetrics.functions.templates import fill_named, regex_map
+from jobmetrics.functions.templates import fill_fixed, regex_map
 
 DEFAULT_LINK = "%{schemeWithSlashes}%{host}:%{port}%{path}"
 ARGS_KEY = "scalding.job.args"
@@ -60,8 +60,8 @@ def describe_flows(flows: DataFrame, config: ServerConfig, mapping: DataFrame |
 
 
 def link(config: ServerConfig, host: Column, port: str, path: Column, scheme: str = "//") -> Column:
-    return fill_named(
-        F.lit(config.cluster_link_template),
+    return fill_fixed(
+        config.cluster_link_template,
         {
             "schemeWithSlashes": F.lit(scheme),
             "host": regex_map(host, config.cluster_link_host_regexes, host),

@@ -59,8 +59,8 @@ def topo_order(edges: DataFrame) -> DataFrame:
 
 
 def _core(edges: DataFrame) -> tuple[DataFrame, int]:
-    """Edges left after pruning ends without incoming or without outgoing edges, over and over."""
-    left = cut(edges)
+    """Materialised edges without those that lead from or to a dead end, pruned over and over."""
+    left = edges
     size = left.count()
     while size:
         sources = left.select("flow_id", F.col("src_stage").alias("dest_stage")).distinct()
@@ -75,7 +75,8 @@ def _core(edges: DataFrame) -> tuple[DataFrame, int]:
 
 def acyclic_flows(edges: DataFrame) -> DataFrame:
     """Rows (flow_id, is_acyclic); an edge from a vertex to itself is a cycle too."""
-    core, size = _core(edges.select(*EDGE).distinct())
+    edges = cut(edges.select(*EDGE).distinct())
+    core, size = _core(edges)
     cyclic = core.select("flow_id").distinct().withColumn("is_acyclic", F.lit(False))
     every = edges.select("flow_id").distinct()
     if not size:
@@ -113,7 +114,7 @@ def cycle_steps(edges: DataFrame) -> DataFrame:
     largest vertex that reaches each vertex; a vertex with its own colour is a root, and what reaches the root
     inside its colour is the root's component. Components are taken out and the rest goes into the next round.
     """
-    proper = edges.select(*EDGE).filter("src_stage <> dest_stage").distinct()
+    proper = cut(edges.select(*EDGE).filter("src_stage <> dest_stage").distinct())
     found = []
     core, size = _core(proper)
     while size:
@@ -137,7 +138,7 @@ def cycle_steps(edges: DataFrame) -> DataFrame:
         gone = members.select("flow_id", "stage")
         rest = core.join(gone.withColumnRenamed("stage", "src_stage"), ["flow_id", "src_stage"], "left_anti")
         rest = rest.join(gone.withColumnRenamed("stage", "dest_stage"), ["flow_id", "dest_stage"], "left_anti")
-        core, size = _core(rest.select(*EDGE))
+        core, size = _core(cut(rest.select(*EDGE)))
     if not found:
         return vertices(proper).withColumn("cycle_id", F.col("stage")).limit(0)
     components = reduce(DataFrame.unionByName, found)
@@ -151,8 +152,9 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps (Kiveris et al., 2014): each links neighbours to the smallest
     vertex around, and the number of rounds grows with the logarithm of the size, not with the diameter.
     """
-    pairs = edges.select("flow_id", F.col("src_stage").alias("u"), F.col("dest_stage").alias("v")).filter("u <> v")
-    pairs = cut(pairs.select("flow_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = cut(edges.select(*EDGE).distinct())
+    high, low = F.greatest("src_stage", "dest_stage"), F.least("src_stage", "dest_stage")
+    pairs = edges.select("flow_id", high.alias("u"), low.alias("v")).filter("u <> v")
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         """Neighbours above (large) or not above (small) each vertex are linked to the smallest vertex around it."""
@@ -230,5 +232,5 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str | None = No
         state = state.drop("_new")
         if frontier.isEmpty():
             break
-    every = vertices(edges).join(sources.select("flow_id", "source").distinct(), "flow_id")
+    every = vertices(hops).join(sources.select("flow_id", "source").distinct(), "flow_id")
     return every.join(state, keys, "left").select(*keys, "best.distance", "best.predecessor")

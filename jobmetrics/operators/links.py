@@ -41,9 +41,7 @@ def step_links(steps: DataFrame, flows: DataFrame, config: ServerConfig = Server
     finished = link(config, history_host, HISTORY_PORT, F.concat(F.lit("/jobhistory/job/job_"), number))
     live = link(config, history_host, APPLICATION_PORT, F.concat(F.lit("/proxy/application_"), number))
     log = F.when(status.isin(COMPLETED), finished).otherwise(live)
-    attempts = F.concat(
-        F.substring_index(log, "/job/", 1), F.lit("/attempts/"), F.regexp_replace(log, r"^.*?/job/", "")
-    )
+    attempts = F.regexp_replace(finished, r"^(.*?)/job/", "$1/attempts/")
     app = link(config, manager, APPLICATION_PORT, F.concat(F.lit("/cluster/app/"), names.application_id(job_id)))
     legacy_path = F.concat(F.lit("/jobdetails.jsp?jobid="), job_id, F.lit("&refresh=0"))
     legacy = link(config, manager, LEGACY_PORT, legacy_path, "http://")

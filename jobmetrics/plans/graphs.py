@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from jobmetrics.operators import graph
 from jobmetrics.plans.registry import query
-from jobmetrics.runtime import scratch_path
+from jobmetrics.runtime import cut, scratch_path
 from jobmetrics.sources.text import dot_edges, dot_vertices, read_dot
 
 WALKS = """select flow_id, src_stage as stage, 0 as level from edges union
@@ -107,8 +107,9 @@ def weighted_edges(t):
     },
 )
 def _(t):
-    sources = t.edges.groupBy("flow_id").agg(F.min("src_stage").alias("source"))
-    return graph.shortest_paths(weighted_edges(t), sources, "weight")
+    edges = cut(weighted_edges(t))
+    sources = edges.groupBy("flow_id").agg(F.min("src_stage").alias("source"))
+    return graph.shortest_paths(edges, sources, "weight")
 
 
 @query(
@@ -124,9 +125,10 @@ def _(t):
 )
 def _(t):
     """Hop distances from every step that nothing feeds."""
-    fed = t.edges.select("flow_id", F.col("dest_stage").alias("src_stage")).distinct()
-    roots = t.edges.join(fed, ["flow_id", "src_stage"], "left_anti").select("flow_id", F.col("src_stage").alias("source"))
-    return graph.shortest_paths(t.edges, roots.distinct())
+    edges = cut(t.edges)
+    fed = edges.select("flow_id", F.col("dest_stage").alias("src_stage")).distinct()
+    roots = edges.join(fed, ["flow_id", "src_stage"], "left_anti").select("flow_id", F.col("src_stage").alias("source"))
+    return graph.shortest_paths(edges, roots.distinct())
 
 
 # DOT text: node names differ from stages, and ids are hexadecimal.

@@ -163,7 +163,8 @@ class Tables:
 
     @cached_property
     def step_keys(self) -> DataFrame:
-        return self.raw("lineitem").selectExpr("cast(l_orderkey as string) as flow_id", "l_linenumber as step_number").distinct()
+        keys = self.raw("lineitem").select("l_orderkey", "l_linenumber").distinct()
+        return keys.selectExpr("cast(l_orderkey as string) as flow_id", "l_linenumber as step_number")
 
     @cached_property
     def taps(self) -> DataFrame:
