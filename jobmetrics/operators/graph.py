@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobmetrics.operators.skew import rank_in_slices
+from jobmetrics.operators.skew import rank_in_slices, rekeyed
 from jobmetrics.runtime import cut
 
 EDGE = ["flow_id", "src_stage", "dest_stage"]
@@ -29,7 +29,8 @@ def vertices(edges: DataFrame) -> DataFrame:
 
 
 def _targets(edges: DataFrame) -> DataFrame:
-    return edges.select("flow_id", F.col("dest_stage").alias("src_stage")).distinct()
+    ends = edges.select("flow_id", F.col("dest_stage").alias("src_stage")).distinct()
+    return rekeyed(ends, ["flow_id", "src_stage"])
 
 
 def dag_levels(edges: DataFrame) -> DataFrame:
@@ -64,6 +65,7 @@ def _core(edges: DataFrame) -> tuple[DataFrame, int]:
     size = left.count()
     while size:
         sources = left.select("flow_id", F.col("src_stage").alias("dest_stage")).distinct()
+        sources = rekeyed(sources, ["flow_id", "dest_stage"])
         kept = left.join(_targets(left), ["flow_id", "src_stage"], "left_semi")
         kept = cut(kept.join(sources, ["flow_id", "dest_stage"], "left_semi").select(*EDGE))
         kept_size = kept.count()
@@ -88,9 +90,9 @@ def _spread(state: DataFrame, edges: DataFrame, better: Column, value: str) -> D
     """Push ``value`` along the edges until no vertex improves. Only improved vertices push in the next round."""
     frontier = state
     while True:
+        pushing = rekeyed(frontier.withColumnRenamed("stage", "src_stage"), ["flow_id", "src_stage"])
         offers = (
-            frontier.withColumnRenamed("stage", "src_stage")
-            .join(edges, ["flow_id", "src_stage"])
+            edges.join(pushing, ["flow_id", "src_stage"])
             .groupBy("flow_id", F.col("dest_stage").alias("stage"))
             .agg(F.max(value).alias("_offer"))
         )
@@ -165,7 +167,7 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             around = pairs.select("flow_id", ends.alias("e")).select("flow_id", "e.*")
         least = around.groupBy("flow_id", "at").agg(F.least(F.min("other"), F.col("at")).alias("low"))
-        joined = around.join(least, ["flow_id", "at"])
+        joined = around.join(rekeyed(least, ["flow_id", "at"]), ["flow_id", "at"])
         if large:
             linked = joined.filter("other > at").select("flow_id", F.col("other").alias("u"), F.col("low").alias("v"))
         else:

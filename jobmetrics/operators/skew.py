@@ -1,8 +1,8 @@
 """Per-key work that stays spread out when one key holds a large part of the rows.
 
 Each helper bounds what one task sees of a key: ranking filters are cut down before the shuffle, windows run
-inside (key, bucket) slices with the slices stitched together from small aggregates, and documents are built
-from chunks of bounded size.
+inside (key, bucket) slices with the slices stitched together from small aggregates, joins with one row per key
+can be split by adaptive execution, and documents are built from chunks of bounded size.
 """
 
 from __future__ import annotations
@@ -11,6 +11,23 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def rekeyed(per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``per_key``, ready to be joined with many rows per key.
+
+    An aggregate is already partitioned by its keys, and Spark would join it in place. Adaptive execution splits
+    an oversized partition only where both sides of a join come straight from a shuffle, so the keys are made
+    new expressions, which moves the small side once more.
+    """
+
+    def same(key: str) -> Column:
+        if isinstance(per_key.schema[key].dataType, T.StringType):
+            return F.concat(key, F.lit(""))
+        return F.bitwise_not(F.bitwise_not(key))
+
+    return per_key.withColumns({key: same(key) for key in keys})
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
@@ -25,23 +42,29 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
 
 def lag_in_slices(
-    df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], value: str, name: str
+    df: DataFrame,
+    keys: Sequence[str],
+    bucket: str,
+    order: Sequence[str],
+    value: str,
+    name: str,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
     """``lag(value)`` per key, where ``bucket`` cuts the order into consecutive slices.
 
     Inside a slice a window does it. The first row of a slice takes the last value of the nearest slice
-    before it, found in a table with one row per (key, slice).
+    before it, found in a table with one row per (key, slice). ``initial`` has the keys and ``value`` before
+    the first row; it only meets that table.
     """
     slice_keys = [*keys, bucket]
     position = F.struct(*order)
     inside = Window.partitionBy(*slice_keys).orderBy(*order)
     across = Window.partitionBy(*keys).orderBy(bucket)
-    before = (
-        df.groupBy(*slice_keys)
-        .agg(F.max_by(F.struct(value), position).alias("_last"))
-        .withColumn("_before", F.lag("_last").over(across))
-        .drop("_last")
-    )
+    before = df.groupBy(*slice_keys).agg(F.max_by(F.struct(value), position).alias("_last"))
+    before = before.withColumn("_before", F.lag("_last").over(across)).drop("_last")
+    if initial is not None:
+        start = initial.select(*keys, F.struct(value).alias("_start"))
+        before = before.join(start, list(keys), "left").withColumn("_before", F.coalesce("_before", "_start")).drop("_start")
     return (
         df.withColumn("_inside", F.lag(F.struct(value)).over(inside))
         .join(before, slice_keys, "left")
@@ -70,10 +93,16 @@ def rank_in_slices(df: DataFrame, keys: Sequence[str], bucket: Sequence[str], or
 
 
 def with_chunk(df: DataFrame, keys: Sequence[str], spread: Sequence[str], rows: int) -> DataFrame:
-    """Number the rows of each key into chunks of about ``rows`` rows. Keys that fit get the single chunk 0."""
-    sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).alias("_chunks"))
+    """Number the rows of each key into chunks of about ``rows`` rows. Keys that fit get the single chunk 0.
+
+    Only keys that need several chunks are looked up, at most one for each ``rows`` rows of input. The result
+    is moved by (keys, chunk), as grouping by those would otherwise stay within the partitions of the keys.
+    """
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > rows)
+    chunks = F.ceil(F.col("_size") / F.lit(rows))
     return (
-        df.join(sizes, list(keys))
-        .withColumn("chunk", F.pmod(F.xxhash64(*spread), F.col("_chunks")).cast("int"))
-        .drop("_chunks")
+        df.join(rekeyed(large, keys), list(keys), "left")
+        .withColumn("chunk", F.coalesce(F.pmod(F.xxhash64(*spread), chunks), F.lit(0)).cast("int"))
+        .drop("_size")
+        .repartition(*keys, "chunk")
     )

@@ -89,14 +89,8 @@ def changed_steps(updates: DataFrame, seq: Sequence[str], bucket: str, known: Da
     """Updates worth sending: the first one of a step, running ones, and those that change the status.
 
     ``bucket`` cuts the arrival order into slices (a day, say), so the history of one busy step is spread out.
-    ``known`` (step_id, known_status) gives the last status before these updates.
+    ``known`` (step_id, step_status) gives the last status before these updates.
     """
-    seen = lag_in_slices(updates, ["step_id"], bucket, seq, "step_status", "previous_status")
-    if known is not None:
-        seen = (
-            seen.join(known, "step_id", "left")
-            .withColumn("previous_status", F.coalesce("previous_status", "known_status"))
-            .drop("known_status")
-        )
+    seen = lag_in_slices(updates, ["step_id"], bucket, seq, "step_status", "previous_status", known)
     status, previous = F.col("step_status"), F.col("previous_status")
     return seen.filter(previous.isNull() | (status == RUNNING_STEP) | (status != previous))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from jobmetrics.operators.skew import top_per_key
+from jobmetrics.operators.skew import rekeyed, top_per_key
 from jobmetrics.operators.state import changed_steps, collapse
 
 REFRESH = "8 seconds"
@@ -68,7 +68,7 @@ def within_tolerance(updates: DataFrame, failures: DataFrame, seq: str, limit: i
         .drop("_n")
     )
     kept = F.col("_stop").isNull() | (F.col(seq) < F.col("_stop"))
-    return updates.join(stops, "flow_id", "left").filter(kept).drop("_stop")
+    return updates.join(rekeyed(stops, ["flow_id"]), "flow_id", "left").filter(kept).drop("_stop")
 
 
 def failure_counts(rejects: DataFrame, limit: int = MAX_FAILURES) -> DataFrame:
@@ -92,7 +92,7 @@ def changed_steps_stream(
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         earlier = spark.read.schema(none.schema).parquet(log).filter(F.col(BATCH) < batch_id)
-        known = earlier.groupBy("step_id").agg(F.max_by("step_status", F.struct(BATCH, *seq)).alias("known_status"))
+        known = earlier.groupBy("step_id").agg(F.max_by("step_status", F.struct(BATCH, *seq)).alias("step_status"))
         changes = changed_steps(batch, seq, bucket, known)
         changes.write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
         position = F.struct(*seq)
