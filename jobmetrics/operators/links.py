@@ -15,14 +15,30 @@ HISTORY_PORT, APPLICATION_PORT, LEGACY_PORT = "19888", "8088", "50030"
 CLIENT_LOGS = "Client Logs"
 
 
-def _entry(name: Column, url: Column) -> Column:
-    return F.struct(name.alias("name"), url.alias("url"))
+_ENTRY = "struct<name:string,url:string,custom:string>"
 
 
-def custom_links(text: Column, values: dict[str, Column]) -> Column:
-    """Entries ``name|template`` of a list split at semicolons, as (name, url). Other shapes are left out."""
-    pairs = F.filter(F.transform(F.split(text, ";"), lambda x: F.split(x, r"\|")), lambda p: F.size(p) == 2)
-    return F.transform(pairs, lambda p: _entry(F.replace(p[0], F.lit("+"), F.lit(" ")), F.concat(F.lit("//"), fill_named(p[1], values))))
+def _entry(name: str, url: Column) -> Column:
+    return F.struct(F.lit(name).alias("name"), url.alias("url"), F.lit(None).cast("string").alias("custom"))
+
+
+def _link_rows(df: DataFrame, fixed: list[Column], text: str, values: dict[str, Column], keep: list[str]) -> DataFrame:
+    """Rows (keep..., name, url): the ``fixed`` links that are not null, and the entries ``name|template`` of the
+    list ``text``, which is split at semicolons. Entries of another shape are left out.
+
+    Templates are filled after the entries have become rows, where the expressions are compiled.
+    """
+    entries = F.transform(
+        F.split(text, ";"), lambda x: F.struct(F.lit(None).alias("name"), F.lit(None).alias("url"), x.alias("custom")).cast(_ENTRY)
+    )
+    none = F.array().cast(f"array<{_ENTRY}>")
+    fixed_links = F.array_compact(F.array(*fixed)) if fixed else none
+    rows = df.select("*", F.explode(F.concat(fixed_links, F.coalesce(entries, none))).alias("l"))
+    pair = F.split("l.custom", r"\|")
+    rows = rows.filter(F.col("l.custom").isNull() | (F.size(pair) == 2))
+    name = F.coalesce("l.name", F.replace(pair[0], F.lit("+"), F.lit(" ")))
+    url = F.coalesce("l.url", F.concat(F.lit("//"), fill_named(pair[1], values)))
+    return rows.select(*keep, name.alias("name"), url.alias("url"))
 
 
 def _values(with_stage: bool) -> dict[str, Column]:
@@ -49,30 +65,24 @@ def step_links(steps: DataFrame, flows: DataFrame, config: ServerConfig = Server
     launched = job_id.isNotNull() & (job_id != names.NO_JOB_ID)
     yarn = launched & (F.col("yarn_job_history") != names.NOT_YARN)
     failed = yarn & (status == "FAILED")
-    fixed = F.array(
-        F.when(yarn, _entry(F.lit("View Hadoop Logs"), log)),
-        F.when(failed & (F.col("failed_map_tasks") > 0), _entry(F.lit("Failed Map Tasks"), F.concat(attempts, F.lit("/m/FAILED")))),
+    fixed = [
+        F.when(yarn, _entry("View Hadoop Logs", log)),
+        F.when(failed & (F.col("failed_map_tasks") > 0), _entry("Failed Map Tasks", F.concat(attempts, F.lit("/m/FAILED")))),
         F.when(
             failed & (F.col("failed_reduce_tasks") > 0),
-            _entry(F.lit("Failed Reduce Tasks"), F.concat(attempts, F.lit("/r/FAILED"))),
+            _entry("Failed Reduce Tasks", F.concat(attempts, F.lit("/r/FAILED"))),
         ),
-        F.when(yarn, _entry(F.lit("ApplicationMaster"), app)),
-        F.when(launched & ~yarn, _entry(F.lit("View Hadoop Logs"), legacy)),
-    )
-    custom = custom_links(F.col("extra_links"), _values(True))
-    none = F.filter(fixed, lambda _: F.lit(False))
-    links = F.concat(F.array_compact(fixed), F.coalesce(custom, none))
+        F.when(yarn, _entry("ApplicationMaster", app)),
+        F.when(launched & ~yarn, _entry("View Hadoop Logs", legacy)),
+    ]
     wanted = ["flow_id", "step_number", "step_status", "job_id", "failed_map_tasks", "failed_reduce_tasks", "extra_links"]
     joined = steps.select(*wanted).join(flows.select(*_FLOW_FIELDS), "flow_id")
-    return joined.select("flow_id", "step_number", "flow_status", F.explode(links).alias("l")).select(
-        "flow_id", "step_number", "flow_status", "l.*"
-    )
+    return _link_rows(joined, fixed, "extra_links", _values(True), ["flow_id", "step_number", "flow_status"])
 
 
 def flow_links(flows: DataFrame) -> DataFrame:
     """Custom links of the flows themselves."""
-    custom = custom_links(F.col("flow_links"), _values(False))
-    return flows.select("flow_id", F.explode(custom).alias("l")).select("flow_id", "l.*")
+    return _link_rows(flows, [], "flow_links", _values(False), ["flow_id"])
 
 
 def failure_links(steps: DataFrame, flows: DataFrame, config: ServerConfig = ServerConfig()) -> DataFrame:
