@@ -14,7 +14,9 @@ from jobmetrics.operators.cluster import ARGS_KEY, ServerConfig, describe_flows
 from jobmetrics.operators.skew import latest_per_key, with_chunk
 from jobmetrics.schemas import FLOW_DOC, NULLABLE_COUNTERS, STEP_COUNTERS, STEP_DOC, TOTAL_ONLY_COUNTERS
 
-LINKS_KEY = "sahale.additional.links"
+# Settings of the tracker itself start with a prefix that the deployment chooses.
+TRACKER_PREFIX = "tracker."
+LINKS_KEY = "additional.links"
 DESCRIPTION_KEY = "scalding.step.descriptions"
 
 
@@ -115,12 +117,17 @@ def descriptions(steps: DataFrame) -> DataFrame:
     return steps.withColumn("description", F.coalesce(F.col("config_props")[DESCRIPTION_KEY], F.lit("")))
 
 
+def step_settings(steps: DataFrame, prefix: str = TRACKER_PREFIX) -> DataFrame:
+    """Columns description and extra_links from the settings of the steps, as links and graph rows need them."""
+    return descriptions(steps).withColumn("extra_links", F.col("config_props")[prefix + LINKS_KEY])
+
+
 def word_columns(words: DataFrame, word: str, count: str) -> DataFrame:
     """Rename the columns of a word list and make the count a long."""
     return words.withColumnsRenamed({"word": word, "count": count}).withColumn(count, F.col(count).cast("bigint"))
 
 
-def flow_defaults(flows: DataFrame, fallback_user: str) -> DataFrame:
+def flow_defaults(flows: DataFrame, fallback_user: str, prefix: str = TRACKER_PREFIX) -> DataFrame:
     """Flow columns from its settings (map ``config_props``), with the defaults of a new flow."""
     prop = F.col("config_props")
     return flows.withColumns(
@@ -128,11 +135,11 @@ def flow_defaults(flows: DataFrame, fallback_user: str) -> DataFrame:
             "jt_url": names.manager_host(
                 names.first_setting(prop["yarn.resourcemanager.webapp.address"], prop["mapred.job.tracker"])
             ),
-            "user_name": F.coalesce(prop["sahale.custom.user.name"], F.lit(fallback_user)),
+            "user_name": F.coalesce(prop[prefix + "custom.user.name"], F.lit(fallback_user)),
             "tmp_dir": F.coalesce(prop["hadoop.tmp.dir"], F.lit(names.DEFAULT_TMP_DIR)),
             "yarn_job_history": F.coalesce(prop["mapreduce.jobhistory.webapp.address"], F.lit(names.NOT_YARN)),
             "hdfs_working_dir": names.first_setting(prop["mapreduce.job.working.dir"]),
-            "flow_links": names.first_setting(prop["sahale.flow.links"]),
+            "flow_links": names.first_setting(prop[prefix + "flow.links"]),
             "cascade_id": names.first_setting(F.col("cascade_id")),
         }
     )

@@ -15,8 +15,8 @@ from jobmetrics.sources.store import TableNames, load_store, write_table
 from jobmetrics.streaming import feeds as streams
 
 
-def envelope(df, body, received, seq):
-    return df.select("flow_id", received.alias("received"), seq.cast("bigint").alias("seq"), body.alias("body"))
+def envelope(df, body, received, seq, *more):
+    return df.select("flow_id", received.alias("received"), seq.cast("bigint").alias("seq"), body.alias("body"), *more)
 
 
 def posted(t, df, name):
@@ -68,10 +68,10 @@ def _(t):
     return feeds.read_edges(t.spark, path).select("flow_id", "src_stage", "dest_stage")
 
 
-def agg_envelopes(t):
+def agg_envelopes(t, *more):
     metrics = F.create_map(F.lit("value"), F.col("metric"), F.lit("user"), F.col("flow_id").cast("double"))
     body = F.struct("flow_id", "epoch_ms", metrics.alias("agg_json"))
-    return envelope(t.agg, body, F.floor(F.col("epoch_ms") / 1000).cast("bigint"), F.col("seq"))
+    return envelope(t.agg, body, F.floor(F.col("epoch_ms") / 1000).cast("bigint"), F.col("seq"), *more)
 
 
 @query("s4_read_agg", "select flow_id, epoch_ms, metric, cast(flow_id as double) as user, seq from agg")
@@ -91,30 +91,30 @@ def _(t):
     return load_store(t.spark, root, names).flows.filter("create_date > 946684800")
 
 
-# Every 17th report is cut short.
+# The reports of failed updates are cut short.
 @query(
     "r3_failure_counts",
-    "select flow_id, count(*) as n_failed, count(*) < 3 as tracked from agg where seq % 17 = 0 group by flow_id",
+    "select flow_id, count(*) as n_failed, count(*) < 10 as tracked from agg where kind = 'error' group by flow_id",
 )
 def _(t):
     path = scratch_path(t.spark, "broken-feed")
     text = F.to_json(F.struct("*"))
-    broken = F.when(F.col("seq") % 17 == 0, F.concat(F.lit('{"flow_id":"'), "flow_id", F.lit('","body":{"x')))
-    agg_envelopes(t).select(F.coalesce(broken, text).alias("value")).write.text(path)
+    broken = F.when(F.col("kind") == "error", F.concat(F.lit('{"flow_id":"'), "flow_id", F.lit('","body":{"x')))
+    agg_envelopes(t, "kind").select(F.coalesce(broken, text).alias("value")).write.text(path)
     _, rejects = feeds.split_rejects(feeds.read_feed(t.spark, path, AGG_DOC))
     # A cut report still names its flow in the text that was kept.
     named = rejects.withColumn("flow_id", F.regexp_extract(feeds.CORRUPT, r'"flow_id":"(\d+)"', 1))
-    return streams.failure_counts(named, 3)
+    return streams.failure_counts(named)
 
 
 @query(
     "r3_within_tolerance",
-    """select a.flow_id, a.epoch_ms, a.seq from agg a left join (select flow_id, seq as stop from agg where seq % 17 = 0
-        qualify row_number() over (partition by flow_id order by seq) = 3) s using (flow_id) where stop is null or seq < stop""",
+    """select a.flow_id, a.epoch_ms, a.seq from agg a left join (select flow_id, seq as stop from agg where kind = 'error'
+        qualify row_number() over (partition by flow_id order by seq) = 10) s using (flow_id) where stop is null or seq < stop""",
 )
 def _(t):
-    failures = t.agg.filter("seq % 17 = 0")
-    return streams.within_tolerance(t.agg, failures, "seq", 3).select("flow_id", "epoch_ms", "seq")
+    failures = t.agg.filter("kind = 'error'")
+    return streams.within_tolerance(t.agg, failures, "seq").select("flow_id", "epoch_ms", "seq")
 
 
 def stream_of(t, name):

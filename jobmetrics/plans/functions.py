@@ -182,7 +182,7 @@ def _(t):
     props = F.array(
         F.when(c % 3 == 1, entry("yarn.resourcemanager.webapp.address", F.concat(F.lit("yarn"), text, F.lit(":8088")))),
         F.when(c % 3 != 0, entry("mapred.job.tracker", F.concat(F.lit("jt"), text, F.lit(":9001")))),
-        F.when(c % 2 == 0, entry("sahale.custom.user.name", F.concat(F.lit("user"), text))),
+        F.when(c % 2 == 0, entry(unpack.TRACKER_PREFIX + "custom.user.name", F.concat(F.lit("user"), text))),
         F.when(c % 5 == 0, entry("hadoop.tmp.dir", F.lit("/scratch"))),
     )
     flows = t.flows.select("flow_id", F.lit(None).cast("string").alias("cascade_id"), F.map_from_entries(F.array_compact(props)).alias("config_props"))
@@ -422,6 +422,13 @@ def _(t):
     return unpack.descriptions(steps).select("step_id", "description")
 
 
+@query("p13_step_settings", "select step_id, coalesce(description, '') as description, extra_links from steps")
+def _(t):
+    keys = [F.lit(unpack.DESCRIPTION_KEY), C("description"), F.lit(unpack.TRACKER_PREFIX + unpack.LINKS_KEY), C("extra_links")]
+    steps = t.steps.select("step_id", F.create_map(*keys).alias("config_props"))
+    return unpack.step_settings(steps).select("step_id", "description", "extra_links")
+
+
 @query("j5_with_cluster", "select flow_id, jt_url, cluster_name from described", {"described": DESCRIBED})
 def _(t):
     return cluster.with_cluster(t.flows, CONFIG).select("flow_id", "jt_url", "cluster_name")
@@ -430,11 +437,11 @@ def _(t):
 @query(
     "j5_cluster_table",
     f"select f.flow_id, coalesce(s.s_name, {s.RULE_NAME_SQL}) as cluster_name from flows f left join supplier s "
-    "on 'rm' || (s.s_suppkey - 1) || '.example.com' = f.jt_url and s.s_suppkey < 4",
+    "on 'rm' || (s.s_suppkey * 2) || '.example.com' = f.jt_url",
 )
 def _(t):
-    hosts = t.raw("supplier").filter("s_suppkey < 4").selectExpr(
-        "'rm' || cast(s_suppkey - 1 as string) || '.example.com' as host", "s_name as cluster_name"
+    hosts = t.raw("supplier").selectExpr(
+        "'rm' || cast(s_suppkey * 2 as string) || '.example.com' as host", "s_name as cluster_name"
     )
     return cluster.with_cluster(t.flows, CONFIG, hosts).select("flow_id", "cluster_name")
 
@@ -449,10 +456,10 @@ def _(t):
     "j10_with_start",
     f"select s.step_id, coalesce(cast(floor(({NOW * 1000} - u.start_ms) / 1000) as bigint), s.step_running_time) as step_running_time "
     "from steps s left join (select step_id, max(arrived) * 1000 + 7 as start_ms from step_updates "
-    "where seq_b % 2 = 0 group by step_id) u using (step_id)",
+    "where step_status = 'RUNNING' group by step_id) u using (step_id)",
 )
 def _(t):
-    starts = t.step_updates.filter("seq_b % 2 = 0").select("step_id", (C("arrived") * 1000 + 7).alias("start_ms"))
+    starts = t.step_updates.filter("step_status = 'RUNNING'").select("step_id", (C("arrived") * 1000 + 7).alias("start_ms"))
     return unpack.with_start(t.steps, starts, NOW * 1000).select("step_id", "step_running_time")
 
 

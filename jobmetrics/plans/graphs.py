@@ -28,21 +28,21 @@ def _(t):
     return graph.topo_order(t.edges)
 
 
-# Some flows also run backwards: every edge of every seventh flow between stages above 2.
-LOOPED = """select * from edges union select flow_id, dest_stage, src_stage from edges
-    where cast(flow_id as bigint) % 7 = 0 and src_stage > 2
-    union select flow_id, src_stage, src_stage from edges where cast(flow_id as bigint) % 11 = 0"""
+# Failed steps are run again by the steps they feed, and submitted ones wait for themselves.
+LOOPED = """select * from edges union select e.flow_id, e.dest_stage, e.src_stage from edges e join steps s
+        on s.flow_id = e.flow_id and s.step_number = e.src_stage where s.step_status = 'FAILED'
+    union select flow_id, step_number, step_number from steps where step_status = 'SUBMITTED'"""
 REACHED = """select flow_id, src_stage as a, dest_stage as b from looped where src_stage <> dest_stage
     union select r.flow_id, r.a, l.dest_stage from reached r join looped l on l.flow_id = r.flow_id and l.src_stage = r.b"""
 
 
 def looped_edges(t):
-    number = F.col("flow_id").cast("bigint")
-    back = t.edges.filter((number % 7 == 0) & (F.col("src_stage") > 2)).selectExpr(
-        "flow_id", "dest_stage as src_stage", "src_stage as dest_stage"
-    )
-    own = t.edges.filter(number % 11 == 0).selectExpr("flow_id", "src_stage", "src_stage as dest_stage")
-    return t.edges.unionByName(back).unionByName(own).distinct()
+    edges = cut(t.edges)
+    failed = t.steps.filter("step_status = 'FAILED'").selectExpr("flow_id", "step_number as src_stage")
+    back = edges.join(failed, ["flow_id", "src_stage"], "left_semi")
+    back = back.selectExpr("flow_id", "dest_stage as src_stage", "src_stage as dest_stage")
+    own = t.steps.filter("step_status = 'SUBMITTED'").selectExpr("flow_id", "step_number as src_stage", "step_number as dest_stage")
+    return edges.unionByName(back).unionByName(own).distinct()
 
 
 @query(

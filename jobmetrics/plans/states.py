@@ -32,7 +32,7 @@ def _(t):
 
 # One report of a flow for each of its step updates. Old clients send no aggregates.
 FLOW_UPDATES = """select flow_id, 'run ' || cast(step_number as string) as flow_name, step_status as flow_status,
-    case when seq_b % 3 = 0 then null else map_progress end as aggregated, arrived as update_date, arrived, seq_a, seq_b,
+    case when step_status = 'SUBMITTED' then null else map_progress end as aggregated, arrived as update_date, arrived, seq_a, seq_b,
     step_number from step_updates"""
 FLOW_ORDER = [*ARRIVAL, "step_number"]
 
@@ -42,7 +42,7 @@ def flow_updates(t):
         "flow_id",
         F.concat(F.lit("run "), F.col("step_number").cast("string")).alias("flow_name"),
         F.col("step_status").alias("flow_status"),
-        F.when(F.col("seq_b") % 3 == 0, None).otherwise(F.col("map_progress")).alias("aggregated"),
+        F.when(F.col("step_status") == "SUBMITTED", None).otherwise(F.col("map_progress")).alias("aggregated"),
         F.col("arrived").alias("update_date"),
         *FLOW_ORDER,
     )

@@ -109,6 +109,7 @@ AGG_COLUMNS = {
     "metric": "value",
     "payload": "props",
     "seq": "event_id",
+    "kind": "event_type",
 }
 
 # A step writes /data/<flow>/<n>, reads what n-1 wrote and, when even, what n-2 wrote. Every third step also
