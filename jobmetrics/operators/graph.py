@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobmetrics.operators.skew import rank_in_slices, rekeyed
+from jobmetrics.operators.skew import lookup, rank_in_slices
 from jobmetrics.runtime import cut
 
 EDGE = ["flow_id", "src_stage", "dest_stage"]
@@ -29,8 +29,7 @@ def vertices(edges: DataFrame) -> DataFrame:
 
 
 def _targets(edges: DataFrame) -> DataFrame:
-    ends = edges.select("flow_id", F.col("dest_stage").alias("src_stage")).distinct()
-    return rekeyed(ends, ["flow_id", "src_stage"])
+    return edges.select("flow_id", F.col("dest_stage").alias("src_stage")).distinct()
 
 
 def dag_levels(edges: DataFrame) -> DataFrame:
@@ -45,7 +44,7 @@ def dag_levels(edges: DataFrame) -> DataFrame:
     while size:
         level += 1
         reached.append(left.select("flow_id", F.col("dest_stage").alias("stage"), F.lit(level).alias("level")))
-        rest = cut(left.join(_targets(left), ["flow_id", "src_stage"], "left_semi").select(*EDGE))
+        rest = cut(lookup(left, _targets(left), ["flow_id", "src_stage"], "left_semi").select(*EDGE))
         rest_size = rest.count()
         if rest_size == size:
             raise CycleError("the edges contain a cycle")
@@ -65,9 +64,8 @@ def _core(edges: DataFrame) -> tuple[DataFrame, int]:
     size = left.count()
     while size:
         sources = left.select("flow_id", F.col("src_stage").alias("dest_stage")).distinct()
-        sources = rekeyed(sources, ["flow_id", "dest_stage"])
-        kept = left.join(_targets(left), ["flow_id", "src_stage"], "left_semi")
-        kept = cut(kept.join(sources, ["flow_id", "dest_stage"], "left_semi").select(*EDGE))
+        kept = lookup(left, _targets(left), ["flow_id", "src_stage"], "left_semi")
+        kept = cut(lookup(kept, sources, ["flow_id", "dest_stage"], "left_semi").select(*EDGE))
         kept_size = kept.count()
         if kept_size == size:
             break
@@ -90,9 +88,8 @@ def _spread(state: DataFrame, edges: DataFrame, better: Column, value: str) -> D
     """Push ``value`` along the edges until no vertex improves. Only improved vertices push in the next round."""
     frontier = state
     while True:
-        pushing = rekeyed(frontier.withColumnRenamed("stage", "src_stage"), ["flow_id", "src_stage"])
         offers = (
-            edges.join(pushing, ["flow_id", "src_stage"])
+            lookup(edges, frontier.withColumnRenamed("stage", "src_stage"), ["flow_id", "src_stage"])
             .groupBy("flow_id", F.col("dest_stage").alias("stage"))
             .agg(F.max(value).alias("_offer"))
         )
@@ -167,7 +164,7 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             around = pairs.select("flow_id", ends.alias("e")).select("flow_id", "e.*")
         least = around.groupBy("flow_id", "at").agg(F.least(F.min("other"), F.col("at")).alias("low"))
-        joined = around.join(rekeyed(least, ["flow_id", "at"]), ["flow_id", "at"])
+        joined = lookup(around, least, ["flow_id", "at"])
         if large:
             linked = joined.filter("other > at").select("flow_id", F.col("other").alias("u"), F.col("low").alias("v"))
         else:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from jobmetrics.functions.names import UNKNOWN
 from jobmetrics.functions.numbers import pretty_bytes, size_class
 from jobmetrics.functions.status import mood, step_color
-from jobmetrics.operators.skew import rekeyed, with_chunk
+from jobmetrics.operators.skew import lookup, with_chunk
 
 
 def lineage_edges(taps: DataFrame) -> DataFrame:
@@ -27,8 +27,7 @@ def lineage_edges(taps: DataFrame) -> DataFrame:
     readers = known.filter(F.col("direction") == "source").select(
         "flow_id", "path", F.col("step_number").alias("dest_stage")
     )
-    keys = ["flow_id", "path"]
-    return readers.join(rekeyed(writers, keys), keys).select("flow_id", "src_stage", "dest_stage").distinct()
+    return lookup(readers, writers, ["flow_id", "path"]).select("flow_id", "src_stage", "dest_stage").distinct()
 
 
 def flow_io(taps: DataFrame, flows: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from jobmetrics.functions.numbers import (
     size_class,
 )
 from jobmetrics.functions.times import chart_label
-from jobmetrics.operators.skew import rekeyed
+from jobmetrics.operators.skew import lookup
 from jobmetrics.operators.totals import all_tasks, bar_width, time_totals
 
 
@@ -86,9 +86,7 @@ def step_series(steps: DataFrame) -> DataFrame:
                 )
             )
     needed = sorted({c for red, blue, _ in STEP_METRICS.values() for c in (red, blue)})
-    joined = steps.select("flow_id", "step_number", *needed).join(
-        rekeyed(step_maxima(steps), ["flow_id"]), "flow_id"
-    )
+    joined = lookup(steps.select("flow_id", "step_number", *needed), step_maxima(steps), ["flow_id"])
     return joined.select("flow_id", "step_number", F.explode(F.array(*points)).alias("p")).select(
         "flow_id", "step_number", "p.*"
     )
@@ -186,7 +184,7 @@ def time_shares(steps: DataFrame) -> DataFrame:
     """Share of each step in the bar of its flow, in percent, at least 1; null when the bar has no width."""
     share = F.floor(bar_width() / F.col("total_width") * 100).cast("bigint")
     bars = steps.select("flow_id", "step_number", "step_status", "step_running_time")
-    joined = bars.join(rekeyed(time_totals(steps), ["flow_id"]), "flow_id")
+    joined = lookup(bars, time_totals(steps), ["flow_id"])
     return joined.select(
         "flow_id",
         "step_number",

@@ -14,20 +14,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def rekeyed(per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``per_key``, ready to be joined with many rows per key.
+def lookup(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join many rows per key with a table that was made by grouping by these keys.
 
     An aggregate is already partitioned by its keys, and Spark would join it in place. Adaptive execution splits
     an oversized partition only where both sides of a join come straight from a shuffle, so the keys are made
-    new expressions, which moves the small side once more.
+    new expressions, which moves the small side once more. Null keys match nothing and are filtered in the same
+    way on both sides, which lets them share the scan and shuffle they have in common.
     """
 
-    def same(key: str) -> Column:
-        if isinstance(per_key.schema[key].dataType, T.StringType):
-            return F.concat(key, F.lit(""))
-        return F.bitwise_not(F.bitwise_not(key))
+    def known(df: DataFrame) -> DataFrame:
+        for key in keys:
+            df = df.filter(F.col(key).isNotNull())
+        return df
 
-    return per_key.withColumns({key: same(key) for key in keys})
+    def renewed(key: str) -> Column:
+        kind = per_key.schema[key].dataType
+        if isinstance(kind, T.StringType):
+            return F.coalesce(F.concat(key, F.lit("")), F.lit(""))
+        return F.coalesce(F.bitwise_not(F.bitwise_not(key)), F.lit(0).cast(kind))
+
+    right = known(per_key).withColumns({key: renewed(key) for key in keys})
+    return (known(rows) if how in ("inner", "left_semi") else rows).join(right, list(keys), how)
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
@@ -101,7 +109,7 @@ def with_chunk(df: DataFrame, keys: Sequence[str], spread: Sequence[str], rows:
     large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > rows)
     chunks = F.ceil(F.col("_size") / F.lit(rows))
     return (
-        df.join(rekeyed(large, keys), list(keys), "left")
+        lookup(df, large, keys, "left")
         .withColumn("chunk", F.coalesce(F.pmod(F.xxhash64(*spread), chunks), F.lit(0)).cast("int"))
         .drop("_size")
         .repartition(*keys, "chunk")

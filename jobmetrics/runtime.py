@@ -18,6 +18,7 @@ def session(app: str = "jobmetrics", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.checkpoint.compress": "true",
         **conf,
     }
     for key, value in settings.items():

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobmetrics.functions.names import split_label
-from jobmetrics.operators.skew import rekeyed, top_per_key
+from jobmetrics.operators.skew import lookup, top_per_key
 
 # The two line shapes that carry the graph.
 VERTEX = r'^\s+(\d+)\s+\[label\s+=\s+"(\d+_[A-Fa-f0-9]+)"\];$'
@@ -52,13 +52,8 @@ def dot_edges(lines: DataFrame, last_line_wins: bool = False) -> DataFrame:
     if last_line_wins:
         found = top_per_key(found, ["flow_id", "node"], [F.desc("line_no")])
     stages = dot_vertices(lines).groupBy("flow_id", "node").agg(F.max("stage").alias("stage"))
-    stages = rekeyed(stages, ["flow_id", "node"])
     src = stages.withColumnRenamed("stage", "src_stage")
     dest = stages.withColumnsRenamed({"node": "target", "stage": "dest_stage"})
     pairs = found.select("flow_id", "node", F.explode("targets").alias("target"))
-    return (
-        pairs.join(src, ["flow_id", "node"])
-        .join(dest, ["flow_id", "target"])
-        .select("flow_id", "src_stage", "dest_stage")
-        .distinct()
-    )
+    known = lookup(lookup(pairs, src, ["flow_id", "node"]), dest, ["flow_id", "target"])
+    return known.select("flow_id", "src_stage", "dest_stage").distinct()

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from jobmetrics.operators.skew import rekeyed, top_per_key
+from jobmetrics.operators.skew import lookup, top_per_key
 from jobmetrics.operators.state import changed_steps, collapse
 
 REFRESH = "8 seconds"
@@ -68,7 +68,7 @@ def within_tolerance(updates: DataFrame, failures: DataFrame, seq: str, limit: i
         .drop("_n")
     )
     kept = F.col("_stop").isNull() | (F.col(seq) < F.col("_stop"))
-    return updates.join(rekeyed(stops, ["flow_id"]), "flow_id", "left").filter(kept).drop("_stop")
+    return lookup(updates, stops, ["flow_id"], "left").filter(kept).drop("_stop")
 
 
 def failure_counts(rejects: DataFrame, limit: int = MAX_FAILURES) -> DataFrame:
