@@ -33,7 +33,7 @@ def _share(column: str) -> Column:
     return locality_percent(F.col(column), F.col("map_tasks"))
 
 
-# metric -> red value, blue value, columns behind the maximum (None: fixed at 100), scale of the maximum
+# metric -> red column, blue column, how their values are shown
 _GB = lambda column: giga(F.col(column))
 _SECS = lambda column: seconds(F.col(column))
 

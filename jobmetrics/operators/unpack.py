@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from jobmetrics.functions import names
 from jobmetrics.functions.numbers import duration_text, half_up
 from jobmetrics.functions.times import date_text
-from jobmetrics.operators.cluster import ARGS_KEY, ServerConfig, describe_flows
+from jobmetrics.operators.cluster import ServerConfig, describe_flows
 from jobmetrics.operators.skew import latest_per_key, with_chunk
 from jobmetrics.schemas import FLOW_DOC, NULLABLE_COUNTERS, STEP_COUNTERS, STEP_DOC, TOTAL_ONLY_COUNTERS
 

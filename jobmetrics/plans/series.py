@@ -1,7 +1,5 @@
 """Queries: series and step tables (C), load view (J4, J8, C5)."""
 
-from pyspark.sql import functions as F
-
 from jobmetrics.operators import load, series, totals
 from jobmetrics.operators.cluster import describe_flows
 from jobmetrics.operators.select import running_flows
@@ -21,20 +19,20 @@ from jobmetrics.plans.settings import (
 _SECS = lambda c: round_sql(f"{c} / 1000")
 _SHARE = lambda c: f"case when map_tasks > 0 then {round_sql(f'100 * ({c} / map_tasks)')} else 0 end"
 METRICS = {
-    "tasks": ("map_tasks", "reduce_tasks", str, str),
-    "hdfs_gb": ("hdfs_bytes_read", "hdfs_bytes_written", giga_sql, None),
-    "gcs_gb": ("gs_bytes_read", "gs_bytes_written", giga_sql, None),
-    "disk_gb": ("file_bytes_read", "file_bytes_written", giga_sql, None),
-    "locality": ("data_local_map_tasks", "rack_local_map_tasks", _SHARE, None),
-    "io_secs": ("io_read_millis", "io_write_millis", _SECS, None),
-    "vcore_secs": ("map_vcore_millis", "reduce_vcore_millis", _SECS, None),
-    "cpu_gc_secs": ("cpu_millis", "gc_millis", _SECS, None),
+    "tasks": ("map_tasks", "reduce_tasks", str),
+    "hdfs_gb": ("hdfs_bytes_read", "hdfs_bytes_written", giga_sql),
+    "gcs_gb": ("gs_bytes_read", "gs_bytes_written", giga_sql),
+    "disk_gb": ("file_bytes_read", "file_bytes_written", giga_sql),
+    "locality": ("data_local_map_tasks", "rack_local_map_tasks", _SHARE),
+    "io_secs": ("io_read_millis", "io_write_millis", _SECS),
+    "vcore_secs": ("map_vcore_millis", "reduce_vcore_millis", _SECS),
+    "cpu_gc_secs": ("cpu_millis", "gc_millis", _SECS),
 }
 
 
 def _series_sql() -> str:
     parts = []
-    for metric, (red, blue, value, _) in METRICS.items():
+    for metric, (red, blue, value) in METRICS.items():
         top = f"greatest(max(coalesce({red}, 0)) over w, max(coalesce({blue}, 0)) over w)"
         if metric == "locality":
             top = "100"
