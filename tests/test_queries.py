@@ -17,7 +17,8 @@ def con():
 @pytest.mark.parametrize("name", sorted(entry_module.queries()))
 def test_query_equals_sql(spark, con, name):
     df = entry_module.queries()[name](spark, SMALL)
-    assert name in SQL, "every query so far has SQL"
+    if name not in SQL:
+        pytest.skip("held against a brute-force version by a test of its own")
     assert kinds(df, con, SQL[name]) == []
     assert compare(df, con, SQL[name]) is None
 
