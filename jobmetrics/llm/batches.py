@@ -8,7 +8,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -39,7 +39,7 @@ def map_texts(df: DataFrame, fn: Callable[[list, list], Iterable[tuple]], schema
     return arrow_map(df, run, schema)
 
 
-def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` whose workers find this package also where it is not installed but lies beside the driver's script."""
     environment = df.sparkSession.sparkContext.environment
     root = str(Path(__file__).resolve().parents[2])
@@ -137,5 +137,15 @@ def joined(texts: list[bytes | None], table: bytes | None = None, gap: bytes = b
     return np.frombuffer(data.translate(table) if table else data, np.uint8), offsets
 
 
-def is_null_safe(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
+def keep_rows(df: DataFrame, text_col: str, keep: Callable[[list], np.ndarray], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Rows of ``df``, unchanged and with all columns, for which ``keep(texts as bytes or None)`` is true."""
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place).cast(pa.binary())
+            for low, high in chunks(texts, chunk_bytes):
+                kept = keep(texts.slice(low, high - low).to_pylist())
+                yield batch.slice(low, high - low).filter(pa.array(np.asarray(kept, bool)))
+
+    return arrow_map(df, run, df.schema)

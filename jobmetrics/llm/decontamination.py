@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
-from hashlib import sha256
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobmetrics.llm.batches import byte_table, documents_of, joined, map_texts, word_spans
+from jobmetrics.llm.batches import byte_table, documents_of, joined, keep_rows, map_texts, word_spans
 
 #: Every byte that belongs to no word: ASCII but for digits and letters.
 SEPARATORS = [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]
@@ -195,7 +195,7 @@ def decontaminate(
         starts, ends = word_spans(buf)
         data = buf.tobytes()
         words = data.split()
-        codes = [np.fromiter(map(b.value.vocabulary.get, words, _minus()), np.int64, len(words)) for b in shared]
+        codes = [np.fromiter(map(b.value.vocabulary.get, words, repeat(-1)), np.int64, len(words)) for b in shared]
         first = np.searchsorted(starts, offsets)
         for k, (doc_id, text) in enumerate(zip(ids, texts)):
             low, high = int(first[k]), int(first[k + 1])
@@ -222,10 +222,30 @@ def decontaminate(
     )
 
 
-def _minus():
-    from itertools import repeat
+def drop_contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    text_col: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW,
+    per_automaton: int = WORDS_PER_AUTOMATON,
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no window of any item occurs."""
+    shared = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(items, item_id, item_text, window, per_automaton)]
+
+    def clean(texts: list) -> np.ndarray:
+        buf, offsets = joined(texts, TABLE)
+        words = buf.tobytes().split()
+        first = np.searchsorted(word_spans(buf)[0], offsets)
+        out = np.ones(len(texts), bool)
+        for b in shared:
+            code = np.fromiter(map(b.value.vocabulary.get, words, repeat(-1)), np.int64, len(words))
+            for k in np.flatnonzero(out):
+                out[k] = not b.value.hits(code[first[k] : first[k + 1]])[0]
+        return out
 
-    return repeat(-1)
+    return keep_rows(docs, text_col, clean)
 
 
 def _without(text: bytes, spans: list[tuple[int, int]]) -> str:
@@ -235,7 +255,3 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> str:
         at = e
     out.append(text[at:])
     return b"".join(out).decode()
-
-
-def items_digest(items: list[str]) -> str:
-    return sha256(",".join(items).encode()).hexdigest()

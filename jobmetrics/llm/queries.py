@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmetrics.llm import chat, decontamination, pii, secret_scan, sentencepiece_bpe, sharding
+from jobmetrics.llm import chat, decontamination, minhash, nearest, pii, repeats, secret_scan, sentencepiece_bpe, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,36 @@ def counts(spans: Column, kinds: tuple[str, ...]) -> list[Column]:
     return [F.size(of_kinds(spans, (kind,))).cast("long").alias(f"n_{kind}") for kind in kinds]
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_texts(docs, machine).select(
+        "doc_id",
+        F.coalesce(~toxicity.in_training(F.col("doc_id")), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.token_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -92,6 +122,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op5_sentencepiece, op6_pii, op7_chat, op8_secrets, op9_decontamination, op10_sharding)
+    f.__name__: f
+    for f in (
+        op1_minhash,
+        op2_toxicity,
+        op3_suffix_array,
+        op4_nearest,
+        op5_sentencepiece,
+        op6_pii,
+        op7_chat,
+        op8_secrets,
+        op9_decontamination,
+        op10_sharding,
+    )
 }
+#: No SQL: every operator is held against a brute-force version in tests/llm.
 SQL: dict[str, str] = {}

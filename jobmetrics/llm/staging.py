@@ -1,0 +1,28 @@
+"""Intermediate tables in the shared folder: they cut lineage, and later steps read only the columns they need."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from jobmetrics.runtime import scratch_path
+
+
+class Stage:
+    """Writes tables below the folder that all executors share. ``drop`` removes those that nothing reads any more.
+
+    What a returned DataFrame still reads stays; it lies under ``root`` and is the owner's to remove.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.paths = spark, scratch_path(spark, name), {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{name}"
+        df.write.parquet(path)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
