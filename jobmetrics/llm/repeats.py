@@ -127,6 +127,9 @@ def _owner_rows(rows: DataFrame) -> DataFrame:
 
 #: Windows from ``start`` on: repeats where ``gram`` is null, else to be looked at under that key.
 MARKS = "doc long, twin int, start long, n int, gram long, hot boolean"
+_MARKS = pa.schema(
+    [("doc", pa.int64()), ("twin", pa.int32()), ("start", pa.int64()), ("n", pa.int32()), ("gram", pa.int64()), ("hot", pa.bool_())]
+)
 
 
 def _windows(doc, twin, loc, gram=None, hot=False) -> pa.RecordBatch:
@@ -134,7 +137,7 @@ def _windows(doc, twin, loc, gram=None, hot=False) -> pa.RecordBatch:
     key = pa.nulls(len(doc), pa.int64()) if gram is None else pa.array(gram)
     return pa.RecordBatch.from_arrays(
         [pa.array(doc), pa.array(twin), pa.array(start), pa.array(n.astype(np.int32)), key, pa.array(np.broadcast_to(hot, len(doc)))],
-        schema=arrow_schema(MARKS),
+        schema=_MARKS,
     )
 
 
@@ -152,7 +155,7 @@ def _shared(gram: np.ndarray, tag: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def _marks(owned: DataFrame) -> DataFrame:
+def _marks(owned: DataFrame, hot: int, most: int) -> DataFrame:
     """Repeats and windows to look at, from owner rows brought together by owner."""
 
     def settle(rows: list[np.ndarray], forced: bool) -> Iterator[pa.RecordBatch]:
@@ -164,7 +167,7 @@ def _marks(owned: DataFrame) -> DataFrame:
             open_ = _shared(gram, loc >> 53, doc) | _shared(gram, (loc >> 43) & 1023, doc)
             gram, doc, twin, loc = (x[open_] for x in (gram, doc, twin, loc))
         _, where, size = np.unique(gram, return_inverse=True, return_counts=True)
-        yield _windows(doc, twin, loc, gram, (size[where] > HOT) | forced)
+        yield _windows(doc, twin, loc, gram, (size[where] > hot) | forced)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -192,7 +195,7 @@ def _marks(owned: DataFrame) -> DataFrame:
                 if len(done[0]):
                     yield from settle(done, False)
                 rows = [x[cut:] for x in rows]
-            if len(rows[0]) > HELD:
+            if len(rows[0]) > most:
                 yield from settle(rows, True)
                 forced = rows[0][0]
                 keep = int(np.flatnonzero(rows[1] == rows[1][-1])[0])  # the first document with the last bytes
@@ -360,18 +363,19 @@ def _with_twins(rows: DataFrame) -> DataFrame:
     return hashed.join(ranked, ["doc", "h"], "left").select("doc", F.coalesce("twin", F.lit(0)).alias("twin"), "text")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, most: int = HELD) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs of bytes) and kept (the other bytes) of each row.
 
     A byte goes if a string of 50 bytes over it also starts in a row with a smaller id; strings are judged on the input and
     never cross rows. A null text counts as empty. Rows with one id never remove each other's bytes; a row with a null id
     neither loses nor removes any. Repeated rows are alike. Other columns are left out; an empty table gives an empty one.
+    ``hot`` and ``most`` only say how the work on frequent strings is dealt out.
     """
     spark = docs.sparkSession
     stage = Stage(spark, "repeats")
     rows = documents_of(docs, id_col, text_col)
     named = _with_twins(rows)
-    marks = stage.put("marks", _marks(_owner_rows(named)))
+    marks = stage.put("marks", _marks(_owner_rows(named), hot, most))
     _release(spark)
     opened = marks.where("gram is not null").groupBy("doc", "twin").agg(F.collect_list(F.struct("start", "n", "gram", "hot")).alias("spans"))
     pieces = _pieces(named.join(opened, ["doc", "twin"]).select("doc", "twin", "text", "spans"))
