@@ -8,28 +8,38 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Stand-ins that keep an escaped or inserted percent sign from being read as a slot.
-_ESCAPED = "\u0001"
-_INSERTED = "\u0002"
+# An escape character and the letters after it stand for an escaped and an inserted percent sign and for the escape
+# character itself, so that every text comes back as it was.
+_ESCAPE, _PERCENT = "\u0001", "p"
+
+
+def _protect(text: Column) -> Column:
+    return F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPE + _ESCAPE))
 
 
 def _guard(text: Column) -> Column:
-    return F.replace(text, F.lit("`%"), F.lit(_ESCAPED))
+    return F.replace(_protect(text), F.lit("`%"), F.lit(_ESCAPE + _PERCENT))
+
+
+def _inserted(value: Column) -> Column:
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    return F.replace(_protect(text), F.lit("%"), F.lit(_ESCAPE + _PERCENT))
 
 
 def _restore(text: Column) -> Column:
-    return F.translate(text, _ESCAPED + _INSERTED, "%%")
+    """Read from left to right, each escape character with what follows it."""
+    parts = F.split(text, _ESCAPE + _ESCAPE, -1)
+    return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit(_ESCAPE + _PERCENT), F.lit("%"))), _ESCAPE)
 
 
 def fill_named(template: Column, values: Mapping[str, Column]) -> Column:
     """Replace ``%{key}``; unknown keys and null values give nothing, a backtick escapes the percent sign.
     A slot that is never closed stays as it is."""
     out = _guard(template)
-    known = "|".join(values)
+    known = "|".join(re.escape(key) for key in values)
     out = F.regexp_replace(out, r"%\{(?!(?:" + known + r")\})[^}]*\}", "")
     for key, value in values.items():
-        safe = F.translate(F.coalesce(value.cast("string"), F.lit("")), "%", _INSERTED)
-        out = F.replace(out, F.lit("%{" + key + "}"), safe)
+        out = F.replace(out, F.lit("%{" + key + "}"), _inserted(value))
     return _restore(out)
 
 
@@ -50,7 +60,7 @@ def fill_fixed(template: str, values: Mapping[str, Column]) -> Column:
 def fill_positional(template: Column, values: Sequence[Column]) -> Column:
     """Replace each ``%`` by the next value; none left gives nothing."""
     parts = F.split(_guard(template), "%")
-    slots = F.array(*[F.translate(F.coalesce(v.cast("string"), F.lit("")), "%", _INSERTED) for v in values])
+    slots = F.array(*[_inserted(v) for v in values])
     used = F.slice(slots, F.lit(1), F.size(parts) - 1)
     joined = F.zip_with(parts, used, lambda part, slot: F.concat(part, F.coalesce(slot, F.lit(""))))
     return _restore(F.array_join(joined, ""))

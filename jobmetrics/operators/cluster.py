@@ -31,18 +31,17 @@ def clusters(mapping: DataFrame) -> DataFrame:
 
 
 def with_cluster(flows: DataFrame, config: ServerConfig, mapping: DataFrame | None = None) -> DataFrame:
-    """Add cluster_name: exact host lookup, else the regex rules, else ``Unknown``.
+    """Add cluster_name: exact host lookup, else the regex rules, else ``Unknown``. An empty name counts as none.
 
-    The lookup is a left join whose small side Spark broadcasts by its measured size; ``mapping`` may replace
-    the configured hosts by a (host, cluster_name) table of any size.
+    The configured hosts are part of the plan, so no row moves for them; ``mapping`` may replace them by a (host,
+    cluster_name) table of any size, which is joined.
     """
     by_rule = regex_map(F.col("jt_url"), config.cluster_name_regexes, F.lit("Unknown"))
     if mapping is None:
         if not config.cluster_name_mapping:
             return flows.withColumn("cluster_name", by_rule)
-        mapping = flows.sparkSession.createDataFrame(
-            list(config.cluster_name_mapping.items()), "host string, cluster_name string"
-        )
+        hosts = F.create_map(*[F.lit(x) for pair in config.cluster_name_mapping.items() for x in pair])
+        return flows.withColumn("cluster_name", F.coalesce(F.nullif(F.try_element_at(hosts, F.col("jt_url")), F.lit("")), by_rule))
     known = mapping.filter(F.col("cluster_name") != "").select(F.col("host").alias("jt_url"), "cluster_name")
     return flows.join(known, "jt_url", "left").withColumn("cluster_name", F.coalesce("cluster_name", by_rule))
 
@@ -59,12 +58,18 @@ def describe_flows(flows: DataFrame, config: ServerConfig, mapping: DataFrame |
     )
 
 
+def link_host(config: ServerConfig, host: Column) -> Column:
+    """The host as links name it."""
+    return regex_map(host, config.cluster_link_host_regexes, host)
+
+
 def link(config: ServerConfig, host: Column, port: str, path: Column, scheme: str = "//") -> Column:
+    """A link to a ``link_host``."""
     return fill_fixed(
         config.cluster_link_template,
         {
             "schemeWithSlashes": F.lit(scheme),
-            "host": regex_map(host, config.cluster_link_host_regexes, host),
+            "host": host,
             "port": F.lit(port),
             "path": path,
         },

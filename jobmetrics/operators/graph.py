@@ -1,23 +1,38 @@
 """Graph questions over the edges of all flows at once.
 
-Edges are rows (flow_id, src_stage, dest_stage). Each algorithm is a loop of joins and aggregations; every round
-is checkpointed in the shared folder and works on what the round before left over, so finished flows drop out.
+Edges are rows (flow_id, src_stage, dest_stage). Each algorithm is a loop of joins and aggregations. A round writes what
+is still open to the shared folder and removes what the round before wrote; the rows of flows in which nothing
+changes any more go to a result folder and take no part in later rounds.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from jobmetrics.operators.skew import lookup, rank_in_slices
-from jobmetrics.runtime import cut
+from jobmetrics.runtime import Stage
 
 EDGE = ["flow_id", "src_stage", "dest_stage"]
 RANK_SLICE = 100_000
 
 
+class Settled:
+    """Rows that are final, written round by round into one folder and read once at the end, with the round as a column."""
+
+    def __init__(self, stage: Stage, name: str, round_column: str = "_round"):
+        self.stage, self.root, self.column, self.schema = stage, f"{stage.root}/{name}", round_column, None
+
+    def add(self, round_: int, rows: DataFrame) -> None:
+        self.schema = self.schema or rows.schema
+        rows.write.parquet(f"{self.root}/{self.column}={round_}")
+
+    def read(self) -> DataFrame:
+        schema = StructType([*self.schema.fields, StructField(self.column, IntegerType())])
+        return self.stage.spark.read.schema(schema).parquet(self.root)
+
+
 class CycleError(ValueError):
     pass
 
@@ -35,75 +50,101 @@ def _targets(edges: DataFrame) -> DataFrame:
 def dag_levels(edges: DataFrame) -> DataFrame:
     """Longest-path level of each vertex (flow_id, stage, level); vertices without incoming edges have level 0.
 
-    Round k keeps the edges whose source ends a path of k edges, so a vertex is reached for the last time in the
-    round of its level. If a round drops no edge, what is left hangs on a cycle, which is an error.
+    Round k keeps the edges whose source ends a path of k edges. A vertex that is a target in one round and no longer
+    in the next is settled, so each vertex is written once, into a folder by level that is read at the end. If a round
+    drops no edge, what is left hangs on a cycle, which is an error.
     """
-    left = cut(edges.select(*EDGE).distinct())
+    stage = Stage(edges.sparkSession, "levels")
+    left = stage.put("edges-0", edges.select(*EDGE).distinct())
+    targets = _targets(left).withColumnRenamed("src_stage", "stage")
+    settled = Settled(stage, "settled", "level")
+    sources = left.select("flow_id", F.col("src_stage").alias("stage")).distinct()
+    settled.add(0, sources.join(targets, ["flow_id", "stage"], "left_anti"))
     size, level = left.count(), 0
-    reached = [vertices(left).withColumn("level", F.lit(0))]
     while size:
-        level += 1
-        reached.append(left.select("flow_id", F.col("dest_stage").alias("stage"), F.lit(level).alias("level")))
-        rest = cut(lookup(left, _targets(left), ["flow_id", "src_stage"], "left_semi").select(*EDGE))
+        rest = stage.put(f"edges-{level + 1}", lookup(left, _targets(left), ["flow_id", "src_stage"], "left_semi").select(*EDGE))
         rest_size = rest.count()
         if rest_size == size:
             raise CycleError("the edges contain a cycle")
-        left, size = rest, rest_size
-    return reduce(DataFrame.unionByName, reached).groupBy("flow_id", "stage").agg(F.max("level").alias("level"))
+        still = _targets(rest).withColumnRenamed("src_stage", "stage")
+        done = _targets(left).withColumnRenamed("src_stage", "stage").join(still, ["flow_id", "stage"], "left_anti")
+        settled.add(level + 1, done)
+        stage.drop(f"edges-{level}")
+        left, size, level = rest, rest_size, level + 1
+    stage.drop(f"edges-{level}")
+    return settled.read()
 
 
 def topo_order(edges: DataFrame) -> DataFrame:
     """Position of each vertex in a topological order of its flow: by level, then stage. A cycle is an error."""
-    leveled = cut(dag_levels(edges)).withColumn("_slice", F.floor(F.col("stage") / RANK_SLICE))
+    leveled = dag_levels(edges).withColumn("_slice", F.floor(F.col("stage") / RANK_SLICE))
     return rank_in_slices(leveled, ["flow_id"], ["level", "_slice"], ["stage"], "position").drop("_slice")
 
 
-def _core(edges: DataFrame) -> tuple[DataFrame, int]:
-    """Materialised edges without those that lead from or to a dead end, pruned over and over."""
-    left = edges
-    size = left.count()
+def _core(edges: DataFrame, stage: Stage, name: str) -> tuple[DataFrame, int]:
+    """Written edges without those that lead from or to a dead end, pruned over and over."""
+    left, size, r = edges, edges.count(), 0
     while size:
         sources = left.select("flow_id", F.col("src_stage").alias("dest_stage")).distinct()
         kept = lookup(left, _targets(left), ["flow_id", "src_stage"], "left_semi")
-        kept = cut(lookup(kept, sources, ["flow_id", "dest_stage"], "left_semi").select(*EDGE))
+        kept = stage.put(f"{name}-{r}", lookup(kept, sources, ["flow_id", "dest_stage"], "left_semi").select(*EDGE))
         kept_size = kept.count()
-        if kept_size == size:
+        if r:
+            stage.drop(f"{name}-{r - 1}")
+        r += 1
+        left, before, size = kept, size, kept_size
+        if before == size:
             break
-        left, size = kept, kept_size
     return left, size
 
 
 def acyclic_flows(edges: DataFrame) -> DataFrame:
     """Rows (flow_id, is_acyclic); an edge from a vertex to itself is a cycle too."""
-    edges = cut(edges.select(*EDGE).distinct())
-    core, size = _core(edges)
-    cyclic = core.select("flow_id").distinct().withColumn("is_acyclic", F.lit(False))
+    stage = Stage(edges.sparkSession, "acyclic")
+    edges = stage.put("edges", edges.select(*EDGE).distinct())
+    core, size = _core(edges, stage, "core")
     every = edges.select("flow_id").distinct()
     if not size:
         return every.withColumn("is_acyclic", F.lit(True))
+    cyclic = core.select("flow_id").distinct().withColumn("is_acyclic", F.lit(False))
     return every.join(cyclic, "flow_id", "left").withColumn("is_acyclic", F.coalesce("is_acyclic", F.lit(True)))
 
 
-def _spread(state: DataFrame, edges: DataFrame, better: Column, value: str) -> DataFrame:
+def _settle(state: DataFrame, settled: Settled, stage: Stage, name: str, r: int) -> tuple[DataFrame, bool]:
+    """Rows of flows without a new row go to the result; the others are the state of the next round, if there are any."""
+    written = stage.put(f"{name}-{r}", state)
+    busy = written.filter("_new").select("flow_id").distinct()
+    settled.add(r, lookup(written, busy.withColumn("_busy", F.lit(True)), ["flow_id"], "left").filter("_busy is null").drop("_busy", "_new"))
+    if busy.isEmpty():
+        return written, False
+    open_ = stage.put(f"{name}-{r}-open", lookup(written, busy, ["flow_id"], "left_semi"))
+    stage.drop(f"{name}-{r}")
+    return open_, True
+
+
+def _spread(state: DataFrame, edges: DataFrame, better: Column, value: str, stage: Stage, name: str) -> DataFrame:
     """Push ``value`` along the edges until no vertex improves. Only improved vertices push in the next round."""
-    frontier = state
+    settled = Settled(stage, name)
+    state, r = state.withColumn("_new", F.lit(True)), 0
     while True:
+        frontier = state.filter("_new").drop("_new")
         offers = (
             lookup(edges, frontier.withColumnRenamed("stage", "src_stage"), ["flow_id", "src_stage"])
             .groupBy("flow_id", F.col("dest_stage").alias("stage"))
             .agg(F.max(value).alias("_offer"))
         )
-        joined = state.join(offers, ["flow_id", "stage"], "left")
+        joined = state.drop("_new").join(offers, ["flow_id", "stage"], "left")
         improved = F.coalesce(better, F.lit(False))
-        state = cut(
-            joined.select(
-                "flow_id", "stage", F.when(improved, F.col("_offer")).otherwise(F.col(value)).alias(value), improved.alias("_new")
-            )
+        moved = joined.select(
+            "flow_id", "stage", F.when(improved, F.col("_offer")).otherwise(F.col(value)).alias(value), improved.alias("_new")
         )
-        frontier = state.filter("_new").drop("_new")
-        state = state.drop("_new")
-        if frontier.isEmpty():
-            return state
+        state, more = _settle(moved, settled, stage, f"{name}-state", r)
+        if r:
+            stage.drop(f"{name}-state-{r - 1}-open")
+        if not more:
+            stage.drop(f"{name}-state-{r}")
+            return settled.read().drop("_round")
+        r += 1
 
 
 def cycle_steps(edges: DataFrame) -> DataFrame:
@@ -113,34 +154,38 @@ def cycle_steps(edges: DataFrame) -> DataFrame:
     largest vertex that reaches each vertex; a vertex with its own colour is a root, and what reaches the root
     inside its colour is the root's component. Components are taken out and the rest goes into the next round.
     """
-    proper = cut(edges.select(*EDGE).filter("src_stage <> dest_stage").distinct())
-    found = []
-    core, size = _core(proper)
+    stage = Stage(edges.sparkSession, "cycles")
+    proper = stage.put("edges", edges.select(*EDGE).filter("src_stage <> dest_stage").distinct())
+    found = Settled(stage, "found")
+    core, size = _core(proper, stage, "core0")
+    r = 0
     while size:
-        colored = _spread(
-            vertices(core).withColumn("color", F.col("stage")), core, F.col("_offer") > F.col("color"), "color"
-        )
+        start = vertices(core).withColumn("color", F.col("stage"))
+        colored = _spread(start, core, F.col("_offer") > F.col("color"), "color", stage, f"color{r}")
         src = colored.select("flow_id", F.col("stage").alias("src_stage"), F.col("color").alias("_src_color"))
         dest = colored.select("flow_id", F.col("stage").alias("dest_stage"), F.col("color").alias("_dest_color"))
         same = core.join(src, ["flow_id", "src_stage"]).join(dest, ["flow_id", "dest_stage"])
-        backward = cut(
+        backward = stage.put(
+            f"backward{r}",
             same.filter("_src_color = _dest_color").select(
                 "flow_id", F.col("dest_stage").alias("src_stage"), F.col("src_stage").alias("dest_stage")
-            )
+            ),
         )
         marks = colored.withColumn("mark", F.when(F.col("stage") == F.col("color"), 1).otherwise(0))
-        reached = _spread(
-            marks.select("flow_id", "stage", "mark"), backward, (F.col("_offer") == 1) & (F.col("mark") == 0), "mark"
-        ).filter("mark = 1")
-        members = cut(reached.join(colored, ["flow_id", "stage"]).select("flow_id", "stage", F.col("color").alias("cycle_id")))
-        found.append(members)
+        unmarked = (F.col("_offer") == 1) & (F.col("mark") == 0)
+        reached = _spread(marks.select("flow_id", "stage", "mark"), backward, unmarked, "mark", stage, f"mark{r}").filter("mark = 1")
+        members = reached.join(colored, ["flow_id", "stage"]).select("flow_id", "stage", F.col("color").alias("cycle_id"))
+        members = stage.put(f"members{r}", members)
+        found.add(r, members)
         gone = members.select("flow_id", "stage")
         rest = core.join(gone.withColumnRenamed("stage", "src_stage"), ["flow_id", "src_stage"], "left_anti")
         rest = rest.join(gone.withColumnRenamed("stage", "dest_stage"), ["flow_id", "dest_stage"], "left_anti")
-        core, size = _core(cut(rest.select(*EDGE)))
-    if not found:
+        r += 1
+        core, size = _core(stage.put(f"rest{r}", rest.select(*EDGE)), stage, f"core{r}")
+        stage.drop(f"backward{r - 1}", f"members{r - 1}")
+    if not r:
         return vertices(proper).withColumn("cycle_id", F.col("stage")).limit(0)
-    components = reduce(DataFrame.unionByName, found)
+    components = found.read().drop("_round")
     several = components.groupBy("flow_id", "cycle_id").count().filter("count > 1").drop("count")
     return components.join(several, ["flow_id", "cycle_id"], "left_semi").select("flow_id", "stage", "cycle_id")
 
@@ -151,9 +196,10 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps (Kiveris et al., 2014): each links neighbours to the smallest
     vertex around, and the number of rounds grows with the logarithm of the size, not with the diameter.
     """
-    edges = cut(edges.select(*EDGE).distinct())
+    stage = Stage(edges.sparkSession, "components")
+    edges = stage.put("edges", edges.select(*EDGE).distinct())
     high, low = F.greatest("src_stage", "dest_stage"), F.least("src_stage", "dest_stage")
-    pairs = edges.select("flow_id", high.alias("u"), low.alias("v")).filter("u <> v")
+    pairs = edges.select("flow_id", high.alias("u"), low.alias("v")).filter("u <> v").distinct()
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         """Neighbours above (large) or not above (small) each vertex are linked to the smallest vertex around it."""
@@ -172,18 +218,22 @@ def components(edges: DataFrame) -> DataFrame:
             linked = joined.select("flow_id", F.explode(own).alias("u"), F.col("low").alias("v"))
         return linked.filter("u <> v").distinct()
 
-    def fingerprint(pairs: DataFrame) -> tuple:
-        spot = F.xxhash64("flow_id", "u", "v")
-        return tuple(pairs.agg(F.count(F.lit(1)), F.bit_xor(spot), F.sum(F.pmod(spot, F.lit(1_000_003)))).first())
-
-    before = fingerprint(pairs)
+    settled = Settled(stage, "settled")
+    r = 0
     while True:
-        pairs = cut(star(star(pairs, large=True), large=False))
-        now = fingerprint(pairs)
-        if now == before:
+        # Each pair with whether it is there before the round, after it, or both: a flow in which none is there once is done.
+        after = star(star(pairs, large=True), large=False).withColumn("_after", F.lit(True))
+        both = pairs.withColumn("_before", F.lit(True)).join(after, ["flow_id", "u", "v"], "full_outer")
+        marked = both.select("flow_id", "u", "v", F.col("_after").isNotNull().alias("_kept"), (F.col("_before").isNull() | F.col("_after").isNull()).alias("_new"))
+        open_, more = _settle(marked, settled, stage, "pairs", r)
+        if r:
+            stage.drop(f"pairs-{r - 1}-open")
+        if not more:
+            stage.drop(f"pairs-{r}")
             break
-        before = now
-    lows = pairs.select("flow_id", F.col("u").alias("stage"), F.col("v").alias("low"))
+        pairs = open_.filter("_kept").select("flow_id", "u", "v")
+        r += 1
+    lows = settled.read().select("flow_id", F.col("u").alias("stage"), F.col("v").alias("low"))
     return (
         vertices(edges)
         .join(lows, ["flow_id", "stage"], "left")
@@ -192,22 +242,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str | None = None) -> DataFrame:
-    """Distance and predecessor of every vertex from each source of its flow.
+    """Distance and predecessor of every vertex that can be reached from a source of its flow; the source itself is at 0.
 
-    ``sources`` has flow_id and source. Without ``weight`` each edge counts 1; a negative weight is an error.
-    Unreached vertices have a null distance. Of several shortest paths the one with the fewest edges counts,
-    then the smallest predecessor. Rounds only follow vertices whose distance improved.
+    ``sources`` has flow_id and source; one that no edge has is left out. Without ``weight`` each edge counts 1; a
+    negative weight is an error. Of several shortest paths the one with the fewest edges counts, then the smallest
+    predecessor. Rounds only follow vertices whose distance improved.
     """
+    stage = Stage(edges.sparkSession, "paths")
     length = F.lit(1).cast("bigint") if weight is None else F.col(weight)
     checked = F.when(length < 0, F.raise_error(F.lit("negative edge weight"))).otherwise(length)
-    hops = cut(edges.select(*EDGE, checked.alias("_length")).groupBy(*EDGE).agg(F.min("_length").alias("_length")))
+    hops = stage.put("hops", edges.select(*EDGE, checked.alias("_length")).groupBy(*EDGE).agg(F.min("_length").alias("_length")))
     keys = ["flow_id", "source", "stage"]
     zero = F.lit(0).cast(hops.schema["_length"].dataType)
     start = sources.select("flow_id", "source", F.col("source").alias("stage")).distinct()
-    start = start.withColumn("best", F.struct(zero.alias("distance"), F.lit(0).alias("edges"), F.lit(None).cast("int").alias("predecessor")))
-    state = cut(start)
-    frontier = state
+    start = start.join(vertices(hops), ["flow_id", "stage"], "left_semi").select(*keys)
+    best = F.struct(zero.alias("distance"), F.lit(0).alias("edges"), F.lit(None).cast("int").alias("predecessor"))
+    state = stage.put("start", start.select(*keys, best.alias("best"), F.lit(True).alias("_new")))
+    settled = Settled(stage, "settled")
+    r = 0
     while True:
+        frontier = state.filter("_new").drop("_new")
         offers = (
             frontier.withColumnRenamed("stage", "src_stage")
             .join(hops, ["flow_id", "src_stage"])
@@ -224,12 +278,13 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str | None = No
             .groupBy(*keys)
             .agg(F.min("offer").alias("offer"))
         )
-        joined = state.join(offers, keys, "full_outer")
+        joined = state.drop("_new").join(offers, keys, "full_outer")
         improved = F.col("best").isNull() | F.coalesce(F.col("offer") < F.col("best"), F.lit(False))
-        state = cut(joined.select(*keys, F.when(improved, F.col("offer")).otherwise(F.col("best")).alias("best"), improved.alias("_new")))
-        frontier = state.filter("_new").drop("_new")
-        state = state.drop("_new")
-        if frontier.isEmpty():
-            break
-    every = vertices(hops).join(sources.select("flow_id", "source").distinct(), "flow_id")
-    return every.join(state, keys, "left").select(*keys, "best.distance", "best.predecessor")
+        moved = joined.select(*keys, F.when(improved, F.col("offer")).otherwise(F.col("best")).alias("best"), improved.alias("_new"))
+        state, more = _settle(moved, settled, stage, "state", r)
+        if r:
+            stage.drop(f"state-{r - 1}-open")
+        if not more:
+            stage.drop(f"state-{r}", "hops", "start")
+            return settled.read().select(*keys, "best.distance", "best.predecessor")
+        r += 1

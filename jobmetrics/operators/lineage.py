@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobmetrics.functions.names import UNKNOWN
 from jobmetrics.functions.numbers import pretty_bytes, size_class
 from jobmetrics.functions.status import mood, step_color
-from jobmetrics.operators.skew import lookup, with_chunk
+from jobmetrics.operators.skew import lookup
 
 
 def lineage_edges(taps: DataFrame) -> DataFrame:
@@ -30,6 +32,12 @@ def lineage_edges(taps: DataFrame) -> DataFrame:
     return lookup(readers, writers, ["flow_id", "path"]).select("flow_id", "src_stage", "dest_stage").distinct()
 
 
+def all_edges(*edges: DataFrame) -> DataFrame:
+    """Distinct edges of several sources, such as the planned order of steps and the paths they share."""
+    columns = ["flow_id", "src_stage", "dest_stage"]
+    return reduce(DataFrame.unionByName, [e.select(*columns) for e in edges]).distinct()
+
+
 def flow_io(taps: DataFrame, flows: DataFrame) -> DataFrame:
     """Distinct input and output paths per flow, without those under its temporary directory."""
     paths = taps.select(
@@ -59,28 +67,14 @@ def flat_taps(taps: DataFrame) -> DataFrame:
     return taps.withColumn("path", F.explode(children)).drop("children")
 
 
-def with_taps(steps: DataFrame, taps: DataFrame, max_taps: int = 10_000) -> DataFrame:
-    """Attach the maps ``sources`` and ``sink`` (path -> field names) to each step.
+def with_taps(steps: DataFrame, taps: DataFrame) -> DataFrame:
+    """The steps with their taps, one row for each: direction, path and fields. Steps without taps stay, with nulls.
 
-    A step with more than about ``max_taps`` taps gives several rows, told apart by ``chunk``, that together
-    hold all of them. Of several rows for one path the largest field list stays.
+    Of several rows for one path of a step the largest field list stays.
     """
     keys = ["step_id", "direction", "path"]
     single = taps.withColumn("path", F.coalesce("path", F.lit(UNKNOWN))).groupBy(*keys).agg(F.max("fields").alias("fields"))
-    chunked = with_chunk(single, ["step_id"], ["direction", "path"], max_taps)
-
-    def tap_map(direction: str):
-        entry = F.when(F.col("direction") == direction, F.struct("path", "fields"))
-        return F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("sources" if direction == "source" else "sink")
-
-    maps = chunked.groupBy("step_id", "chunk").agg(tap_map("source"), tap_map("sink"))
-    empty = F.from_json(F.lit("{}"), "map<string,array<string>>")
-    return (
-        steps.join(maps, "step_id", "left")
-        .withColumn("chunk", F.coalesce("chunk", F.lit(0)))
-        .withColumn("sources", F.coalesce("sources", empty))
-        .withColumn("sink", F.coalesce("sink", empty))
-    )
+    return steps.join(single, "step_id", "left")
 
 
 def labelled_edges(edges: DataFrame, steps: DataFrame) -> DataFrame:

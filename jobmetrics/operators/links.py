@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobmetrics.functions import names
 from jobmetrics.functions.status import COMPLETED, is_failing
 from jobmetrics.functions.templates import fill_named
-from jobmetrics.operators.cluster import ServerConfig, link
+from jobmetrics.operators.cluster import ServerConfig, link, link_host
 
 # Service ports.
 HISTORY_PORT, APPLICATION_PORT, LEGACY_PORT = "19888", "8088", "50030"
@@ -52,7 +52,7 @@ _FLOW_FIELDS = ["flow_id", "flow_status", "user_name", "truncated_name", "jt_url
 def step_links(steps: DataFrame, flows: DataFrame, config: ServerConfig = ServerConfig()) -> DataFrame:
     """Rows (flow_id, step_number, flow_status, name, url): log, application, failed-task and custom links."""
     job_id, status = F.col("job_id"), F.col("step_status")
-    history_host, manager = names.host_of(F.col("yarn_job_history")), names.host_of(F.col("jt_url"))
+    history_host, manager = F.col("_history_host"), F.col("_manager_host")
     number = names.application_number(job_id)
     finished = link(config, history_host, HISTORY_PORT, F.concat(F.lit("/jobhistory/job/job_"), number))
     live = link(config, history_host, APPLICATION_PORT, F.concat(F.lit("/proxy/application_"), number))
@@ -76,7 +76,11 @@ def step_links(steps: DataFrame, flows: DataFrame, config: ServerConfig = Server
         F.when(launched & ~yarn, _entry("View Hadoop Logs", legacy)),
     ]
     wanted = ["flow_id", "step_number", "step_status", "job_id", "failed_map_tasks", "failed_reduce_tasks", "extra_links"]
-    joined = steps.select(*wanted).join(flows.select(*_FLOW_FIELDS), "flow_id")
+    hosts = {
+        "_history_host": link_host(config, names.host_of(F.col("yarn_job_history"))),
+        "_manager_host": link_host(config, names.host_of(F.col("jt_url"))),
+    }
+    joined = steps.select(*wanted).join(flows.select(*_FLOW_FIELDS).withColumns(hosts), "flow_id")
     return _link_rows(joined, fixed, "extra_links", _values(True), ["flow_id", "step_number", "flow_status"])
 
 
@@ -86,7 +90,10 @@ def flow_links(flows: DataFrame) -> DataFrame:
 
 
 def failure_links(steps: DataFrame, flows: DataFrame, config: ServerConfig = ServerConfig()) -> DataFrame:
-    """For runs that need attention: pages of failed tasks, else the client logs."""
+    """For runs that need attention: pages of failed tasks, else the client logs.
+
+    Both kinds are told apart by a rank of their own and go through one pass by flow, which keeps the better kind.
+    """
     failing = flows.filter(is_failing(F.col("flow_status")))
     # Only failed steps with failed tasks can give a link here.
     broken = steps.filter(
@@ -98,4 +105,6 @@ def failure_links(steps: DataFrame, flows: DataFrame, config: ServerConfig = Ser
     )
     logs = flow_links(failing).filter(F.col("name") == CLIENT_LOGS)
     logs = logs.groupBy("flow_id", "name").agg(F.min("url").alias("url"))
-    return tasks.unionByName(logs.join(tasks.select("flow_id").distinct(), "flow_id", "left_anti"))
+    has_pages = F.count_if("_page").over(Window.partitionBy("flow_id")) > 0
+    every = tasks.withColumn("_page", F.lit(True)).unionByName(logs.withColumn("_page", F.lit(False)))
+    return every.withColumn("_pages", has_pages).filter(F.col("_page") | ~F.col("_pages")).drop("_page", "_pages")

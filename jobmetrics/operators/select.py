@@ -40,8 +40,8 @@ def completed_flow_ids(flows: DataFrame) -> DataFrame:
 
 
 def like_pattern(term: str) -> str:
-    """URL-decoded term, first plus sign as a space, trimmed, blanks as wildcards."""
-    text = unquote(term).replace("+", " ", 1).strip()
+    """URL-decoded term, first plus sign as a space, trimmed, blanks as wildcards. A backslash stands for itself."""
+    text = unquote(term).replace("+", " ", 1).strip().replace("\\", "\\\\")
     return "%" + re.sub(r"\s+", "%", text) + "%"
 
 

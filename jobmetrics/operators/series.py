@@ -130,7 +130,7 @@ def step_tips(steps: DataFrame) -> DataFrame:
 
 
 def history_series(runs: DataFrame) -> DataFrame:
-    """Ten metrics per run; values are at least 1. ``runs`` has the flow columns and the totals of the flow."""
+    """Ten metrics per run; values are at least 1. ``runs`` has the flow columns and the totals of the flow; a missing total is 0."""
     label = chart_label(F.col("create_date") * 1000)
 
     def point(metric: str, value: Column, tip: Column, color: Column) -> Column:
@@ -166,7 +166,7 @@ def history_series(runs: DataFrame) -> DataFrame:
         ("gcs_read_gb", "flow_gs_bytes_read", "Total GS Reads: "),
         ("disk_read_gb", "flow_file_bytes_read", "Cluster Disk Reads: "),
     ):
-        size = F.col(column)
+        size = _zero(column)
         points.append(point(metric, giga(size), F.concat(F.lit(title), pretty_bytes(size)), size_class(size)))
     for metric, millis, title in (
         ("cpu_secs", _zero("flow_cpu_millis"), "Flow CPU time all tasks/cores: "),

@@ -1,8 +1,8 @@
 """Per-key work that stays spread out when one key holds a large part of the rows.
 
 Each helper bounds what one task sees of a key: ranking filters are cut down before the shuffle, windows run
-inside (key, bucket) slices with the slices stitched together from small aggregates, joins with one row per key
-can be split by adaptive execution, and documents are built from chunks of bounded size.
+inside (key, bucket) slices with the slices stitched together from small aggregates, and joins with one row per key
+can be split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -29,10 +29,13 @@ def lookup(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str =
         return df
 
     def renewed(key: str) -> Column:
+        """The same values under an expression that the optimizer doesn't see through; keys of any type."""
         kind = per_key.schema[key].dataType
         if isinstance(kind, T.StringType):
             return F.coalesce(F.concat(key, F.lit("")), F.lit(""))
-        return F.coalesce(F.bitwise_not(F.bitwise_not(key)), F.lit(0).cast(kind))
+        if isinstance(kind, T.IntegralType):
+            return F.coalesce(F.bitwise_not(F.bitwise_not(key)), F.lit(0).cast(kind))
+        return F.try_element_at(F.array(key), F.lit(1))
 
     right = known(per_key).withColumns({key: renewed(key) for key in keys})
     return (known(rows) if how in ("inner", "left_semi") else rows).join(right, list(keys), how)
@@ -98,19 +101,3 @@ def rank_in_slices(df: DataFrame, keys: Sequence[str], bucket: Sequence[str], or
         .withColumn(name, F.col("_inside") + F.col("_offset"))
         .drop("_inside", "_offset")
     )
-
-
-def with_chunk(df: DataFrame, keys: Sequence[str], spread: Sequence[str], rows: int) -> DataFrame:
-    """Number the rows of each key into chunks of about ``rows`` rows. Keys that fit get the single chunk 0.
-
-    Only keys that need several chunks are looked up, at most one for each ``rows`` rows of input. The result
-    is moved by (keys, chunk), as grouping by those would otherwise stay within the partitions of the keys.
-    """
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > rows)
-    chunks = F.ceil(F.col("_size") / F.lit(rows))
-    return (
-        lookup(df, large, keys, "left")
-        .withColumn("chunk", F.coalesce(F.pmod(F.xxhash64(*spread), chunks), F.lit(0)).cast("int"))
-        .drop("_size")
-        .repartition(*keys, "chunk")
-    )

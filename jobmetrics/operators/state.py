@@ -63,17 +63,21 @@ def has_aggregated(updates: DataFrame) -> DataFrame:
     return updates.filter(F.col("aggregated").isNotNull())
 
 
+def _merged(current: DataFrame, fresh: DataFrame, keys: Sequence[str], keep_old: bool) -> DataFrame:
+    """One full outer join of two tables with unique keys; of a key in both, one side's row as a whole."""
+    rest = [c for c in current.columns if c not in keys]
+    old, new = F.struct(*rest).alias("_old"), F.struct(*rest).alias("_new")
+    joined = current.select(*keys, old).join(fresh.select(*keys, new), list(keys), "full_outer")
+    row = F.coalesce("_old", "_new") if keep_old else F.coalesce("_new", "_old")
+    return joined.select(*keys, row.alias("_row")).select(*keys, "_row.*").select(*current.columns)
+
+
 def insert_edges(current: DataFrame, new: DataFrame, seq: Sequence[str]) -> DataFrame:
     """Add edges that are not there yet; the first one to arrive wins."""
     keys = ["flow_id", "src_stage", "dest_stage"]
     rest = [c for c in new.columns if c not in keys]
-    first = (
-        new.groupBy(*keys)
-        .agg(F.min_by(F.struct(*rest), F.struct(*seq)).alias("_row"))
-        .select(*keys, "_row.*")
-        .select(*current.columns)
-    )
-    return current.unionByName(first.join(current, keys, "left_anti"))
+    first = new.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*seq)).alias("_row"))
+    return _merged(current, first.select(*keys, "_row.*"), keys, keep_old=True)
 
 
 def upsert_agg(current: DataFrame, updates: DataFrame, seq: Sequence[str]) -> DataFrame:
@@ -81,8 +85,7 @@ def upsert_agg(current: DataFrame, updates: DataFrame, seq: Sequence[str]) -> Da
     keys = ["epoch_ms", "flow_id"]
     rest = [c for c in updates.columns if c not in keys]
     last = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*seq)).alias("_row"))
-    fresh = last.select(*keys, "_row.*").select(*current.columns)
-    return fresh.unionByName(current.join(fresh.select(*keys), keys, "left_anti"))
+    return _merged(current, last.select(*keys, "_row.*"), keys, keep_old=False)
 
 
 def changed_steps(updates: DataFrame, seq: Sequence[str], bucket: str, known: DataFrame | None = None) -> DataFrame:

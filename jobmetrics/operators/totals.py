@@ -37,8 +37,16 @@ def flow_totals(steps: DataFrame, extra: Mapping[str, Column] | None = None) ->
 
 
 def aggregate_or(aggregated: Column, name: str, default: float | int) -> Column:
-    """An aggregate kept with the flow, or the default."""
-    return F.coalesce(aggregated[name], F.lit(default))
+    """An aggregate kept with the flow, or the default, in the default's type."""
+    kind = "bigint" if isinstance(default, int) else "double"
+    return F.coalesce(aggregated[name].cast(kind), F.lit(default).cast(kind))
+
+
+def stored_totals(flows: DataFrame) -> DataFrame:
+    """The aggregates kept with each flow (map ``aggregated``) as columns: progress and the counter totals, null where absent."""
+    kept = F.col("aggregated")
+    totals = {name: kept[name].cast("bigint") for name in FLOW_TOTALS}
+    return flows.withColumns({"flow_progress": kept["flow_progress"].cast("double"), **totals})
 
 
 def merge_maps(left: Column, right: Column) -> Column:

@@ -11,7 +11,7 @@ from jobmetrics.functions import names
 from jobmetrics.functions.numbers import duration_text, half_up
 from jobmetrics.functions.times import date_text
 from jobmetrics.operators.cluster import ServerConfig, describe_flows
-from jobmetrics.operators.skew import latest_per_key, with_chunk
+from jobmetrics.operators.skew import latest_per_key
 from jobmetrics.schemas import FLOW_DOC, NULLABLE_COUNTERS, STEP_COUNTERS, STEP_DOC, TOTAL_ONLY_COUNTERS
 
 # Settings of the tracker itself start with a prefix that the deployment chooses.
@@ -22,8 +22,8 @@ DESCRIPTION_KEY = "scalding.step.descriptions"
 
 def counter(counters: Column, group: str, name: str, default: int | None = 0) -> Column:
     """Counter value; absent or 0 gives the default."""
-    value = counters[group][name]
-    return F.nullif(value, F.lit(0)) if default is None else F.coalesce(value, F.lit(default).cast("bigint"))
+    value = F.nullif(counters[group][name], F.lit(0))
+    return value if default is None else F.coalesce(value, F.lit(default).cast("bigint"))
 
 
 def unpack_flows(flows: DataFrame, config: ServerConfig, mapping: DataFrame | None = None) -> DataFrame:
@@ -90,21 +90,10 @@ def counter_rows(steps: DataFrame) -> DataFrame:
     return groups.select("flow_id", "step_id", "group_name", F.explode("group_counters").alias("counter_name", "value"))
 
 
-def counters_map(rows: DataFrame, seq: str, max_counters: int = 10_000) -> DataFrame:
-    """Counter rows (step_id, group_name, counter_name, value) back to one map of maps per step.
-
-    Group names are cleaned; of a repeated counter the last by ``seq`` stays. A step with more than about
-    ``max_counters`` counters gives several rows, told apart by ``chunk``.
-    """
+def counter_values(rows: DataFrame, seq: str) -> DataFrame:
+    """Counter rows (step_id, group_name, counter_name, value) with clean group names, the last by ``seq`` of a repeated one."""
     cleaned = rows.withColumn("group_name", names.clean_group(F.col("group_name")))
-    single = cleaned.groupBy("step_id", "group_name", "counter_name").agg(F.max_by("value", seq).alias("value"))
-    chunked = with_chunk(single, ["step_id"], ["group_name", "counter_name"], max_counters)
-    inner = chunked.groupBy("step_id", "chunk", "group_name").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("counter_name", "value")))).alias("values")
-    )
-    return inner.groupBy("step_id", "chunk").agg(
-        F.map_from_entries(F.collect_list(F.struct("group_name", "values"))).alias("counters")
-    )
+    return cleaned.groupBy("step_id", "group_name", "counter_name").agg(F.max_by("value", seq).alias("value"))
 
 
 def select_props(df: DataFrame, wanted: Sequence[str], default: str = names.UNKNOWN) -> DataFrame:

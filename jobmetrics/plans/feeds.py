@@ -2,15 +2,20 @@
 
 from pyspark.sql import functions as F
 
-from jobmetrics.operators import unpack
+from jobmetrics.operators import totals, unpack
+from jobmetrics.operators.cluster import ARGS_KEY
+from jobmetrics.operators.series import history_series
 from jobmetrics.plans.functions import counters_struct
 from jobmetrics.plans.registry import query
-from jobmetrics.plans.selections import BASE_SQL
+from jobmetrics.plans.series import history_sql
+from jobmetrics.plans.settings import CONFIG, DESCRIBED
 from jobmetrics.plans.states import CHANGED, CHANGED_SQL, STEP_STATE_SQL
 from jobmetrics.plans.tables import ARRIVAL
+from jobmetrics.plans.totals import LISTING_SQL, PROGRESS_SQL
 from jobmetrics.runtime import scratch_path
-from jobmetrics.schemas import AGG_DOC
+from jobmetrics.schemas import AGG_DOC, FLOW_DOC
 from jobmetrics.sources import feeds
+from jobmetrics.sources.ingest import empty_store, ingest, write_store
 from jobmetrics.sources.store import TableNames, load_store, write_table
 from jobmetrics.streaming import feeds as streams
 
@@ -40,7 +45,7 @@ def _(t):
     path = posted(t, envelope(t.flows, body, F.col("update_date"), F.col("flow_priority")), "flow-feed")
     return feeds.read_flow_updates(t.spark, path).select(
         "flow_id", "flow_name", "flow_status", "user_name", "flow_duration", "tmp_dir",
-        F.col("aggregated")["flow_progress"].alias("progress"), F.col("config_props")["args"].alias("job_args"),
+        F.col("aggregated")["flow_progress"].cast("double").alias("progress"), F.col("config_props")["args"].alias("job_args"),
         "update_date", "seq",
     )
 
@@ -54,7 +59,10 @@ def _(t):
     step = F.struct(
         "step_id", "step_number", "step_status", "map_progress", "has_reduce_stage", counters_struct(t).alias("counters")
     )
-    path = posted(t, envelope(t.step_updates, F.array(step), F.col("arrived"), F.col("seq_a")), "step-feed")
+    # A report holds the steps of a flow that arrived together.
+    reports = t.step_updates.select("flow_id", "arrived", "seq_a", step.alias("step"))
+    reports = reports.groupBy("flow_id", "arrived", "seq_a").agg(F.collect_list("step").alias("steps"))
+    path = posted(t, envelope(reports, F.col("steps"), F.col("arrived"), F.col("seq_a")), "step-feed")
     steps = unpack.counter_columns(feeds.read_step_updates(t.spark, path))
     return steps.select(
         "flow_id", "step_id", "step_number", "step_status", "map_progress", "has_reduce_stage", "cpu_millis", "gs_bytes_read", "seq"
@@ -63,8 +71,10 @@ def _(t):
 
 @query("s3_read_edges", "select flow_id, src_stage, dest_stage from edges")
 def _(t):
-    body = F.create_map(F.col("src_stage").cast("string"), F.array("dest_stage"))
-    path = posted(t, envelope(t.edges, body, F.lit(1), F.lit(1)), "edge-feed")
+    # A report holds all edges of a flow.
+    targets = t.edges.groupBy("flow_id", "src_stage").agg(F.collect_list("dest_stage").alias("targets"))
+    entries = F.map_from_entries(F.collect_list(F.struct(F.col("src_stage").cast("string"), "targets"))).alias("body")
+    path = posted(t, envelope(targets.groupBy("flow_id").agg(entries), F.col("body"), F.lit(1), F.lit(1)), "edge-feed")
     return feeds.read_edges(t.spark, path).select("flow_id", "src_stage", "dest_stage")
 
 
@@ -81,71 +91,197 @@ def _(t):
     return read.select("flow_id", "epoch_ms", stored["value"].alias("metric"), F.col("metrics")["user"].alias("user"), "seq")
 
 
-@query("s5_load_store", f"select {BASE_SQL} from flows where create_date > 946684800")
+@query(
+    "s5_load_store",
+    """select 'flows' as store, flow_id as key, concat_ws('|', flow_name, flow_status, create_date, update_date) as content from flows
+    union all select 'steps', step_id, concat_ws('|', flow_id, step_status) from steps
+    union all select 'edges', flow_id, concat_ws('|', src_stage, dest_stage) from edges
+    union all select 'aggregates', flow_id, concat_ws('|', epoch_ms, payload, seq) from agg""",
+)
 def _(t):
     root, names = scratch_path(t.spark, "store"), TableNames(flows="flows_new", steps="steps_new")
     write_table(t.flows.select("flow_id", "flow_name", "flow_status", "create_date", "update_date"), root, names.flows, "create_date")
     write_table(t.steps.select("step_id", "flow_id", "step_status"), root, names.steps)
     write_table(t.edges, root, names.edges)
     write_table(t.agg, root, names.aggregates, "epoch_ms")
-    return load_store(t.spark, root, names).flows.filter("create_date > 946684800")
+    store = load_store(t.spark, root, names)
+
+    def part(name, df, key, *content):
+        text = F.concat_ws("|", *[F.col(c).cast("string") for c in content])
+        return df.select(F.lit(name).alias("store"), F.col(key).alias("key"), text.alias("content"))
+
+    return (
+        part("flows", store.flows, "flow_id", "flow_name", "flow_status", "create_date", "update_date")
+        .unionByName(part("steps", store.steps, "step_id", "flow_id", "step_status"))
+        .unionByName(part("edges", store.edges, "flow_id", "src_stage", "dest_stage"))
+        .unionByName(part("aggregates", store.aggregates, "flow_id", "epoch_ms", "payload", "seq"))
+    )
+
+
+def broken_feed(t):
+    """Snapshot reports as posted, those of kind error cut short."""
+    text = F.to_json(F.struct("*"))
+    head = F.concat(F.lit('{"flow_id":"'), "flow_id", F.lit('","seq":'), "seq", F.lit(',"body":{"x'))
+    return agg_envelopes(t, "kind").select("seq", F.when(F.col("kind") == "error", head).otherwise(text).alias("value"))
 
 
-# The reports of failed updates are cut short.
 @query(
     "r3_failure_counts",
     "select flow_id, count(*) as n_failed, count(*) < 10 as tracked from agg where kind = 'error' group by flow_id",
 )
 def _(t):
     path = scratch_path(t.spark, "broken-feed")
-    text = F.to_json(F.struct("*"))
-    broken = F.when(F.col("kind") == "error", F.concat(F.lit('{"flow_id":"'), "flow_id", F.lit('","body":{"x')))
-    agg_envelopes(t, "kind").select(F.coalesce(broken, text).alias("value")).write.text(path)
+    broken_feed(t).select("value").write.text(path)
     _, rejects = feeds.split_rejects(feeds.read_feed(t.spark, path, AGG_DOC))
-    # A cut report still names its flow in the text that was kept.
-    named = rejects.withColumn("flow_id", F.regexp_extract(feeds.CORRUPT, r'"flow_id":"(\d+)"', 1))
-    return streams.failure_counts(named)
+    return streams.failure_counts(rejects)
 
 
-@query(
-    "r3_within_tolerance",
-    """select a.flow_id, a.epoch_ms, a.seq from agg a left join (select flow_id, seq as stop from agg where kind = 'error'
-        qualify row_number() over (partition by flow_id order by seq) = 10) s using (flow_id) where stop is null or seq < stop""",
-)
+TOLERATED = """select a.flow_id, a.epoch_ms, a.seq from agg a left join (select flow_id, seq as stop from agg where kind = 'error'
+        qualify row_number() over (partition by flow_id order by seq) = 10) s using (flow_id) where (stop is null or seq < stop)"""
+
+
+@query("r3_within_tolerance", TOLERATED)
 def _(t):
     failures = t.agg.filter("kind = 'error'")
     return streams.within_tolerance(t.agg, failures, "seq").select("flow_id", "epoch_ms", "seq")
 
 
-def stream_of(t, name):
-    """A table of the directory as a stream of files."""
-    schema = t.raw(name).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.sf_dir)
+PARTS = 3
+
+
+def in_parts(df, order):
+    """Conditions that cut the rows into ``PARTS`` in order of arrival."""
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    bounds = [low + (high - low) * i // PARTS for i in range(1, PARTS)] if low is not None else []
+    column = F.col(order)
+    return [
+        (F.lit(True) if i == 0 else column >= bounds[i - 1]) & (F.lit(True) if i == len(bounds) else column < bounds[i])
+        for i in range(len(bounds) + 1)
+    ]
+
+
+@query("r3_tolerant_stream", TOLERATED + " and kind <> 'error'")
+def _(t):
+    source, out, log, checkpoint = (scratch_path(t.spark, f"tolerant-{part}") for part in ("in", "out", "log", "checkpoint"))
+    lines = broken_feed(t)
+    for part in in_parts(lines, "seq"):
+        lines.filter(part).select("value").write.mode("append").text(source)
+        feed = feeds.read_feed(t.spark, source, AGG_DOC, stream=True)
+        streams.tolerant_stream(feed, out, log, checkpoint, refresh=None).awaitTermination()
+    kept = t.spark.read.parquet(out)
+    return kept.select("flow_id", F.col("body.epoch_ms").alias("epoch_ms"), "seq")
+
+
+def run_in_parts(t, rows, order, name, start):
+    """Let the rows arrive part by part; ``start(stream, path)`` runs the query over what has arrived, from its checkpoint."""
+    source, path = scratch_path(t.spark, f"{name}-in"), scratch_path(t.spark, name)
+    for part in in_parts(rows, order):
+        rows.filter(part).write.mode("append").parquet(source)
+        start(t.spark.readStream.schema(rows.schema).parquet(source), path).awaitTermination()
+    return path
 
 
 @query("r1_r2_r4_stream_upsert", STEP_STATE_SQL)
 def _(t):
-    updates = t.step_updates_from(stream_of(t, "lineitem")).select(
+    updates = t.step_updates.select(
         "flow_id", "step_id", "step_status", "map_progress", F.col("arrived").alias("update_date"), *ARRIVAL
     )
-    log, checkpoint = scratch_path(t.spark, "step-log"), scratch_path(t.spark, "step-checkpoint")
-    streams.upsert_stream(updates, log, checkpoint, ["step_id"], ARRIVAL, refresh=None).awaitTermination()
-    return streams.read_state(t.spark, log, ["step_id"], ARRIVAL).drop(*ARRIVAL)
+
+    def start(stream, path):
+        return streams.upsert_stream(stream, f"{path}/log", f"{path}/checkpoint", ["step_id"], ARRIVAL, refresh=None, every=2)
+
+    path = run_in_parts(t, updates, "arrived", "step-state", start)
+    return streams.read_state(t.spark, f"{path}/log", updates.schema, ["step_id"], ARRIVAL).drop(*ARRIVAL)
 
 
 @query("r5_stream_changes", CHANGED_SQL)
 def _(t):
     month = F.floor(F.col("arrived") / (30 * 86400)).alias("month")
-    updates = t.step_updates_from(stream_of(t, "lineitem")).select("step_id", "step_status", *ARRIVAL, month)
-    out, log, checkpoint = (scratch_path(t.spark, f"changes-{part}") for part in ("out", "log", "checkpoint"))
-    streams.changed_steps_stream(updates, out, log, checkpoint, ARRIVAL, "month", refresh=None).awaitTermination()
-    return t.spark.read.parquet(out).select(*CHANGED)
+    updates = t.step_updates.select("step_id", "step_status", *ARRIVAL, month)
+
+    def start(stream, path):
+        return streams.changed_steps_stream(
+            stream, f"{path}/out", f"{path}/log", f"{path}/checkpoint", ARRIVAL, "month", refresh=None, every=2
+        )
+
+    path = run_in_parts(t, updates, "arrived", "changes", start)
+    return t.spark.read.parquet(f"{path}/out").select(*CHANGED)
 
 
 @query("r6_snapshot_series", "select flow_id, epoch_ms, metric, payload from agg")
 def _(t):
-    snapshots = t.agg_from(stream_of(t, "events")).withColumn("update_date", F.col("epoch_ms"))
-    log, checkpoint = scratch_path(t.spark, "snapshots"), scratch_path(t.spark, "snapshots-checkpoint")
+    snapshots = t.agg.withColumn("update_date", F.col("epoch_ms"))
     keys = ["epoch_ms", "flow_id"]
-    streams.upsert_stream(snapshots, log, checkpoint, keys, ["seq"], refresh=None).awaitTermination()
-    return streams.read_state(t.spark, log, keys, ["seq"]).select("flow_id", "epoch_ms", "metric", "payload")
+
+    def start(stream, path):
+        return streams.upsert_stream(stream, f"{path}/log", f"{path}/checkpoint", keys, ["seq"], refresh=None, every=2)
+
+    path = run_in_parts(t, snapshots, "seq", "snapshots", start)
+    state = streams.read_state(t.spark, f"{path}/log", snapshots.schema, keys, ["seq"])
+    return state.select("flow_id", "epoch_ms", "metric", "payload")
+
+
+def ingested(t):
+    """All tables posted as reports, ingested into empty stores, written and loaded again."""
+    sums = totals.flow_totals(t.steps)
+    kept = F.map_from_arrays(
+        F.array(*[F.lit(c) for c in sums.columns[1:]]), F.array(*[F.col(c).cast("string") for c in sums.columns[1:]])
+    ).alias("aggregated")
+    flow = F.struct(
+        *[c for c in FLOW_DOC.names if c in t.flows.columns and c != "flow_id"],
+        "aggregated",
+        F.create_map(F.lit(ARGS_KEY), F.col("job_args")).alias("config_props"),
+    )
+    flows = t.flows.join(sums.select("flow_id", kept), "flow_id", "left")
+    # Numbers are posted as numbers: the map's texts lose their quotes.
+    body = F.from_json(F.to_json(flow), FLOW_DOC)
+    step = F.struct("step_id", "step_number", "step_status", "map_progress", "has_reduce_stage", counters_struct(t).alias("counters"))
+    edge = F.create_map(F.col("src_stage").cast("string"), F.array("dest_stage"))
+    one = F.lit(1)
+    paths = [
+        posted(t, envelope(flows, body, F.col("create_date"), one), "all-flows"),
+        posted(t, envelope(t.step_updates, F.array(step), F.col("arrived"), F.col("seq_a") * 1_000_000 + F.col("seq_b")), "all-steps"),
+        posted(t, envelope(t.edges, edge, one, one), "all-edges"),
+        posted(t, agg_envelopes(t), "all-agg"),
+    ]
+    read = (feeds.read_flow_updates, feeds.read_step_updates, feeds.read_edges, feeds.read_agg)
+    root = scratch_path(t.spark, "ingested")
+    write_store(ingest(empty_store(t.spark), *[r(t.spark, p) for r, p in zip(read, paths)]), root)
+    return load_store(t.spark, root)
+
+
+@query(
+    "e2e_history",
+    history_sql(),
+    {"runs": "select f.*, t.* exclude (flow_id) from flows f join totals t using (flow_id) where flow_status in ('STOPPED', 'FAILED', 'SUCCESSFUL')"},
+)
+def _(t):
+    """From reports to charts; flows without steps have no aggregates, and ingest leaves them out."""
+    flows = unpack.unpack_flows(ingested(t).flows.filter("flow_status in ('STOPPED', 'FAILED', 'SUCCESSFUL')"), CONFIG)
+    return history_series(totals.stored_totals(flows))
+
+
+@query(
+    "e2e_listing",
+    f"select l.* from ({LISTING_SQL}) l where flow_id in (select flow_id from steps)",
+    {"described": DESCRIBED, "progress": PROGRESS_SQL},
+)
+def _(t):
+    flows = totals.stored_totals(unpack.unpack_flows(ingested(t).flows, CONFIG))
+    return unpack.job_listing(flows, F.col("flow_progress"))
+
+
+@query(
+    "e2e_steps",
+    "select flow_id, step_id, step_number, step_status, map_progress, cpu_millis, n_edges, n_snapshots from (select *, row_number() over "
+    "(partition by step_id order by arrived desc, seq_a desc, seq_b desc) as rn from step_updates) left join "
+    "(select flow_id, src_stage as step_number, count(*) as n_edges from edges group by all) using (flow_id, step_number) left join "
+    "(select flow_id, count(*) as n_snapshots from agg group by all) using (flow_id) where rn = 1",
+)
+def _(t):
+    store = ingested(t)
+    steps = unpack.unpack_steps(store.steps)
+    edges = store.edges.groupBy("flow_id", F.col("src_stage").alias("step_number")).agg(F.count("*").alias("n_edges"))
+    snapshots = store.aggregates.groupBy("flow_id").agg(F.count("*").alias("n_snapshots"))
+    rows = steps.join(edges, ["flow_id", "step_number"], "left").join(snapshots, "flow_id", "left")
+    return rows.select("flow_id", "step_id", "step_number", "step_status", "map_progress", "cpu_millis", "n_edges", "n_snapshots")

@@ -202,8 +202,10 @@ def _(t):
 
 
 def _radius_sql(c: str) -> str:
-    limits = " ".join(f"when {c} <= {a} then {b}" for a, b in zip(numbers.TASK_LIMITS, numbers.TASK_RADII))
-    return f"case {limits} else 70 end"
+    return (
+        f"case when {c} <= 50 then 5 when {c} <= 100 then 10 when {c} <= 500 then 20 when {c} <= 1000 then 30 "
+        f"when {c} <= 5000 then 40 when {c} <= 10000 then 50 when {c} <= 50000 then 60 else 70 end"
+    )
 
 
 @query("x20_task_radius", f"select step_id, {_radius_sql('map_tasks')} as a, {_radius_sql('tuples_read')} as b from steps")
@@ -332,7 +334,7 @@ def _(t):
         "username_link",
         "truncated_name",
         F.array_join("args", "|").alias("args"),
-        C("aggregated")["flow_progress"].alias("progress"),
+        C("aggregated")["flow_progress"].cast("double").alias("progress"),
     )
 
 
@@ -469,10 +471,12 @@ def _(t):
     return hooks.extract(t.steps, both)
 
 
-@query("e5_custom_user", "select flow_id, case when cast(flow_id as bigint) % 2 = 0 then 'custom' || flow_id else user_name end as user_name from flows")
+@query("e5_custom_user", "select flow_id, case when cast(flow_id as bigint) % 2 = 0 then 'custom' || flow_id else 'nobody' end as user_name from flows")
 def _(t):
     custom = F.when(C("flow_id").cast("bigint") % 2 == 0, F.concat(F.lit("custom"), C("flow_id")))
-    return t.flows.select("flow_id", F.coalesce(custom, C("user_name")).alias("user_name"))
+    props = F.create_map(F.lit("own.custom.user.name"), custom).alias("config_props")
+    flows = t.flows.select("flow_id", props, F.lit(None).cast("string").alias("cascade_id"))
+    return unpack.flow_defaults(flows, "nobody", prefix="own.").select("flow_id", "user_name")
 
 
 @query(

@@ -81,14 +81,11 @@ def _(t):
 
 WEIGHTED = """select e.*, s.step_running_time as weight from edges e join steps s
     on s.flow_id = e.flow_id and s.step_number = e.src_stage"""
-STAGES = "select flow_id, src_stage as stage from edges union select flow_id, dest_stage from edges"
 PATHS = """select flow_id, source, source as stage, cast(0 as bigint) as distance, 0 as n, cast(null as int) as predecessor
     from starts union all select p.flow_id, p.source, w.dest_stage, p.distance + w.weight, p.n + 1, w.src_stage
     from paths p join weighted w on w.flow_id = p.flow_id and w.src_stage = p.stage"""
-DISTANCES = """select st.flow_id, sr.source, st.stage, p.distance, p.predecessor from stages st join starts sr using (flow_id)
-    left join (select * from paths qualify row_number() over
-        (partition by flow_id, source, stage order by distance, n, predecessor) = 1) p
-    on p.flow_id = st.flow_id and p.source = sr.source and p.stage = st.stage"""
+DISTANCES = """select flow_id, source, stage, distance, predecessor from paths qualify row_number() over
+    (partition by flow_id, source, stage order by distance, n, predecessor) = 1"""
 
 
 def weighted_edges(t):
@@ -101,7 +98,6 @@ def weighted_edges(t):
     DISTANCES,
     {
         "weighted": WEIGHTED,
-        "stages": STAGES,
         "starts": "select flow_id, min(src_stage) as source from edges group by flow_id",
         "paths": PATHS,
     },
@@ -117,7 +113,6 @@ def _(t):
     DISTANCES,
     {
         "weighted": "select *, cast(1 as bigint) as weight from edges",
-        "stages": STAGES,
         "starts": "select distinct flow_id, src_stage as source from edges e where not exists "
         "(select 1 from edges d where d.flow_id = e.flow_id and d.dest_stage = e.src_stage)",
         "paths": PATHS,
@@ -159,16 +154,22 @@ def _(t):
     return dot_edges(dot_lines(t), last_line_wins=True)
 
 
-@query("s6_read_dot", "select * from edges")
+@query(
+    "s6_read_dot",
+    """select distinct cast(cast(flow_id as bigint) % 50 as varchar) as flow_id, cast(cast(flow_id as bigint) * 10 + src_stage as int) as src_stage,
+        cast(cast(flow_id as bigint) * 10 + dest_stage as int) as dest_stage from edges""",
+)
 def _(t):
+    """Graphs of many vertices and lines, in files whose path names them; a line lists all targets of its node."""
     path = scratch_path(t.spark, "dot")
-    lines = dot_lines(t).filter("line like '%label%'").select("flow_id", F.col("line").alias("vertex"), (F.col("line_no")).alias("stage"))
-    text = t.edges.select("flow_id", "src_stage", "dest_stage")
-    src = lines.withColumnsRenamed({"vertex": "a", "stage": "src_stage"})
-    dest = lines.withColumnsRenamed({"vertex": "b", "stage": "dest_stage"})
-    graphs = text.join(src, ["flow_id", "src_stage"]).join(dest, ["flow_id", "dest_stage"])
-    body = F.format_string(
-        "digraph %s {\n%s\n%s\n  %d -> %d;\n", "flow_id", "a", "b", F.col("src_stage") + 100, F.col("dest_stage") + 100
-    )
-    graphs.select(body.alias("value")).write.option("lineSep", "}\n").text(path)
-    return dot_edges(read_dot(t.spark, path))
+    number = F.col("flow_id").cast("bigint") * 10
+    group = (F.col("flow_id").cast("bigint") % 50).alias("graph")
+    vertex = F.format_string('  %d [label = "%d_%s"];', number + F.col("step_number"), number + F.col("step_number"), F.md5("flow_id"))
+    targets = F.array_join(F.sort_array(F.collect_list((number + F.col("dest_stage")).cast("string"))), " ")
+    edges = t.edges.groupBy("flow_id", "src_stage").agg(targets.alias("targets"))
+    edge = F.format_string("  %d -> %s;", number + F.col("src_stage"), "targets")
+    lines = t.step_keys.select(group, vertex.alias("value")).unionByName(edges.select(group, edge.alias("value")))
+    for head in (F.lit("digraph G {"), F.lit("}")):
+        lines = lines.unionByName(t.step_keys.select(group).distinct().select("graph", head.alias("value")))
+    lines.write.partitionBy("graph").option("lineSep", "\r\n").text(path)
+    return dot_edges(read_dot(t.spark, path, r"graph=([^/]+)/[^/]*$"))

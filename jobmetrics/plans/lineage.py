@@ -61,29 +61,31 @@ def _(t):
 FIELDS_SQL = "'id, f' || step_number"
 
 
-def mapped_steps(t):
-    """Steps with their taps in maps."""
+def tapped_steps(t):
     steps = t.step_keys.withColumn("step_id", F.expr("flow_id || '-' || cast(step_number as string)"))
     return lineage.with_taps(steps, t.taps.select("step_id", "direction", "path", "fields"))
 
 
 @query("p9_p14_tap_rows", f"select flow_id, step_id, step_number, direction, path, {FIELDS_SQL} as fields from taps")
 def _(t):
-    return lineage.tap_rows(mapped_steps(t))
+    """Each tap as the report of its step gives it, in a map of paths to field names."""
+
+    def side(name):
+        none = F.from_json(F.lit("{}"), "map<string,array<string>>")
+        return F.when(F.col("direction") == name, F.create_map("path", "fields")).otherwise(none)
+
+    reported = tapped_steps(t).filter("path is not null")
+    return lineage.tap_rows(reported.select("flow_id", "step_id", "step_number", side("source").alias("sources"), side("sink").alias("sink")))
 
 
 @query(
     "p14_with_taps",
-    "select step_id, count(*) filter (direction = 'source') as n_sources, count(*) filter (direction = 'sink') as n_sinks, "
-    "min(path) filter (direction = 'source') as first_source from taps group by step_id",
+    "select step_id, direction, path, fields from (select step_id, direction, path, "
+    f"{FIELDS_SQL} as fields from taps) union all select flow_id || '-' || step_number, null, null, null from steps "
+    "where (flow_id, step_number) not in (select (flow_id, step_number) from taps)",
 )
 def _(t):
-    return mapped_steps(t).select(
-        "step_id",
-        F.size("sources").cast("bigint").alias("n_sources"),
-        F.size("sink").cast("bigint").alias("n_sinks"),
-        F.array_min(F.map_keys("sources")).alias("first_source"),
-    )
+    return tapped_steps(t).select("step_id", "direction", "path", F.translate(F.array_join("fields", ", "), "'", "").alias("fields"))
 
 
 @query(
@@ -101,9 +103,7 @@ def _(t):
 
 @query(
     "s11_a10_edge_report",
-    """select flow_id, 0 as chunk, '{' || string_agg('"' || src_stage || '":[' || targets || ']', ',' order by src_stage) || '}'
-        as report from (select flow_id, src_stage, string_agg(dest_stage, ',' order by dest_stage) as targets
-        from edges group by all) group by flow_id""",
+    """select flow_id, src_stage, dest_stage, '{"' || src_stage || '":[' || dest_stage || ']}' as report from edges""",
 )
 def _(t):
     return edge_report(t.edges)
@@ -111,14 +111,11 @@ def _(t):
 
 @query(
     "t1_all_edges",
-    "select distinct flow_id, step_number as src_stage, step_number + 1 as dest_stage from steps where step_number < 3 "
-    "union select * from edges",
+    "select distinct flow_id, step_number as src_stage, step_number + 1 as dest_stage from steps union select * from edges",
 )
 def _(t):
-    planned = t.step_keys.filter("step_number < 3").selectExpr(
-        "flow_id", "step_number as src_stage", "step_number + 1 as dest_stage"
-    )
-    return planned.unionByName(t.edges).distinct()
+    planned = t.step_keys.selectExpr("flow_id", "step_number as src_stage", "step_number + 1 as dest_stage")
+    return lineage.all_edges(planned, t.edges)
 
 
 # Links.

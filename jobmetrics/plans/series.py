@@ -91,7 +91,7 @@ def _(t):
     return series.step_tips(t.steps)
 
 
-def _history_sql() -> str:
+def history_sql() -> str:
     base = ["flow_id", "flow_name", f"{utc_sql('create_date * 1000', '%b %-d, %Y %H:%M:%S')} as label"]
 
     def part(metric: str, value: str, tip: str, color: str) -> str:
@@ -129,17 +129,26 @@ def _history_sql() -> str:
     return " union all ".join(parts)
 
 
+_TOTALS = ", ".join(
+    f"coalesce(t_{c}, 0) as t_{c}"
+    for c in (
+        "map_tasks", "reduce_tasks", "hdfs_bytes_written", "gs_bytes_written", "file_bytes_written", "hdfs_bytes_read",
+        "gs_bytes_read", "file_bytes_read", "cpu_millis", "map_vcore_millis", "reduce_vcore_millis",
+    )
+)
+
+
 @query(
     "c2_history_series",
-    _history_sql(),
+    history_sql(),
     {
-        "runs": "select f.*, t.* exclude (flow_id) from flows f join totals t using (flow_id) "
+        "runs": f"select f.*, {_TOTALS} from flows f left join totals t using (flow_id) "
         "where flow_status in ('STOPPED', 'FAILED', 'SUCCESSFUL')"
     },
 )
 def _(t):
     finished = t.flows.filter("flow_status in ('STOPPED', 'FAILED', 'SUCCESSFUL')")
-    return series.history_series(finished.join(totals.flow_totals(t.steps), "flow_id"))
+    return series.history_series(finished.join(totals.flow_totals(t.steps), "flow_id", "left"))
 
 
 TIP_SQL = """'Step ' || step_number || ': ' || case when step_status in ('PENDING', 'SUBMITTED', 'STARTED', 'NOT_LAUNCHED')

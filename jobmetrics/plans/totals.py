@@ -6,7 +6,6 @@ from jobmetrics.operators import cluster, totals, unpack
 from jobmetrics.operators.select import newest_first, running_flows
 from jobmetrics.plans.registry import query
 from jobmetrics.plans.settings import CONFIG, DESCRIBED, date_sql, duration_sql
-from jobmetrics.schemas import FLOW_TOTALS
 
 PROGRESS = """(2 * (sum(cast(round(map_progress * 100) as bigint))
         + sum(case when has_reduce_stage then cast(round(reduce_progress * 100) as bigint) else 0 end))
@@ -20,7 +19,34 @@ def _(t):
     return t.flows.select("flow_id").join(totals.flow_progress(t.steps), "flow_id", "left")
 
 
-_SUMS = ", ".join(f"cast(sum(coalesce({column}, 0)) as bigint) as {name}" for name, column in FLOW_TOTALS.items())
+_SUMMED = {
+    "flow_hdfs_bytes_read": "hdfs_bytes_read",
+    "flow_file_bytes_read": "file_bytes_read",
+    "flow_gs_bytes_read": "gs_bytes_read",
+    "flow_hdfs_bytes_written": "hdfs_bytes_written",
+    "flow_file_bytes_written": "file_bytes_written",
+    "flow_gs_bytes_written": "gs_bytes_written",
+    "flow_total_map_tasks": "map_tasks",
+    "flow_total_reduce_tasks": "reduce_tasks",
+    "flow_map_vcore_millis": "map_vcore_millis",
+    "flow_reduce_vcore_millis": "reduce_vcore_millis",
+    "flow_shuffled_maps": "shuffled_maps",
+    "flow_map_records_out": "map_records_out",
+    "flow_reduce_records_in": "reduce_records_in",
+    "flow_reduce_records_out": "reduce_records_out",
+    "flow_map_bytes_out": "map_bytes_out",
+    "flow_merged_map_outputs": "merged_map_outputs",
+    "flow_reduce_shuffle_bytes": "reduce_shuffle_bytes",
+    "flow_cpu_millis": "cpu_millis",
+    "flow_gc_millis": "gc_millis",
+    "flow_spilled_records": "spilled_records",
+    "flow_heap_committed_bytes": "heap_committed_bytes",
+    "flow_virtual_mem_bytes": "virtual_mem_bytes",
+    "flow_physical_mem_bytes": "physical_mem_bytes",
+    "flow_tuples_read": "tuples_read",
+    "flow_tuples_written": "tuples_written",
+}
+_SUMS = ", ".join(f"cast(sum(coalesce({column}, 0)) as bigint) as {name}" for name, column in _SUMMED.items())
 
 
 @query("a2_flow_totals", f"select flow_id, cast({PROGRESS} as double) as flow_progress, {_SUMS} from steps group by flow_id")
@@ -45,7 +71,7 @@ def _(t):
 )
 def _(t):
     sums = totals.flow_totals(t.steps).select(
-        "flow_id", F.create_map(F.lit("flow_cpu_millis"), F.col("flow_cpu_millis").cast("double")).alias("aggregated")
+        "flow_id", F.create_map(F.lit("flow_cpu_millis"), F.col("flow_cpu_millis").cast("string")).alias("aggregated")
     )
     aggregated = F.col("aggregated")
     return t.flows.select("flow_id").join(sums, "flow_id", "left").select(
@@ -85,8 +111,7 @@ COUNTER_ROWS = " union all ".join(
 
 @query("a5_counters_map", f"select step_id, group_name, counter_name, value from ({COUNTER_ROWS})")
 def _(t):
-    maps = unpack.counters_map(raw_counters(t), "seq").withColumn("flow_id", F.lit(""))
-    return unpack.counter_rows(maps).drop("flow_id")
+    return unpack.counter_values(raw_counters(t), "seq")
 
 
 @query("p6_counter_rows", COUNTER_ROWS)

@@ -109,7 +109,7 @@ FLOW_DOC = _struct(
     flow_submit_epoch_ms=_LONG,
     flow_end_epoch_ms=_LONG,
     flow_links=_STRING,
-    aggregated=METRIC_MAP,
+    aggregated=STRING_MAP,  # numbers as they are written: totals are longs, progress and users' own values doubles
     config_props=STRING_MAP,
 )
 

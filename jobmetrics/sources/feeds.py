@@ -7,7 +7,7 @@ epoch second and the order of its arrival, and the report itself. Lines that can
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,9 +32,19 @@ def read_feed(spark: SparkSession, path: str, body: T.DataType, stream: bool = F
 
 
 def split_rejects(feed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Readable reports, and the text of those that are not."""
+    """Readable reports, and the text of those that are not, with what a cut report still says of its flow and order."""
     bad = F.col(CORRUPT).isNotNull() | F.col("body").isNull()
-    return feed.filter(~bad).drop(CORRUPT), feed.filter(bad).select("flow_id", "received", "seq", CORRUPT)
+
+    def said(name: str, value: str) -> Column:
+        return F.nullif(F.regexp_extract(F.coalesce(CORRUPT, F.lit("")), rf'"{name}"\s*:\s*{value}', 1), F.lit(""))
+
+    rejects = feed.filter(bad).select(
+        F.coalesce("flow_id", said("flow_id", '"([^"]+)"')).alias("flow_id"),
+        F.coalesce("received", said("received", "([0-9]+)").try_cast("bigint")).alias("received"),
+        F.coalesce("seq", said("seq", "([0-9]+)").try_cast("bigint")).alias("seq"),
+        CORRUPT,
+    )
+    return feed.filter(~bad).drop(CORRUPT), rejects
 
 
 def _dated(feed: DataFrame, *columns) -> DataFrame:

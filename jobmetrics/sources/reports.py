@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobmetrics.operators.skew import with_chunk
-
 # Settings whose value is not shown.
 HIDDEN_SETTINGS = [
     "user",
@@ -48,19 +46,11 @@ def to_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return df.withColumn("report", F.to_json(F.struct(*wanted), {"ignoreNullFields": "false"}))
 
 
-def edge_report(edges: DataFrame, max_edges: int = 10_000) -> DataFrame:
-    """Edge map (stage -> distinct targets) of each flow as JSON text.
-
-    A flow with more than about ``max_edges`` edges is reported in several documents, told apart by ``chunk``;
-    receivers add up edge maps, so together they say the same.
-    """
+def edge_report(edges: DataFrame) -> DataFrame:
+    """One document for each edge, its map of one stage to one target as JSON text. Receivers add up edge maps."""
     single = edges.select("flow_id", "src_stage", "dest_stage").distinct()
-    chunked = with_chunk(single, ["flow_id"], ["src_stage", "dest_stage"], max_edges)
-    targets = chunked.groupBy("flow_id", "chunk", "src_stage").agg(F.sort_array(F.collect_set("dest_stage")).alias("targets"))
-    entry = F.struct("src_stage", "targets")
-    return targets.groupBy("flow_id", "chunk").agg(
-        F.to_json(F.map_from_entries(F.sort_array(F.collect_list(entry)))).alias("report")
-    )
+    report = F.to_json(F.create_map(F.col("src_stage").cast("string"), F.array("dest_stage")))
+    return single.select("flow_id", "src_stage", "dest_stage", report.alias("report"))
 
 
 def public_config(settings: DataFrame, hidden: Sequence[str] = HIDDEN_SETTINGS) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 @dataclass(frozen=True)
 class TableNames:
-    flows: str = "cascading_job_flows"
-    steps: str = "cascading_job_steps"
-    edges: str = "cascading_job_edges"
-    aggregates: str = "cascading_job_aggregated"
+    flows: str = "flows"
+    steps: str = "steps"
+    edges: str = "edges"
+    aggregates: str = "aggregates"
 
 
 @dataclass(frozen=True)

@@ -21,14 +21,23 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.option("sep", "\t").csv(path)
 
 
-def read_dot(spark: SparkSession, path: str) -> DataFrame:
-    """Lines (flow_id, line_no, line) of the digraphs in text files. A record ends at a closing brace line, so
-    large files are split between graphs; the name of a digraph is its flow id."""
-    graphs = spark.read.option("lineSep", "}\n").text(path)
-    name = F.regexp_extract("value", r"digraph\s+(\S+)\s*\{", 1)
-    return graphs.select(name.alias("flow_id"), F.posexplode(F.split("value", "\n")).alias("line_no", "line")).filter(
-        F.col("flow_id") != ""
-    )
+def read_dot(spark: SparkSession, path: str, flow_id: str = r"([^/]+)\.[^./]*$") -> DataFrame:
+    """Lines (flow_id, line) of graph files, one graph each, as the tracker writes them; ``flow_id`` finds the id in the file's path.
+
+    Lines are rows of their own, so files of any size are split. Line ends may be those of either system. The order of
+    lines is not kept; where the last line of a node counts, use ``read_numbered_dot``.
+    """
+    lines = spark.read.text(path).select(F.input_file_name().alias("_file"), F.regexp_replace("value", "\r$", "").alias("line"))
+    named = lines.select(F.regexp_extract(F.url_decode(F.regexp_replace("_file", r"\+", "%2B")), flow_id, 1).alias("flow_id"), "line")
+    return named.filter(F.col("flow_id") != "")
+
+
+def read_numbered_dot(spark: SparkSession, path: str, flow_id: str = r"([^/]+)\.[^./]*$") -> DataFrame:
+    """As ``read_dot``, with ``line_no``. A file is read whole, by one task, for the sake of its order."""
+    files = spark.read.text(path, wholetext=True)
+    name = F.regexp_extract(F.url_decode(F.regexp_replace(F.input_file_name(), r"\+", "%2B")), flow_id, 1)
+    lines = files.select(name.alias("flow_id"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    return lines.filter(F.col("flow_id") != "")
 
 
 def dot_vertices(lines: DataFrame) -> DataFrame:
@@ -42,10 +51,10 @@ def dot_vertices(lines: DataFrame) -> DataFrame:
 
 def dot_edges(lines: DataFrame, last_line_wins: bool = False) -> DataFrame:
     """Distinct edges (flow_id, src_stage, dest_stage). With ``last_line_wins`` only the last line of each node
-    counts, else all of them."""
+    counts, by ``line_no``, else all of them."""
     found = lines.filter(F.col("line").rlike(EDGE)).select(
         "flow_id",
-        "line_no",
+        *(["line_no"] if last_line_wins else []),
         F.regexp_extract("line", EDGE, 1).alias("node"),
         F.split(F.trim(F.regexp_extract("line", EDGE, 2)), r"\s+").alias("targets"),
     )

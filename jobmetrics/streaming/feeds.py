@@ -1,24 +1,78 @@
 """Feeds as streams: latest state, snapshots, change-only reports and failure handling.
 
-State is kept as an append-only log of collapsed micro-batches: a batch writes one row per key it touched and
-never reads what is there, so its cost does not grow with the state. A batch that runs again overwrites its own
-folder. Readers collapse the log; ``compact`` writes the collapsed log to a new path.
+State is kept in a log with two parts. ``delta`` has one folder of collapsed rows for each micro-batch; after every
+``COMPACT_EVERY`` batches the running query folds them into ``base``, a full table as of that batch, and removes what no
+reader needs any more. So a batch reads one base and fewer than ``COMPACT_EVERY`` deltas however long the stream has run. A
+batch that runs again overwrites its own folders, and never reads what it has written itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from jobmetrics.operators.skew import lookup, top_per_key
 from jobmetrics.operators.state import changed_steps, collapse
+from jobmetrics.sources.feeds import split_rejects
 
 REFRESH = "8 seconds"
 MAX_FAILURES = 10
 BATCH = "batch"
+COMPACT_EVERY = 8
+
+
+class Log:
+    """Latest rows per key, by batch. ``latest`` collapses rows of several batches to one per key."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], seq: Sequence[str], every: int = COMPACT_EVERY):
+        self.spark, self.path, self.keys, self.seq, self.every = spark, path, list(keys), list(seq), every
+        self.schema = StructType([*schema.fields, StructField(BATCH, IntegerType())])
+
+    def _batches(self, part: str) -> list[int]:
+        """Batches whose folder was written in full."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return []
+        done = fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}/{BATCH}=*/_SUCCESS"))
+        return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in done)
+
+    def _folders(self, before: int | None) -> list[str]:
+        """The newest base and the deltas after it, of batches before the given one."""
+        bases, deltas = ([n for n in self._batches(part) if before is None or n < before] for part in ("base", "delta"))
+        base = bases[-1:]
+        return [f"base/{BATCH}={n}" for n in base] + [f"delta/{BATCH}={n}" for n in deltas if not base or n > base[0]]
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """One row per key, as of the batch before the given one."""
+        rows = self.spark.createDataFrame([], self.schema)
+        for part in ("base", "delta"):
+            if folders := [f"{self.path}/{f}" for f in self._folders(before) if f.startswith(part)]:
+                reader = self.spark.read.schema(self.schema).option("basePath", f"{self.path}/{part}")
+                rows = rows.unionByName(reader.parquet(*folders))
+        return collapse(rows, self.keys, [BATCH, *self.seq]).drop(BATCH)
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        """Keep the rows of a batch, one per key, and fold the log when it is time."""
+        plain = [f.name for f in self.schema if f.name != BATCH]
+        rows.select(*plain).write.mode("overwrite").parquet(f"{self.path}/delta/{BATCH}={batch_id}")
+        if (batch_id + 1) % self.every == 0:
+            self.read(batch_id + 1).select(*plain).write.mode("overwrite").parquet(f"{self.path}/base/{BATCH}={batch_id}")
+            self._forget()
+
+    def _forget(self) -> None:
+        """Remove what lies before the last base but one, which a batch that runs again may still read."""
+        bases = self._batches("base")
+        if len(bases) < 2:
+            return
+        old = [f"base/{BATCH}={n}" for n in bases[:-2]] + [f"delta/{BATCH}={n}" for n in self._batches("delta") if n <= bases[-2]]
+        for name in old:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _start(writer, checkpoint: str, refresh: str | None) -> StreamingQuery:
@@ -28,29 +82,33 @@ def _start(writer, checkpoint: str, refresh: str | None) -> StreamingQuery:
     return writer.start()
 
 
+def _state_schema(rows: DataFrame) -> StructType:
+    dated = rows.withColumn("create_date", F.lit(None).cast(rows.schema["update_date"].dataType))
+    return dated.schema
+
+
 def upsert_stream(
-    updates: DataFrame, log: str, checkpoint: str, keys: Sequence[str], seq: Sequence[str], refresh: str | None = REFRESH
+    updates: DataFrame,
+    log: str,
+    checkpoint: str,
+    keys: Sequence[str],
+    seq: Sequence[str],
+    refresh: str | None = REFRESH,
+    every: int = COMPACT_EVERY,
 ) -> StreamingQuery:
     """Keep the latest state of ``updates`` in ``log``. ``refresh=None`` is the final flush."""
+    state = Log(updates.sparkSession, log, _state_schema(updates), keys, seq, every)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        collapse(batch, keys, seq).write.mode("overwrite").parquet(f"{log}/{BATCH}={batch_id}")
+        state.write(collapse(batch, keys, seq), batch_id)
 
     return _start(updates.writeStream.foreachBatch(write), checkpoint, refresh)
 
 
-def read_state(spark: SparkSession, log: str, keys: Sequence[str], seq: Sequence[str]) -> DataFrame:
-    """Current table of a log: a later batch wins, inside a batch the order of arrival."""
-    rows = spark.read.parquet(log)
-    return collapse(rows, keys, [BATCH, *seq]).drop(BATCH)
-
-
-def compact(spark: SparkSession, log: str, new_log: str, keys: Sequence[str], seq: Sequence[str]) -> int:
-    """Write the collapsed log to a new path as the batch it reaches up to; later batches can follow there."""
-    rows = spark.read.parquet(log)
-    last = rows.agg(F.max(BATCH)).first()[0]
-    collapse(rows, keys, [BATCH, *seq]).drop(BATCH).write.parquet(f"{new_log}/{BATCH}={last}")
-    return last
+def read_state(spark: SparkSession, log: str, schema: StructType, keys: Sequence[str], seq: Sequence[str]) -> DataFrame:
+    """Current table of a log of updates of the given schema: a later batch wins, inside a batch the order of arrival."""
+    dated = _state_schema(spark.createDataFrame([], schema))
+    return Log(spark, log, dated, keys, seq).read()
 
 
 def append_rejects(rejects: DataFrame, path: str, checkpoint: str, refresh: str | None = REFRESH) -> StreamingQuery:
@@ -77,27 +135,68 @@ def failure_counts(rejects: DataFrame, limit: int = MAX_FAILURES) -> DataFrame:
     return counts.withColumn("tracked", F.col("n_failed") < limit)
 
 
+def tolerant_stream(
+    feed: DataFrame, out: str, log: str, checkpoint: str, limit: int = MAX_FAILURES, refresh: str | None = REFRESH
+) -> StreamingQuery:
+    """Readable reports of ``feed`` (envelopes with flow_id and seq), batch by batch, of flows that are still tracked.
+
+    A flow is dropped from its ``limit``-th unreadable report on, counted over all batches. ``log`` has one row for each flow
+    with failures: how many there were, at most ``limit``.
+    """
+    spark = feed.sparkSession
+    counts = StructType([feed.schema["flow_id"], StructField("n_failed", IntegerType())])
+    state = Log(spark, log, StructType([*counts.fields, StructField("update_date", IntegerType()), StructField("create_date", IntegerType())]), ["flow_id"], [])
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            good, bad = split_rejects(batch)
+            known = state.read(batch_id).select("flow_id", "n_failed")
+            nth = F.row_number().over(Window.partitionBy("flow_id").orderBy("seq"))
+            first = bad.select("flow_id", "seq").withColumn("nth", nth).filter(F.col("nth") <= limit)
+            seen = first.join(known, "flow_id", "left").withColumn("total", F.col("nth") + F.coalesce("n_failed", F.lit(0)))
+            stops = known.filter(F.col("n_failed") >= limit).select("flow_id", F.lit(None).cast("bigint").alias("_stop"), F.lit(True).alias("_gone"))
+            fresh = seen.filter(F.col("total") == limit).select("flow_id", F.col("seq").alias("_stop"), F.lit(False).alias("_gone"))
+            stops = stops.unionByName(fresh).groupBy("flow_id").agg(F.min("_stop").alias("_stop"), F.max("_gone").alias("_gone"))
+            kept = F.col("_gone").isNull() | (~F.col("_gone") & (F.col("seq") < F.col("_stop")))
+            lookup(good, stops, ["flow_id"], "left").filter(kept).drop("_stop", "_gone").write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
+            totals = seen.groupBy("flow_id").agg(F.least(F.max("total"), F.lit(limit)).cast("int").alias("n_failed"))
+            date = F.lit(batch_id).cast("int")
+            state.write(totals.select("flow_id", "n_failed", date.alias("update_date"), date.alias("create_date")), batch_id)
+        finally:
+            batch.unpersist()
+
+    return _start(feed.writeStream.foreachBatch(write), checkpoint, refresh)
+
+
 def changed_steps_stream(
-    updates: DataFrame, out: str, log: str, checkpoint: str, seq: Sequence[str], bucket: str, refresh: str | None = REFRESH
+    updates: DataFrame,
+    out: str,
+    log: str,
+    checkpoint: str,
+    seq: Sequence[str],
+    bucket: str,
+    refresh: str | None = REFRESH,
+    every: int = COMPACT_EVERY,
 ) -> StreamingQuery:
     """Streaming form of ``changed_steps``, written to ``out`` batch by batch.
 
-    The last status of each step is kept in ``log`` as one narrow row per step and batch. Inside a batch the rows
-    of a step are put in order by slices, as in the batch form; only the first of them needs the kept status.
+    The last status of each step is kept in ``log``, one narrow row per step. Inside a batch the rows of a step
+    are put in order by slices, as in the batch form; only the first of them needs the kept status.
     """
     spark = updates.sparkSession
-    none = updates.select("step_id", "step_status", *seq)
-    spark.createDataFrame([], none.schema).write.mode("ignore").parquet(f"{log}/{BATCH}=-1")
+    narrow = updates.select("step_id", "step_status", *seq, F.lit(0).alias("update_date"), F.lit(0).alias("create_date"))
+    state = Log(spark, log, narrow.schema, ["step_id"], seq, every)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        earlier = spark.read.schema(none.schema).parquet(log).filter(F.col(BATCH) < batch_id)
-        known = earlier.groupBy("step_id").agg(F.max_by("step_status", F.struct(BATCH, *seq)).alias("step_status"))
-        changes = changed_steps(batch, seq, bucket, known)
-        changes.write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
-        position = F.struct(*seq)
-        last = batch.groupBy("step_id").agg(F.max_by(F.struct("step_status", *seq), position).alias("_row"))
-        last.select("step_id", "_row.*").write.mode("overwrite").parquet(f"{log}/{BATCH}={batch_id}")
-        batch.unpersist()
+        try:
+            known = state.read(batch_id).select("step_id", "step_status")
+            changes = changed_steps(batch, seq, bucket, known)
+            changes.write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
+            last = batch.groupBy("step_id").agg(F.max_by(F.struct("step_status", *seq), F.struct(*seq)).alias("_row"))
+            state.write(last.select("step_id", "_row.*", F.lit(0).alias("update_date"), F.lit(0).alias("create_date")), batch_id)
+        finally:
+            batch.unpersist()
 
     return _start(updates.writeStream.foreachBatch(write), checkpoint, refresh)

@@ -145,6 +145,12 @@ def test_words_keep_empty_first_word(spark):
     assert one(spark, names.words(F.lit("  It's 2 O'Clock\tnow-ish!"))) == (["", "its", "2", "oclock", "nowish"],)
 
 
+def test_templates_take_keys_and_texts_as_they_are(spark):
+    values = {"a.b": F.lit("x\u0001p\u0002%")}
+    texts = ["%{axb}|%{a.b}", "\u0001\u0001p`%\u0002"]
+    assert one(spark, *[templates.fill_named(F.lit(t), values) for t in texts]) == ("|x\u0001p\u0002%", "\u0001\u0001p%\u0002")
+
+
 def test_templates(spark):
     user = {"user": F.lit("50%{job}"), "job": F.lit("j")}
     got = one(

@@ -7,7 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 
 from jobmetrics.operators import graph
-from jobmetrics.sources.text import dot_edges, dot_vertices, read_dot
+from jobmetrics.sources.text import dot_edges, dot_vertices, read_dot, read_numbered_dot
 
 SCHEMA = "flow_id string, src_stage int, dest_stage int"
 
@@ -103,7 +103,7 @@ def test_paths_from_every_vertex(spark):
         weights = {(a, b): w for f, a, b, w in weighted if f == flow}
         d = distances(pairs, nodes, weights)
         for s, v in itertools.product(nodes, nodes):
-            distance, before = got[flow, s, v]
+            distance, before = got.get((flow, s, v), (None, None))
             assert distance == (None if d[s, v] == float("inf") else d[s, v])
             if distance is not None and s != v:
                 assert d[s, before] + weights[before, v] == distance
@@ -135,8 +135,11 @@ DOT = """digraph %s {
 
 
 def test_dot(spark, tmp_path):
-    (tmp_path / "graphs.txt").write_text(DOT % "G" + DOT % "H")
-    lines = read_dot(spark, str(tmp_path))
+    """Two graphs of the same name, told apart by their files, with line ends of either system."""
+    (tmp_path / "G.txt").write_text(DOT % "G")
+    (tmp_path / "H.txt").write_bytes((DOT % "G").replace("\n", "\r\n").encode())
+    lines = read_numbered_dot(spark, str(tmp_path))
+    assert sorted(map(tuple, read_dot(spark, str(tmp_path)).collect())) == sorted((r.flow_id, r.line) for r in lines.filter("line <> ''").collect())
     vertices = {(r.flow_id, r.node, r.stage, r.step_id) for r in dot_vertices(lines).collect()}
     assert vertices == {(g, str(n), 11 * n, f"AA0{n}") for g in "GH" for n in (1, 2, 3, 4)}
     full = {(g, a, b) for g in "GH" for a, b in ((11, 22), (11, 33), (22, 44), (33, 44))}

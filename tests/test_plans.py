@@ -6,13 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
-from jobmetrics.operators import lineage, select, series, unpack
-from jobmetrics.operators.skew import with_chunk
+from jobmetrics.operators import graph, lineage, select, series, unpack
 from jobmetrics.sources.store import TableNames, load_store, write_table
 
 SMALL = "/root/testdata/sf0.001"
 # These start streams or loops when called; their plans only read back what those wrote.
-EAGER = ("g3", "g4", "g5", "g6", "g7", "g8", "r1", "r5", "r6", "s1", "s2", "s3", "s4", "s5", "s6", "s7", "s8", "r3_f")
+EAGER = ("g3", "g4", "g5", "g6", "g7", "g8", "r1", "r5", "r6", "s1", "s2", "s3", "s4", "s5", "s6", "s7", "s8", "r3_f", "r3_tol", "op", "pipeline")
 
 
 def plan(df) -> str:
@@ -107,9 +106,28 @@ def test_hot_flow_is_split_in_joins(spark, tmp_path, tight):
     assert edges.count() == steps.filter("flow_id = 'hot'").count()
 
 
-def test_chunks_spread_a_hot_key(spark, tmp_path, tight):
-    steps = hot_steps(spark, tmp_path)
-    chunked = with_chunk(steps, ["flow_id"], ["step_number"], 1000)
-    sizes = [r["count"] for r in chunked.groupBy(F.spark_partition_id()).count().collect()]
-    assert max(sizes) < 10000 and sum(sizes) == 40000
-    assert "skew=true" in final_plan(chunked)
+def test_configured_hosts_move_no_rows(spark):
+    for name in ("j5_with_cluster", "p5_job_listing", "f13_by_cluster", "f14_by_cluster_ci", "l3_step_links", "c5_t2_load_nodes"):
+        text = plan(entry_module.queries()[name](spark, SMALL))
+        assert "hashpartitioning(jt_url" not in text, name
+
+
+def test_one_scan_for_each_input(spark):
+    for name, scans in {"j9_join_words": 1, "u4_insert_edges": 2, "u5_upsert_agg": 2}.items():
+        assert plan(entry_module.queries()[name](spark, SMALL)).count("FileScan") <= scans, name
+
+
+def test_levels_of_a_long_chain_have_a_plan_of_the_same_size(spark):
+    def leaves(n):
+        chain = spark.range(n).selectExpr("'f' as flow_id", "cast(id as int) as src_stage", "cast(id + 1 as int) as dest_stage")
+        return graph.dag_levels(chain)
+
+    short, long = leaves(4), leaves(12)
+    assert plan(short).count("FileScan") == plan(long).count("FileScan") == 1
+    assert {(r.stage, r.level) for r in long.collect()} == {(i, i) for i in range(13)}
+
+
+def test_paths_of_separate_edges_are_not_all_pairs(spark):
+    edges = spark.range(200).selectExpr("'f' as flow_id", "cast(id * 2 as int) as src_stage", "cast(id * 2 + 1 as int) as dest_stage")
+    sources = edges.selectExpr("flow_id", "src_stage as source")
+    assert graph.shortest_paths(edges, sources).count() == 400

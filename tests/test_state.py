@@ -2,10 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from jobmetrics.operators import state
-from jobmetrics.operators.skew import lag_in_slices, rank_in_slices, top_per_key, with_chunk
+from jobmetrics.operators.skew import lag_in_slices, lookup, rank_in_slices, top_per_key
 from jobmetrics.streaming import feeds as streams
 
 COLUMNS = "flow_id string, flow_status string, aggregated string, update_date long, seq long"
@@ -89,10 +90,25 @@ def test_streams_equal_batch(spark, tmp_path):
     keys, seq = ["step_id"], ["seq"]
     streams.upsert_stream(updates, state_log, str(tmp_path / "c2"), keys, seq, refresh=None).awaitTermination()
     want = rows(state.collapse(df.withColumn("update_date", F.col("seq")), keys, seq).select("step_id", "step_status", "seq", "create_date"))
-    read = lambda path: rows(streams.read_state(spark, path, keys, seq).select("step_id", "step_status", "seq", "create_date"))
+    read = lambda path: rows(streams.read_state(spark, path, updates.schema, keys, seq).select("step_id", "step_status", "seq", "create_date"))
     assert read(state_log) == want
-    assert streams.compact(spark, state_log, str(tmp_path / "state2"), keys, seq) == 3
-    assert read(str(tmp_path / "state2")) == want
+
+
+@pytest.mark.parametrize("every", [1, 3])
+def test_a_batch_reads_no_more_the_longer_the_stream_runs(spark, tmp_path, every):
+    data, df = history(spark)
+    schema = df.withColumns({"update_date": F.lit(0), "create_date": F.lit(0)}).schema
+    log = streams.Log(spark, str(tmp_path / "log"), schema, ["step_id"], ["seq"], every)
+    read = []
+    for batch in range(12):
+        part = df.filter((F.col("seq") >= batch * 30) & (F.col("seq") < batch * 30 + 30)).withColumns({"update_date": F.lit(0), "create_date": F.lit(0)})
+        for _ in range(2):  # each batch runs twice
+            read.append(len(log._folders(batch)))
+            log.write(part.groupBy("step_id").agg(F.max_by(F.struct(*[c for c in schema.names if c != "step_id"]), "seq").alias("r")).select("step_id", "r.*"), batch)
+    assert max(read) <= every
+    latest = {r.step_id: r.seq for r in df.filter("seq < 360").groupBy("step_id").agg(F.max("seq").alias("seq")).collect()}
+    assert {r.step_id: r.seq for r in log.read().collect()} == latest
+    assert len(log._batches("base")) <= 2 and len(log._batches("delta")) <= 2 * every
 
 
 def test_rejects_stream_and_tolerance(spark, tmp_path):
@@ -115,7 +131,31 @@ def test_rejects_stream_and_tolerance(spark, tmp_path):
     assert rows(streams.within_tolerance(updates, failures, "seq", 2)) == [*[("f", i) for i in range(5)], ("g", 0)]
 
 
-def test_slices_and_chunks(spark):
+def test_tolerance_over_batches(spark, tmp_path):
+    """Three failures end the tracking of a flow, wherever the batches are cut."""
+    from jobmetrics.schemas import AGG_DOC
+    from jobmetrics.sources import feeds
+
+    source, (out, log, checkpoint) = tmp_path / "feed", (str(tmp_path / x) for x in ("out", "log", "checkpoint"))
+    source.mkdir()
+    rng = random.Random(5)
+    reports = [(rng.choice("fgh"), seq, rng.random() < 0.2) for seq in range(60)]
+    want, failed = [], {}
+    for flow, seq, bad in reports:
+        failed[flow] = failed.get(flow, 0) + bad
+        if not bad and failed[flow] < 3:
+            want.append((flow, seq))
+    good = '{"flow_id":"%s","received":1,"seq":%d,"body":{"flow_id":"x","epoch_ms":1,"agg_json":{}}}'
+    cut = '{"flow_id":"%s","received":1,"seq":%d,"bod'
+    for part in range(6):
+        lines = [(cut if bad else good) % (flow, seq) for flow, seq, bad in reports[part * 10 : part * 10 + 10]]
+        (source / f"{part}.json").write_text("\n".join(lines))
+        feed = feeds.read_feed(spark, str(source), AGG_DOC, stream=True)
+        streams.tolerant_stream(feed, out, log, checkpoint, limit=3, refresh=None).awaitTermination()
+    assert rows(spark.read.parquet(out).select("flow_id", "seq")) == sorted(want, key=repr)
+
+
+def test_slices(spark):
     data = [("a" if i % 3 else "b", i // 10, i, f"v{i}") for i in range(100)]
     df = spark.createDataFrame(data, "k string, slice long, at long, v string")
     by_key = {k: sorted(at for key, _, at, _ in data if key == k) for k in "ab"}
@@ -126,9 +166,17 @@ def test_slices_and_chunks(spark):
             assert lagged[k, at] == (f"v{ats[i - 1]}" if i else None)
             assert ranked[k, at] == i + 1
     assert rows(top_per_key(df, ["k"], [F.desc("at")], 2).select("k", "at")) == [("a", 97), ("a", 98), ("b", 96), ("b", 99)]
-    chunks = with_chunk(df, ["k"], ["at"], 10).groupBy("k", "chunk").count().collect()
-    assert sum(r["count"] for r in chunks) == 100 and max(r["count"] for r in chunks) < 40
-    assert {r.chunk for r in with_chunk(df, ["k"], ["at"], 1000).collect()} == {0}
+
+
+def test_lookup_by_keys_of_any_type(spark):
+    for kind, values in {
+        "string": "'a'", "bigint": "1L", "int": "1", "double": "1.5D", "boolean": "true", "date": "date'2001-02-03'",
+        "timestamp": "timestamp'2001-02-03 04:05:06'", "decimal(10,2)": "1.25BD", "binary": "X'01'",
+    }.items():
+        df = spark.range(6).selectExpr(f"case when id < 4 then cast({values} as {kind}) end as k", "id")
+        counts = df.groupBy("k").count()
+        assert [r["count"] for r in lookup(df, counts, ["k"]).collect()] == [4] * 4, kind
+        assert lookup(df, counts, ["k"], "left").count() == 6
 
 
 def test_lag_keeps_null_values(spark):
