@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
@@ -101,6 +102,12 @@ def by_initial(words: DataFrame, regex: str) -> DataFrame:
     return words.filter(F.col("word").rlike(regex))
 
 
+def with_initial(words: DataFrame, groups: Mapping[str, str]) -> DataFrame:
+    """Words whose beginning one of the named patterns takes, with the first such name as ``initial``, in one pass."""
+    name = F.coalesce(*[F.when(F.col("word").rlike(regex), F.lit(group)) for group, regex in groups.items()])
+    return words.withColumn("initial", name).filter(F.col("initial").isNotNull())
+
+
 def split_by_flow_id(updates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Updates with a hexadecimal flow id, and the rest."""
     valid: Column = valid_flow_id(F.col("flow_id"))

@@ -158,6 +158,7 @@ def history_series(runs: DataFrame) -> DataFrame:
             F.lit("Indigo"),
         ),
     ]
+    # Metrics, the totals they show and their titles.
     for metric, column, title in (
         ("hdfs_written_gb", "flow_hdfs_bytes_written", "Total HDFS Writes: "),
         ("gcs_written_gb", "flow_gs_bytes_written", "Total GS Writes: "),

@@ -142,8 +142,7 @@ WORDS = """select word, count(*) as n from (select unnest(regexp_split_to_array(
     "union all select word, n, 'other' from words where regexp_matches(word, '^[^aeiou]')", {"words": WORDS})
 def _(t):
     counts = wd.word_count(t.lines).withColumnRenamed("count", "n")
-    vowel = sel.by_initial(counts, wd.VOWEL).withColumn("initial", F.lit("vowel"))
-    return vowel.unionByName(sel.by_initial(counts, wd.OTHER).withColumn("initial", F.lit("other")))
+    return sel.with_initial(counts, {"vowel": wd.VOWEL, "other": wd.OTHER})
 
 
 @query(

@@ -113,7 +113,7 @@ def test_configured_hosts_move_no_rows(spark):
 
 
 def test_one_scan_for_each_input(spark):
-    for name, scans in {"j9_join_words": 1, "u4_insert_edges": 2, "u5_upsert_agg": 2}.items():
+    for name, scans in {"j9_join_words": 1, "f16_by_initial": 1, "u4_insert_edges": 2, "u5_upsert_agg": 2}.items():
         assert plan(entry_module.queries()[name](spark, SMALL)).count("FileScan") <= scans, name
 
 
