@@ -43,14 +43,15 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts; ``n_chars`` follows."""
-    scanned = secret_scan.scan_secrets(docs, spans_col="_spans")
-    clean = secret_scan.redact(F.col("text"), F.col("_spans"))
-    changed = F.size("_spans") > 0
-    columns = {"text": F.when(changed, clean).otherwise(F.col("text"))}
+    scanned = secret_scan.scan_secrets(docs, spans_col="_spans_")
+    # A step of its own: in one with a new ``text``, the functions inside would read that one.
+    clean = scanned.withColumn("_clean_", secret_scan.redact(F.col("text"), F.col("_spans_")))
+    changed = F.size("_spans_") > 0
+    columns = {"text": F.when(changed, F.col("_clean_")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        columns["n_chars"] = F.when(changed, F.length(clean).cast(kind)).otherwise(F.col("n_chars"))
-    return scanned.select(*(columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns))
+        columns["n_chars"] = F.when(changed, F.length("_clean_").cast(kind)).otherwise(F.col("n_chars"))
+    return clean.select(*(columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns))
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
