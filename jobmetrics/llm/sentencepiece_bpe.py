@@ -51,6 +51,7 @@ class BpeModel:
         self.shown[self.unknown] = " ⁇ "
         for b, i in enumerate(self.byte_ids):
             self.shown[i] = chr(BYTE_MARK + b)
+        self.width = [len(p) for p in self.pieces]
         self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.normal)
         self.automaton = ahocorasick.Automaton()
         self._pairs: dict[tuple[int, int], bool] = {}
@@ -59,10 +60,24 @@ class BpeModel:
         self._word = self._word_pattern()
 
     def _word_pattern(self) -> re.Pattern:
-        """Cuts a text only between characters that no piece holds side by side."""
-        inside = {p[k + 1] for p in self.normal for k in range(len(p) - 1) if re.match(r"\w", p[k])}
-        apart = "".join(re.escape(c) for c in map(chr, range(128)) if not re.match(r"\w", c) and c not in inside)
-        return re.compile(rf"{MARK}*\w++(?![^{MARK}{apart}])|{MARK}*[^{MARK}]+|{MARK}+" if self.splits else "(?s).+")
+        """Cuts a text only between characters that no piece holds side by side: before a mark, and between a letter or
+        digit and the ASCII punctuation that follows no ASCII letter or digit in any piece. Word characters that some
+        of this punctuation does follow (an underscore, say) are not cut off. ASCII characters of no piece, such as line
+        breaks, stand alone.
+        """
+        before: dict[str, set[str]] = {chr(c): set() for c in range(128) if not re.match(r"\w", chr(c))}
+        for p in self.normal:
+            for x, c in zip(p, p[1:]):
+                if c in before and re.match(r"\w", x):
+                    before[c].add(x)
+        apart = {c: xs for c, xs in before.items() if not any(re.match("[A-Za-z0-9]", x) for x in xs)}
+        after = "".join(map(re.escape, apart))
+        joined = "".join(sorted(set().union(*apart.values())))
+        known = set().union(*self.normal)
+        alone = "".join(re.escape(c) for c in before if c not in known and c != " ")
+        letter = rf"[^\W{re.escape(joined)}]"
+        words = rf"{MARK}*{letter}++(?![^{MARK}{after}])|{MARK}*[^{MARK}{alone}]+|{MARK}+"
+        return re.compile((f"{words}|[{alone}]" if alone else words) if self.splits else "(?s).+")
 
     def _merged(self, text: str) -> tuple[list[int], dict[int, tuple[int, int]]]:
         """Plain merging, best score first, then leftmost: the ids, and the two ids that each merge joined."""
@@ -134,36 +149,37 @@ class BpeModel:
             self._pairs[left, right] = known
         return known
 
-    def prefix_table(self, text: str) -> tuple[list[int], list[int]]:
-        """For each prefix that ends after character i: its last token and that token's length.
+    def prefix_table(self, text: str) -> list[int]:
+        """For each prefix that ends after character i: its last token.
 
         Where no piece fits, the character is outside the vocabulary and stands alone (``NONE``).
         """
-        last, size = [NONE] * len(text), [1] * len(text)
+        last = [NONE] * len(text)
         pairs, settled = self._pairs, NONE
         for end, (token, length) in self.automaton.iter(text):
-            if end == settled:
-                continue
-            before = end - length
-            if before >= 0 and (left := last[before]) != NONE:
-                fits = pairs.get((left, token))
-                if fits is None:
-                    fits = self.compatible(left, token)
-                if not fits:
-                    continue
-            last[end], size[end], settled = token, length, end
-        return last, size
+            if end != settled:
+                before = end - length
+                if before >= 0 and (left := last[before]) != NONE:
+                    fits = pairs.get((left, token))
+                    if fits is None:
+                        fits = self.compatible(left, token)
+                    if not fits:
+                        continue
+                last[end], settled = token, end
+        return last
 
     def word(self, text: str) -> bytes:
-        """Ids of a text without begin and end, in 32 bits each."""
-        last, size = self.prefix_table(text)
-        out, i = [], len(text) - 1
+        """Ids of a text without begin and end, in 32 bits each, recovered backwards from the prefix table."""
+        last = self.prefix_table(text)
+        out, i, width = [], len(text) - 1, self.width
         while i >= 0:
-            if last[i] == NONE:
+            token = last[i]
+            if token == NONE:
                 out.extend(self.byte_ids[b] for b in reversed(text[i].encode()))
+                i -= 1
             else:
-                out.append(last[i])
-            i -= size[i]
+                out.append(token)
+                i -= width[token]
         out.reverse()
         return array("I", out).tobytes()
 
