@@ -15,6 +15,7 @@ surroundings are dealt out by their windows instead.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,6 +67,7 @@ def _owned(ids: np.ndarray, twins: np.ndarray, texts: list[bytes]) -> tuple[np.n
     """Owner rows of some documents, reduced, and which of them are repeats already: (gram, ctx, doc, twin, loc, hit).
 
     ``loc`` packs tags of the two sides, the first window's place in the document, the number of windows and the owner's offset.
+    Repeats are put together to runs of windows, with ``loc`` the place and the number, and dealt out by a hash of their own.
     """
     buf, offsets = joined(texts, None, b"\0")
     if len(buf) < LENGTH:
@@ -95,7 +97,23 @@ def _owned(ids: np.ndarray, twins: np.ndarray, texts: list[bytes]) -> tuple[np.n
     gram, ctx, doc, twin = h[p].view(np.int64), ctx.view(np.int64), ids[row], twins[row]
     order = np.lexsort((doc, ctx, gram))
     gram, ctx, doc, twin, loc = gram[order], ctx[order], doc[order], twin[order], loc[order]
-    return gram, ctx, doc, twin, loc, _repeated(gram, ctx, doc)
+    row, low, n = row[order], low[order], n[order]
+    hit = _repeated(gram, ctx, doc)
+    rows, starts, sizes = _runs(row[hit], low[hit], n[hit])
+    placed = starts - offsets[rows]
+    own_key = mix(ids[rows].view(np.uint64) * _A + placed.astype(np.uint64)).view(np.int64)
+    owned = [np.concatenate(x) for x in ((gram[~hit], own_key), (ctx[~hit], np.zeros(len(rows), np.int64)), (doc[~hit], ids[rows]), (twin[~hit], twins[rows]), (loc[~hit], (placed << 31) | sizes))]
+    return *owned, np.arange(len(owned[0])) >= len(owned[0]) - len(rows)
+
+
+def _runs(row: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of windows put together where one begins with the window after the last of another."""
+    order = np.lexsort((start, row))
+    row, start, n = row[order], start[order], n[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + n[:-1])
+    first = np.flatnonzero(new)
+    return row[first], start[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def _repeated(gram: np.ndarray, ctx: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -132,8 +150,8 @@ _MARKS = pa.schema(
 )
 
 
-def _windows(doc, twin, loc, gram=None, hot=False) -> pa.RecordBatch:
-    start, n = (loc >> 12) & ((1 << 31) - 1), (loc >> 6) & 63
+def _windows(doc, twin, loc, gram=None, hot=False, runs=False) -> pa.RecordBatch:
+    start, n = (loc >> 31, loc & ((1 << 31) - 1)) if runs else ((loc >> 12) & ((1 << 31) - 1), (loc >> 6) & 63)
     key = pa.nulls(len(doc), pa.int64()) if gram is None else pa.array(gram)
     return pa.RecordBatch.from_arrays(
         [pa.array(doc), pa.array(twin), pa.array(start), pa.array(n.astype(np.int32)), key, pa.array(np.broadcast_to(hot, len(doc)))],
@@ -175,7 +193,7 @@ def _marks(owned: DataFrame, hot: int, most: int) -> DataFrame:
         for batch in batches:
             rows = _arrays(batch)
             known = ~np.asarray(batch.column(1).is_null())
-            yield _windows(rows[2][~known], rows[3][~known], rows[4][~known])
+            yield _windows(rows[2][~known], rows[3][~known], rows[4][~known], runs=True)
             rows = [x[known] for x in rows]
             if not len(rows[0]):
                 continue
@@ -346,9 +364,14 @@ def _merged(hits: pa.ListScalar, text: bytes) -> tuple[list[dict], bytes]:
 
 
 def _release(spark) -> None:
-    """Lets Spark remove the shuffle files of steps whose results are written."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark remove the shuffle files of steps whose results are written.
+
+    Spark does so once the driver has collected its references to them; the first pass frees what the second then finds.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def _with_twins(rows: DataFrame) -> DataFrame:
