@@ -2,12 +2,15 @@
 
 Each table turns unit vectors by sign flips and Hadamard transforms and files them under the signed axis they come nearest to. A
 query looks into the cells of the axes nearest to it, in every table, and takes the exact distance to all that it finds
-there. Equal vectors are one entry with the smallest ids that can be in a result. Cells are worked on in blocks of
-bounded size, however many vectors share one. A query that finds too few is held against all entries, in blocks.
+there. How many tables and cells that takes is measured, for each width: a sample of the queries is held against all entries,
+and the fewest tables times cells with which ``GOAL`` of the sample's true neighbours are seen are taken for all. Equal vectors
+are one entry with the smallest ids that can be in a result. Cells are worked on in blocks of bounded size, however many
+vectors share one. A query that finds too few is held against all entries, in blocks.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobmetrics.llm.batches import arrow_map, arrow_schema
+from jobmetrics.llm.batches import arrow_map, arrow_schema, to_batch
 from jobmetrics.runtime import Stage
 
-#: Recall at 10 on 64 random dimensions: 0.951 of 10,256 vectors, 0.977 of 51,282.
-TABLES, PROBES = 8, 9
+#: At most so many tables; tables and probes are the cheapest that show this share of the neighbours of so many queries of a width.
+TABLES, GOAL, SAMPLE = 8, 0.97, 256
 ROUNDS = 3
 #: Entries of a cell that are held in memory at a time.
 BLOCK = 4096
@@ -73,8 +76,8 @@ def _matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(rows := np.flatnonzero(lengths == w), values[begins[rows][:, None] + np.arange(w)]) for w in np.unique(lengths).tolist()]
 
 
-def _filed(rows: DataFrame, tables: int, probes: int) -> DataFrame:
-    """Each row once for every table and probe, with the cell it goes to."""
+def _filed(rows: DataFrame, shapes: dict[int, tuple[int, int]]) -> DataFrame:
+    """Each row once for every table and probe of its width, with the cell it goes to. Widths without a shape are left out."""
     schema = "cell string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     target = arrow_schema(schema)
     place = rows.columns.index("vector")
@@ -84,6 +87,7 @@ def _filed(rows: DataFrame, tables: int, probes: int) -> DataFrame:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 for numbers, x in _matrix(part.column(place)):
+                    tables, probes = shapes.get(x.shape[1], (0, 0))
                     for t in range(tables):
                         for axes in cells(x, t, probes).T:
                             named = pa.array([f"{x.shape[1]}:{t}:{a}" for a in axes.tolist()])
@@ -137,6 +141,62 @@ def _vectors(column: pa.Array) -> Iterator[np.ndarray]:
         yield values[s:e]
 
 
+def _shown(entries: DataFrame, sample: list[tuple[int, np.ndarray]], k: int, tables: int) -> DataFrame:
+    """The entries nearest to each sampled query, at least the ``k`` nearest of all, by full comparison: number of the query,
+    vec_id, score, and the probes with which the first table, the first two and so on show the entry."""
+    schema = "n int, vec_id long, score double, probes array<int>"
+    target = arrow_schema(schema)
+    shared = entries.sparkSession.sparkContext.broadcast(sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbered, best = defaultdict(list), defaultdict(list)
+        for n, (_, vector) in enumerate(shared.value):
+            numbered[len(vector)].append(n)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                ids = part.column(0).to_pylist()
+                for numbers, x in _matrix(part.column(1)):
+                    for n in numbered.get(x.shape[1], ()):
+                        query, vector = shared.value[n]
+                        gap = x - vector
+                        d = np.sqrt((gap * gap).sum(axis=1))
+                        far = best[n][-1][0] if len(best[n]) == k else np.inf
+                        if len(d) > k + 1:
+                            far = min(far, np.partition(d, k)[k])
+                        new = [(float(d[i]), v, x[i].copy()) for i in np.flatnonzero(d <= far) for v in ids[numbers[i]] if v != query]
+                        if new:
+                            best[n] = sorted(best[n] + new, key=lambda c: c[:2])[:k]
+        rows = []
+        for asked in numbered.values():
+            near = [(i, n, *c) for i, n in enumerate(asked) for c in best[n]]
+            if near:
+                of, x, queries = [c[0] for c in near], np.array([c[4] for c in near]), np.array([shared.value[n][1] for n in asked])
+                places = [np.argmax(cells(queries, t, 1 << 62)[of] == cells(x, t, 1), axis=1) + 1 for t in range(tables)]
+                probes = np.minimum.accumulate(places).T.tolist()
+                rows.extend((n, v, score, p) for (_, n, score, v, _), p in zip(near, probes))
+        yield to_batch(rows, target)
+
+    return arrow_map(entries.select("ids", "vector"), run, schema)
+
+
+def _shapes(entries: DataFrame, asked: DataFrame, k: int, tables: int) -> dict[int, tuple[int, int]]:
+    """For each width of a query the tables and probes with the least product that show ``GOAL`` of the sample's neighbours."""
+    some = F.row_number().over(Window.partitionBy(F.size("vector")).orderBy(F.xxhash64("query_id", "vector"), "query_id"))
+    picked = asked.withColumn("n", some).where(F.col("n") <= SAMPLE).select("query_id", "vector").collect()
+    sample = [(r["query_id"], np.array(r["vector"], np.float64)) for r in picked]
+    shapes, needed = {len(v): (1, 1) for _, v in sample}, defaultdict(list)
+    if sample:
+        rank = F.row_number().over(Window.partitionBy("n").orderBy("score", "vec_id"))
+        for r in _shown(entries, sample, k, tables).withColumn("rank", rank).where(F.col("rank") <= k).select("n", "probes").collect():
+            needed[len(sample[r["n"]][1])].append(r["probes"])
+    for width, probes in needed.items():
+        enough = np.sort(np.array(probes), axis=0)[int(np.ceil(GOAL * len(probes))) - 1]
+        t = int(np.argmin(enough * np.arange(1, tables + 1)))
+        shapes[width] = (t + 1, int(enough[t]))
+    return shapes
+
+
 def nearest(
     vectors: DataFrame,
     queries: Column,
@@ -144,7 +204,7 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     tables: int = TABLES,
-    probes: int = PROBES,
+    probes: int | None = None,
     block: int = BLOCK,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` nearest found for each row that ``queries`` (on ``vec_id``) picks.
@@ -152,7 +212,8 @@ def nearest(
     The score is the Euclidean distance in double precision; ties go to the smaller id. A query's own id is no candidate;
     an id with several vectors counts with its nearest one. Vectors that are null, empty, zero or not finite throughout
     take no part, nor do null ids; vectors of other widths never meet. All candidates are given if there are fewer than ``k``.
-    Repeated rows count once; other columns are left out; an empty table gives an empty one.
+    Repeated rows count once; other columns are left out; an empty table gives an empty one. With ``probes`` given, all of
+    ``tables`` are used with so many probes, and nothing is measured.
     """
     stage = Stage(vectors.sparkSession, "nearest")
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("vector"))
@@ -161,7 +222,12 @@ def nearest(
     first = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     entries = stage.put("entries", rows.withColumn("n", first).where(F.col("n") <= k + 1).groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     asked = rows.where(queries).select(F.col("vec_id").alias("query_id"), "vector")
-    found = stage.put("found", _distances(_filed(entries, tables, 1), _filed(asked, tables, probes), k, block))
+    if probes is None:
+        shapes = _shapes(entries, asked, k, tables)
+    else:
+        shapes = {r["w"]: (tables, probes) for r in asked.select(F.size("vector").alias("w")).distinct().collect()}
+    filed = _filed(entries, {width: (t, 1) for width, (t, _) in shapes.items()})
+    found = stage.put("found", _distances(filed, _filed(asked, shapes), k, block))
 
     def best(pairs: DataFrame) -> DataFrame:
         once = pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

@@ -280,6 +280,34 @@ def test_nearest_in_small_blocks(spark):
     assert nearest.nearest(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def recall(df, step, k=10):
+    """Recall at ``k`` of the operator for every ``step``-th vector as query, against brute force."""
+    ids, x = zip(*((r.vec_id, np.array(r.embedding, float)) for r in df.collect()))
+    ids, x = np.array(ids), np.array(x)
+    got = by_id(nearest.nearest(df, F.col("vec_id") % step == 0, k).collect(), "query_id")
+    hit, asked = 0, np.flatnonzero(ids % step == 0)
+    for q in asked:
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hit += len({r.vec_id for r in got[ids[q]]} & set(ids[np.lexsort((ids, d))[:k]].tolist()))
+    return hit / (k * len(asked))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+@pytest.mark.parametrize("step", [100, 5])
+def test_nearest_recall_on_every_table(spark, sf, step):
+    assert recall(table(spark, f"/root/testdata/{sf}", "embeddings"), step) >= 0.94
+
+
+@pytest.mark.parametrize("width, spread", [(128, 0), (200, 0), (256, 0), (64, 0.7), (256, 0.7)])
+def test_nearest_recall_of_wide_and_uneven_vectors(spark, width, spread):
+    rng = np.random.default_rng(width)
+    x = rng.normal(size=(6000, width))
+    x *= np.exp(rng.normal(0, spread, (len(x), 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert recall(df, 60) >= 0.94
+
+
 # SentencePiece
 
 
