@@ -2,8 +2,9 @@
 
 Terms are words and beginnings of words, as 64-bit hashes; a text has each of its terms once. The machine adds to the
 weights of single terms the products of learned vectors of each two, so that a pair can count for more than its parts.
-Terms are chosen on the training rows by their chi-squared statistic with the label, among those that speak for it: a
-harmless word takes nothing back. What a term means in company of another is left to the pairs.
+Terms are chosen on the training rows in two ways. Alone, by their chi-squared statistic with the label, those that speak for it: a
+harmless word takes nothing back. In company, whichever way they speak alone, those of pairs in which each term tells
+something about the label among the texts that have the other, by log-likelihood ratios of all pairs of frequent terms.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ PREFIXES = (3, 4, 5)
 #: At most so many labelled texts are learned from (those with the smallest hashes of their ids), and so many terms kept.
 TRAINING_ROWS, TERMS = 12_000, 4096
 LEAST_TEXTS, LEAST_CHI = 3, 12.0
+#: Terms whose pairs are looked at (those in the largest share of either class), how many of them are kept besides, from which ratio on.
+PAIRED, COMPANY, LEAST_RATIO = 4096, 1024, 40.0
+_PAIR_BLOCK = 512
 #: Errors on positive rows, which are few, count this many times.
 POSITIVE_WEIGHT = 3.0
 FACTORS, EPOCHS, BATCH, RATE, PENALTY = 8, 40, 256, 0.1, 1e-3
@@ -137,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, id_col: s
     training = training.select("label", "text").groupBy(F.xxhash64("text").alias("h")).agg(F.max("label").alias("label"), F.first("text").alias("text"))
     training = training.select("label", "text").persist()
     try:
-        counted = _term_counts(training).groupBy("term").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive"))
+        counted = _term_counts(training).groupBy("term").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive")).persist()
         n, positive = training.agg(F.count("*"), F.sum("label")).first()
         positive = positive or 0
         if not 0 < positive < n:
@@ -148,17 +152,90 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, id_col: s
         gap = a * F.lit(float(n - positive)) - b * F.lit(float(positive))
         chi = gap * gap * n / (F.lit(float(positive) * float(n - positive)) * F.col("n") * F.greatest(F.lit(n) - F.col("n"), F.lit(1)))
         best = counted.where((F.col("n") >= LEAST_TEXTS) & (gap > 0)).select("term", chi.alias("chi")).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(TERMS)
-        known = np.sort(np.array([r["term"] for r in best.collect()], np.int64).view(np.uint64))
+        alone = np.array([r["term"] for r in best.collect()], np.int64).view(np.uint64)
+        share = F.greatest(a / F.lit(float(positive)), b / F.lit(float(n - positive)))
+        frequent = counted.where(F.col("n") >= LEAST_TEXTS).orderBy(share.desc(), "term").limit(PAIRED)
+        frequent = np.sort(np.array([r["term"] for r in frequent.select("term").collect()], np.int64).view(np.uint64))
+        company = _in_company(training, frequent)
+        known = np.union1d(alone, company[~np.isin(company, alone)][:COMPANY])
         rng = np.random.default_rng(5)
         start = float(np.log(positive / (n - positive)))
         machine = Machine(known, start, np.zeros(len(known)), rng.normal(0, 0.01, (len(known), FACTORS)))
-        found = _kept_terms(training, machine).orderBy("h").collect()  # bounded by ``rows`` and ``TERMS``
+        found = _kept_terms(training, machine).orderBy("h").collect()  # bounded by ``rows``, ``TERMS`` and ``COMPANY``
         _train(machine, [np.array(r["places"], np.int64) for r in found], np.array([r["label"] for r in found], float))
         return machine
     finally:
+        counted.unpersist()
         training.unpersist()
 
 
+def _in_company(training: DataFrame, frequent: np.ndarray) -> np.ndarray:
+    """Of the sorted terms those with a pair whose ratio is ``LEAST_RATIO`` or more, the highest first.
+
+    The ratio of a pair is the smaller one of two: what each term tells about the label among the texts that have the
+    other. A pair is worth no more to one of its terms than to the other, so no term comes before its best company.
+    """
+    if len(frequent) < 2:
+        return frequent[:0]
+    spark = training.sparkSession
+    rows = _presence(training, frequent).collect()  # a bit for each of ``PAIRED`` terms and each training row
+    bits = np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8).reshape(len(rows), -1)
+    shared = spark.sparkContext.broadcast((bits, np.array([r["label"] for r in rows], bool), len(frequent)))
+    blocks = -(-len(frequent) // _PAIR_BLOCK)
+    both = [(i, j) for i in range(blocks) for j in range(i, blocks)]
+    target = arrow_schema("place int, ratio double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, labels, n_terms = shared.value
+        x = np.arange(len(labels) + 1, dtype=float)
+        times_log = x * np.log(np.maximum(x, 1))
+
+        def fit_of(n: np.ndarray, positive: np.ndarray) -> np.ndarray:
+            return times_log[positive] + times_log[n - positive] - times_log[n]
+
+        def columns(block: int) -> np.ndarray:
+            part = bits[:, block * _PAIR_BLOCK // 8 : (block + 1) * _PAIR_BLOCK // 8]
+            return np.unpackbits(part, axis=1)[:, : n_terms - block * _PAIR_BLOCK].astype(np.float32)
+
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                i, j = both[number]
+                first, second = columns(i), columns(j)
+                n, positive = (first.T @ second).astype(int), (first[labels].T @ second[labels]).astype(int)
+                ratio = np.full(n.shape, np.inf)
+                for c, axis in ((first, 1), (second, 0)):
+                    has, told = (np.expand_dims(v.astype(int), axis) for v in (c.sum(axis=0), c[labels].sum(axis=0)))
+                    ratio = np.minimum(ratio, 2 * (fit_of(n, positive) + fit_of(has - n, told - positive) - fit_of(has, told)))
+                for block, best in ((i, ratio.max(axis=1)), (j, ratio.max(axis=0))):
+                    places = np.flatnonzero(best >= LEAST_RATIO)
+                    yield to_batch([(block * _PAIR_BLOCK + p, float(best[p])) for p in places.tolist()], target)
+
+    found = arrow_map(spark.range(0, len(both), 1, len(both)), run, "place int, ratio double").groupBy("place").agg(F.max("ratio").alias("ratio"))
+    found = sorted(found.collect(), key=lambda r: (-r["ratio"], r["place"]))
+    return frequent[np.array([r["place"] for r in found], np.int64)]
+
+
+def _presence(training: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """Label of each training row, and a bit for each of the terms that its text has."""
+    machine = Machine(frequent, 0.0, np.zeros(len(frequent)), np.zeros((len(frequent), 1)))
+    schema = "label long, bits binary"
+    target = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
+            for low, high in chunks(texts, 1 << 21):
+                row, place = machine.features(texts[slice(low, high)].to_pylist())
+                # Not more than some hundred rows at a time: a byte for each term.
+                for at in range(0, high - low, 256):
+                    here = (row >= at) & (row < at + 256)
+                    has = np.zeros((min(256, high - low - at), len(frequent)), bool)
+                    has[row[here] - at, place[here]] = True
+                    yield to_batch([(labels[low + at + i], p.tobytes()) for i, p in enumerate(np.packbits(has, axis=1))], target)
+
+    return arrow_map(training, run, schema)
+
+
 def _term_counts(training: DataFrame) -> DataFrame:
     """Texts with each term and how many of them are positive, added up within batches."""
     schema = "term long, n long, positive long"
@@ -202,7 +279,7 @@ def score_texts(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_
     """doc_id and score of each row, from its whole text alone. Null and empty texts get the score of a text without known terms.
 
     One row out for each row in; repeated and null ids stay; other columns are left out; an empty table gives an empty
-    one. The machine has at most ``TERMS`` terms, so every worker can hold it.
+    one. The machine has at most ``TERMS`` and ``COMPANY`` terms, so every worker can hold it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 

@@ -183,6 +183,27 @@ def test_machine_learns_a_pair_that_no_single_word_tells():
     assert min(s[:2]) > 0.7 and max(s[2:]) < 0.3
 
 
+def learned(spark, texts):
+    """A machine fitted to (text, label) rows; each text gets a word of its own, so that none counts as a copy."""
+    rows = [(i, f"{t} q{i}", y) for i, (t, y) in enumerate(texts)]
+    both = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    return toxicity.fit(both.drop("toxic"), both.drop("text"))
+
+
+def test_fit_finds_a_pair_that_no_single_word_tells(spark):
+    machine = learned(spark, [("aa bb", 1), ("cc dd", 1), ("aa dd", 0), ("cc bb", 0)] * 250)
+    assert set(toxicity.terms([b"aa bb cc dd"])[1].tolist()) <= set(machine.known.tolist())
+    s = machine.scores([b"aa bb", b"cc dd", b"aa dd", b"cc bb"])
+    assert min(s[:2]) > 0.7 and max(s[2:]) < 0.3
+
+
+def test_fit_finds_a_mild_insult_at_a_group(spark):
+    """The group speaks against the label alone, and the insult not at all; 10 % of the texts are toxic."""
+    texts = [("group mild", 1)] * 75 + [("slur", 1)] * 225 + [("group kind", 0)] * 875 + [("mild", 0)] * 675 + [("kind", 0)] * 1150
+    s = learned(spark, texts).scores([b"group mild", b"slur", b"group", b"mild", b"group kind", b"kind"])
+    assert min(s[:2]) >= toxicity.THRESHOLD and max(s[2:]) < 0.3
+
+
 # Suffix sorting
 
 
