@@ -147,7 +147,7 @@ def split_words(text: bytes | None) -> list[bytes]:
 
 def automata(items: DataFrame, id_col: str, text_col: str, window: int, per_automaton: int) -> list[SuffixAutomaton]:
     """The items in automata of bounded size each. A benchmark is a list of tests, its size is that of the test suite, not of the corpus."""
-    rows = items.select(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")).where(f"`{text_col}` is not null and `{id_col}` is not null")
+    rows = items.select(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")).where(f"`{text_col}` is not null")
     out, pending, size = [], [], 0
 
     def flush():
@@ -182,7 +182,7 @@ def decontaminate(
 
     ``clean_text`` is the text without the spans that exceed ``limits.words``; it is null where the document exceeds
     ``limits.coverage`` (``removed``). One row out for each row in. A null text, or one without words, has 0 words and
-    no hits; items without words or without an id hit nothing; the same id given to several items counts once. Empty
+    no hits; items without words hit nothing, those without an id hit but are not named; the same id given to several items counts once. Empty
     tables and other columns are no matter. The automata hold ``per_automaton`` words each; documents pass once through
     each of them.
     """
@@ -213,7 +213,7 @@ def decontaminate(
                     runs.append((int(e - s), int(starts[low + s]) - base, int(ends[low + e - 1]) - base))
             removed = bool(hit.size) and float(hit.mean()) > limits.coverage
             clean = None if text is None or removed else _without(text, [(s, e) for n, s, e in runs if n >= limits.words])
-            yield doc_id, high - low, int(hit.sum()), sorted(items_found), [[s, e] for _, s, e in runs], clean, removed
+            yield doc_id, high - low, int(hit.sum()), sorted(items_found - {None}), [[s, e] for _, s, e in runs], clean, removed
 
     return map_texts(
         documents_of(docs, id_col, text_col),

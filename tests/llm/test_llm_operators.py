@@ -546,6 +546,14 @@ def test_decontamination(spark, docs, pairs, empty, per_automaton):
     assert {r.n_hit for r in decontamination.decontaminate(df, bench.where("false")).collect()} == {0}
 
 
+def test_items_without_an_id_hit_and_are_not_named(spark):
+    df = spark.createDataFrame([(1, "we saw a nameless item"), (2, "a named one and a nameless item"), (3, "neither")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "nameless item"), (7, "named one")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, list(r["items"])) for r in decontamination.decontaminate(df, bench).collect()}
+    assert got == {1: (2, []), 2: (4, ["7"]), 3: (0, [])}
+    assert [r.doc_id for r in decontamination.drop_contaminated(df, bench).collect()] == [3]
+
+
 # Sharding
 
 
