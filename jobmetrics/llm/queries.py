@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmetrics.llm import chat, decontamination, minhash, nearest, pii, repeats, secret_scan, sentencepiece_bpe, sharding, toxicity
+from jobmetrics.llm import bpe_stream, chat, decontamination, minhash, nearest, pii, repeats, secret_scan, sentencepiece_bpe, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -121,6 +121,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_stream.token_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -134,6 +138,7 @@ QUERIES: dict[str, Query] = {
         op8_secrets,
         op9_decontamination,
         op10_sharding,
+        op11_bpe,
     )
 }
 #: No SQL: every operator is held against a brute-force version in tests/llm.
