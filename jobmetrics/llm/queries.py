@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmetrics.llm import bpe_stream, chat, decontamination, minhash, nearest, pii, repeats, secret_scan, sentencepiece_bpe, sharding, toxicity
+from jobmetrics.llm import bpe_stream, chat, collocations, decontamination, divergence, minhash, nearest, pii, repeats, secret_scan, sentencepiece_bpe, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -125,6 +125,14 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.token_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -139,7 +147,61 @@ QUERIES: dict[str, Query] = {
         op9_decontamination,
         op10_sharding,
         op11_bpe,
+        op12_collocations,
+        op13_divergence,
     )
 }
-#: No SQL: every operator is held against a brute-force version in tests/llm.
-SQL: dict[str, str] = {}
+#: Where SQL can say what an operator finds; all are held against a brute-force version in tests/llm besides.
+SQL: dict[str, str] = {
+    "op12_collocations": r"""
+        with pieces as (
+            select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+        parts as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+        spots as (select lang, w, unnest(range(1, len(w) + 1)) as i from parts),
+        found as (
+            select lang, 1 as size, w[i] as phrase from spots
+            union all select lang, 2, w[i] || ' ' || w[i + 1] from spots where i + 1 <= len(w)
+            union all select lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] from spots where i + 2 <= len(w)),
+        counts as (select lang, size, phrase, count(*) as n from found group by all),
+        totals as (select lang, cast(sum(n) as bigint) as n from counts where size = 1 group by lang),
+        candidates as (select lang, size, phrase, n as a, string_split(phrase, ' ') as w from counts where size > 1 and n >= 10),
+        cuts as (select *, unnest(range(1, size)) as k from candidates),
+        sides as (select *, array_to_string(w[:k], ' ') as first, array_to_string(w[k + 1:], ' ') as rest from cuts),
+        scored as (
+            select s.lang, s.phrase, s.a, x.n as l, y.n as r,
+                cast(1000000::hugeint * s.a * s.a // (x.n::hugeint * y.n) as bigint) as score
+            from sides s join counts x on x.lang = s.lang and x.phrase = s.first join counts y on y.lang = s.lang and y.phrase = s.rest
+            qualify row_number() over (partition by s.lang, s.phrase order by 1000000::hugeint * s.a * s.a // (x.n::hugeint * y.n), s.k) = 1),
+        longer as (
+            select lang, phrase, max(a) as a from (
+                select lang, array_to_string(w[:2], ' ') as phrase, a from candidates where size = 3
+                union all select lang, array_to_string(w[2:], ' '), a from candidates where size = 3) group by all),
+        kept as (select s.* from scored s left join longer o using (lang, phrase) where o.a is null or 100 * o.a < 50 * s.a)
+        select lang, row_number() over (partition by lang order by score desc, k.a desc, encode(phrase)) as rank, phrase, k.a, l, r, t.n, score
+        from kept k join totals t using (lang) qualify rank <= 2000""",
+    "op13_divergence": r"""
+        with docs as (select row_number() over () as id, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source
+            from documents),
+        words as (select id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+        terms as (select lang, term, count(*) as n from words group by all having count(distinct id) >= 3),
+        counts as (select w.lang, w.source, w.term, count(*) as n from words w join terms using (lang, term) group by all),
+        langs as (select lang, count(*) as v, sum(n) as total from terms group by lang),
+        groups as (select d.lang, d.source, coalesce(sum(c.n), 0) as total from (select distinct lang, source from docs) d
+            left join counts c on c.lang = d.lang and c.source = d.source group by all),
+        shares as (
+            select g.lang, g.source, t.term, coalesce(c.n, 0) as n,
+                1 + 1000000000::hugeint * (coalesce(c.n, 0) + 1) // (g.total + l.v) as p, 1 + 1000000000::hugeint * (t.n + 1) // (l.total + l.v) as q
+            from groups g join langs l on l.lang = g.lang join terms t on t.lang = g.lang
+            left join counts c on c.lang = g.lang and c.source = g.source and c.term = t.term),
+        pairs as (select x.lang, x.source, 'pair' as part, y.source as item, sum((x.p - y.p) * (x.p - y.p) // y.p) as value
+            from shares x join shares y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all),
+        none as (select x.lang, x.source, 'pair' as part, y.source as item, 0 as value from groups x join groups y
+            on x.lang = y.lang and x.source <> y.source where x.lang not in (select lang from langs)),
+        own as (select lang, source, 'term' as part, term as item, (p - q) * (p - q) // q as value from shares where n > 0 and p > q),
+        every as (select * from pairs union all select * from none union all select * from own)
+        select lang, source, part, item, cast(value as bigint) as value,
+            cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank
+        from every qualify part = 'pair' or rank <= 200""",
+}
