@@ -2,25 +2,25 @@
 
 The corpus is dealt into shards that are scanned in a cycle. Words are counted from the first shard on. At the stop after each
 shard, phrases whose count has come to the threshold are marked as reached; a phrase of one more word is counted from the next
-shard on once both the phrase without its last and the one without its first word have been reached, for one full cycle.
-So lengths are counted side by side, and a phrase whose parts are rare is never counted.
+shard on once both the phrase without its last and the one without its first word have been reached, until it is
+reached itself or has been through one full cycle. So lengths are counted side by side, and a phrase whose parts are
+rare is never counted.
 
-What is reached is held in a filter of a fixed size: for each slot the first stop at which a reached phrase fell into it. A
+What is reached is held in filters of a fixed size: for each slot the first stop at which a reached phrase fell into it. A
 phrase counts as reached from the largest stop of its slots on. That is never later than the true stop and never changes once
-it is there, so every task sees the same beginning of a phrase's cycle; a phrase let in by chance is counted exactly like the others.
-Counts themselves are kept by the phrase's words, never by hashes.
+it is there, so every task sees the same beginning of a phrase's cycle. The scans count by 64-bit hash, which can only
+mark too much. A last pass counts what is marked by its words: these counts are exact, and what chance let in falls out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -42,7 +42,8 @@ NO_LANG = "und"
 _NEVER = 255
 _BREAK = b"\xff"  # in no UTF-8 text
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_ROWS = "size int, lang string, phrase string, h long, since int, open boolean, n long"
+_OPEN = "h long, tag int, n long"
+_COUNTED = "size int, lang string, phrase string, n long"
 
 
 def _letters() -> bytes:
@@ -85,88 +86,95 @@ class Filter:
         return bool(found)
 
 
-def _phrases(lang: str, texts: list[bytes], filters: list[Filter], stop: int, shards: int, max_words: int) -> Iterator[tuple]:
-    """Of texts in one language: (size, phrases, hashes, since, open, counts) of each length that is being counted."""
-    data = _BREAK.join(texts).translate(TABLE).replace(_BREAK, b" " + _BREAK + b" ")
-    vocabulary: dict[bytes, int] = {_BREAK: 0}
-    number = count(1)
-    ids = np.fromiter((vocabulary[w] if w in vocabulary else vocabulary.setdefault(w, next(number)) for w in data.split()), np.int64)
-    if not len(ids):
-        return
-    words = list(vocabulary)
-    words[0] = b""
-    seed = xxhash.xxh32_intdigest(lang.encode())
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
-    names = pa.array(words, pa.binary()).cast(pa.string())
-    n = np.bincount(ids, minlength=len(words))
-    n[0] = 0
-    if n.any():
-        yield 0, pa.array([""]), np.zeros(1, np.uint64), np.zeros(1, int), np.zeros(1, bool), np.array([n.sum()])
-    reached = filters[0].reached(hashes) if filters else np.full(len(words), _NEVER, np.uint8)
-    if stop <= shards and n.any():
-        place = np.flatnonzero(n)
-        yield 1, names.take(pa.array(place)), hashes[place], np.zeros(len(place), int), reached[place] == _NEVER, n[place]
-    # From here on by position: is it inside a piece, what is the hash and the stop of the phrase that begins here.
-    here, h, at = ids != 0, hashes[ids], reached[ids]
-    for size in range(2, max_words + 1):
-        m = len(ids) - size + 1
-        if m <= 0:
-            return
-        since = np.maximum(at[:m], at[1 : m + 1])
-        here = here[:m] & (ids[size - 1 :] != 0)
-        h = mix(h[:m] * _FACTOR + hashes[ids[size - 1 :]])
-        active = np.flatnonzero(here & (since < stop) & (since.astype(int) >= stop - shards))
-        at = np.full(m, _NEVER, np.uint8)
-        if size < max_words:
+class _Spots:
+    """Where the phrases of each length begin in the texts of one language, with their hashes and when they were reached."""
+
+    def __init__(self, lang: str, texts: list[bytes], filters: list[Filter]):
+        data = _BREAK.join(texts).translate(TABLE).replace(_BREAK, b" " + _BREAK + b" ")
+        number: dict[bytes, int] = {_BREAK: 0}
+        self.ids = np.fromiter((number.setdefault(w, len(number)) for w in data.split()), np.int64)
+        self.words = [b"", *list(number)[1:]]
+        seed = xxhash.xxh32_intdigest(lang.encode())
+        self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))
+        self.filters = filters
+
+    def lengths(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """size, then by position: inside a piece, hash, stop at which both parts were reached, stop at which it was itself."""
+        ids = self.ids
+        here, h = ids != 0, self.hashes[ids]
+        at = self.filters[0].reached(self.hashes)[ids]
+        yield 1, here, h, np.zeros(len(ids), np.uint8), at
+        for size in range(2, len(self.filters) + 1):
+            m = len(ids) - size + 1
+            if m <= 0:
+                return
+            since = np.maximum(at[:m], at[1 : m + 1])
+            here = here[:m] & (ids[size - 1 :] != 0)
+            h = mix(h[:m] * _FACTOR + self.hashes[ids[size - 1 :]])
+            at = np.full(m, _NEVER, np.uint8)
             known = np.flatnonzero(here & (since < _NEVER))
-            at[known] = filters[size - 1].reached(h[known])
-        if len(active):
-            code = ids[active]
+            at[known] = self.filters[size - 1].reached(h[known])
+            yield size, here, h, since, at
+
+    def open_(self, stop: int, shards: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Hashes, tags (length and stop of the parts) and counts of what is being counted at this stop and not reached yet."""
+        for size, here, h, since, at in self.lengths():
+            active = here & (at == _NEVER) & (since < stop) & (since.astype(int) >= stop - shards)
+            found, first, n = np.unique(h[active], return_index=True, return_counts=True)
+            if len(found):
+                yield found, size * 256 + since[active][first].astype(np.int64), n
+
+    def counted(self) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+        """size, phrases and counts of all that has been reached; size 0 is the number of all words."""
+        names = pa.array(self.words, pa.binary()).cast(pa.string())
+        for size, here, _, _, at in self.lengths():
+            if size == 1 and here.any():
+                yield 0, pa.array([""]), np.array([here.sum()])
+            place = np.flatnonzero(here & (at != _NEVER))
+            code, first = self.ids[place], np.arange(len(place))
             for k in range(1, size):
-                _, first, code, times = np.unique(code << 32 | ids[active + k], return_index=True, return_inverse=True, return_counts=True)
-            place = active[first]
-            parts = [names.take(pa.array(ids[place + k])) for k in range(size)]
-            open_ = at[place] == _NEVER if size < max_words else np.zeros(len(place), bool)
-            yield size, pc.binary_join_element_wise(*parts, " "), h[place], since[place].astype(int), open_, times
+                _, first, code, n = np.unique(code << 32 | self.ids[place + k], return_index=True, return_inverse=True, return_counts=True)
+            if size == 1:
+                _, first, n = np.unique(code, return_index=True, return_counts=True)
+            if len(place):
+                parts = [names.take(pa.array(self.ids[place[first] + k])) for k in range(size)]
+                yield size, pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0], n
 
 
-def _scan(shard: DataFrame, filters: list[Filter], stop: int, shards: int, max_words: int) -> tuple[DataFrame, object]:
-    """Counts of one shard, added up within batches, and the broadcast that the scan reads."""
-    shared = shard.sparkSession.sparkContext.broadcast(filters)
-    target = arrow_schema(_ROWS)
+def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
+    """Texts of each language in chunks."""
+    langs, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
+    for low, high in chunks(texts, 1 << 21):
+        own: dict[str, list[bytes]] = {}
+        for lang, text in zip(langs[low:high], texts.slice(low, high - low).to_pylist()):
+            own.setdefault(lang, []).append(text)
+        yield from own.items()
+
+
+def _scan(shard: DataFrame, shared: Broadcast, stop: int, shards: int) -> DataFrame:
+    target = arrow_schema(_OPEN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
-            for low, high in chunks(texts, 1 << 21):
-                by_lang: dict[str, list[bytes]] = {}
-                for lang, text in zip(langs[low:high], texts.slice(low, high - low).to_pylist()):
-                    by_lang.setdefault(lang, []).append(text)
-                for lang, own in by_lang.items():
-                    for size, phrases, h, since, open_, n in _phrases(lang, own, shared.value, stop, shards, max_words):
-                        k = len(phrases)
-                        columns = [
-                            pa.array(np.full(k, size, np.int32)), pa.array([lang] * k, pa.string()), phrases.cast(pa.string()),
-                            pa.array(h.view(np.int64)), pa.array(since.astype(np.int32)), pa.array(open_), pa.array(n.astype(np.int64)),
-                        ]
-                        yield pa.RecordBatch.from_arrays(columns, schema=target)
-
-    return arrow_map(shard, run, _ROWS), shared
-
-
-def _let_in_by_chance(rows: DataFrame, filters: list[Filter]) -> DataFrame:
-    """Of phrases below the threshold those that the filter took for reached: the rest of their counts lies elsewhere."""
-    shared = rows.sparkSession.sparkContext.broadcast(filters)
+            for lang, texts in _by_lang(batch):
+                for h, tag, n in _Spots(lang, texts, shared.value).open_(stop, shards):
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(tag.astype(np.int32)), pa.array(n)], schema=target)
+
+    return arrow_map(shard, run, _OPEN)
+
+
+def _count(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    target = arrow_schema(_COUNTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, h = np.asarray(batch.column("size")), np.asarray(batch.column("h")).view(np.uint64)
-            keep = np.zeros(len(size), bool)
-            for k, f in enumerate(shared.value, 1):
-                keep[size == k] = f.reached(h[size == k]) != _NEVER
-            yield batch.filter(pa.array(keep))
+            for lang, texts in _by_lang(batch):
+                for size, phrases, n in _Spots(lang, texts, shared.value).counted():
+                    k = len(phrases)
+                    columns = [pa.array(np.full(k, size, np.int32)), pa.array([lang] * k, pa.string()), phrases.cast(pa.string()), pa.array(n.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, schema=target)
 
-    return arrow_map(rows, run, rows.schema)
+    return arrow_map(docs, run, _COUNTED)
 
 
 def frequent_phrases(
@@ -187,49 +195,42 @@ def frequent_phrases(
         raise ValueError("max_words, shards or filter_bits out of range")
     spark = docs.sparkSession
     stage = Stage(spark, "phrases")
-    dealt = docs.select(
+    texts = docs.select(
         F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NO_LANG)).alias("lang"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
-        (F.monotonically_increasing_id() % shards).cast("int").alias("shard"),
     )
-    dealt.write.partitionBy("shard").parquet(f"{stage.root}/corpus")
-    texts = spark.read.schema(dealt.schema).parquet(f"{stage.root}/corpus")
-    filters = [Filter(filter_bits) for _ in range(max_words - 1)]
-    last = [0] + [-shards] * (max_words - 1)  # the last stop at which something of each length, words included, came in
-    tables, stop = [], 0
-    schema = StructType.fromDDL(_ROWS + ", state string")
-    while stop < max(last) + shards:
+    dealt = texts.withColumn("shard", (F.monotonically_increasing_id() % shards).cast("int"))
+    stage.paths["corpus"] = f"{stage.root}/corpus"
+    dealt.write.partitionBy("shard").parquet(stage.paths["corpus"])
+    corpus = spark.read.schema(dealt.schema).parquet(stage.paths["corpus"])
+    filters = [Filter(filter_bits) for _ in range(max_words)]
+    last = [0] + [-shards] * max_words  # the last stop at which something of each length came in; words can begin at once
+    schema, stop, left = StructType.fromDDL(_OPEN + ", reached boolean"), 0, None
+    while stop < max(last[:-1]) + shards:
         stop += 1
-        found, shared = _scan(texts.where(F.col("shard") == (stop - 1) % shards).select("lang", "text"), filters, stop, shards, max_words)
-        if tables:  # what has not come to the threshold yet
-            found = found.unionByName(tables[-1].where("state = 'open'").drop("state"))
-        merged = found.groupBy("size", "lang", "phrase").agg(
-            F.max("h").alias("h"), F.max("since").alias("since"), F.max("open").alias("open"), F.sum("n").alias("n")
-        )
-        over = F.lit(stop) >= F.col("since") + shards
-        state = F.when(~F.col("open"), "counted").when(F.col("n") >= least, "reached").when(over, "rare").otherwise("open")
-        path = f"{stage.root}/stop-{stop}"
-        merged.withColumn("state", state).select(*schema.names).write.partitionBy("state").parquet(path)
+        shared = spark.sparkContext.broadcast(filters)
+        found = _scan(corpus.where(F.col("shard") == (stop - 1) % shards).select("lang", "text"), shared, stop, shards)
+        if left is not None:
+            found = found.unionByName(left)
+        merged = found.groupBy("h", "tag").agg(F.sum("n").alias("n")).withColumn("reached", F.col("n") >= least)
+        # Others go when their cycle is over.
+        going_on = F.lit(stop) < F.col("tag").bitwiseAND(255) + shards
+        path = stage.paths[f"stop-{stop}"] = f"{stage.root}/stop-{stop}"
+        merged.where(F.col("reached") | going_on).write.partitionBy("reached").parquet(path)
         shared.destroy()
         written = spark.read.schema(schema).parquet(path)
-        if len(tables):
-            stage.paths["open"] = f"{stage.root}/stop-{stop - 1}/state=open"
-            stage.drop("open")
-        tables.append(written)
         for size, f in enumerate(filters, 1):
-            if stop <= last[size - 1] + shards and f.add(written.where((F.col("state") == "reached") & (F.col("size") == size)), stop):
+            if stop <= last[size - 1] + shards and f.add(written.where(F.col("reached") & (F.shiftright("tag", 8) == size)), stop):
                 last[size] = stop
-    stage.paths["corpus"] = f"{stage.root}/corpus"
-    stage.drop("corpus")
-    # Read again: what had not come to the threshold is gone from all but the last.
-    tables = [spark.read.schema(schema).parquet(f"{stage.root}/stop-{k}") for k in range(1, stop + 1)]
-    every = reduce(DataFrame.unionByName, tables)
-    # The total of all words was counted anew at each stop; that of the first cycle is it.
-    whole = reduce(DataFrame.unionByName, tables[:shards]).where("size = 0")
-    kept = every.where("size > 0 and state in ('counted', 'reached')").drop("state")
-    rare = _let_in_by_chance(every.where("size > 0 and state in ('rare', 'open')").drop("state"), filters)
-    sums = whole.drop("state").unionByName(kept).unionByName(rare).groupBy("size", "lang", "phrase").agg(F.sum("n").alias("n"))
-    return stage.put("frequent", sums.where((F.col("n") >= least) | (F.col("size") == 0)))
+        if left is not None:
+            stage.drop(f"stop-{stop - 1}")
+        left = written.where("not reached").select("h", "tag", "n")
+    stage.drop("corpus", f"stop-{stop}")
+    shared = spark.sparkContext.broadcast(filters)
+    sums = _count(texts, shared).groupBy("size", "lang", "phrase").agg(F.sum("n").alias("n"))
+    out = stage.put("frequent", sums.where((F.col("n") >= least) | (F.col("size") == 0)))
+    shared.destroy()
+    return out
 
 
 def collocations(
