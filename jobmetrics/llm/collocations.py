@@ -86,13 +86,21 @@ class Filter:
         return bool(found)
 
 
+class _Numbers(dict):
+    """A number for each word, in the order in which they come up."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class _Spots:
     """Where the phrases of each length begin in the texts of one language, with their hashes and when they were reached."""
 
     def __init__(self, lang: str, texts: list[bytes], filters: list[Filter]):
         data = _BREAK.join(texts).translate(TABLE).replace(_BREAK, b" " + _BREAK + b" ")
-        number: dict[bytes, int] = {_BREAK: 0}
-        self.ids = np.fromiter((number.setdefault(w, len(number)) for w in data.split()), np.int64)
+        number, words = _Numbers({_BREAK: 0}), data.split()
+        self.ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
         self.words = [b"", *list(number)[1:]]
         seed = xxhash.xxh32_intdigest(lang.encode())
         self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))
