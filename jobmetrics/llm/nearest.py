@@ -126,14 +126,27 @@ def _distances(filed: DataFrame, probing: DataFrame, k: int, block: int) -> Data
                     matrix = np.array(vectors)
                 gap = matrix - vector
                 d = np.sqrt((gap * gap).sum(axis=1))
-                near = np.flatnonzero(d <= np.partition(d, k)[k]) if len(d) > k + 1 else np.arange(len(d))
-                mine = sorted((float(d[i]), v) for i in near for v in ids[i] if v != query)[:k]
-                found.extend((query, v, s) for s, v in mine)
+                found.extend((query, v, s) for s, v, _ in _closest(d, ids, query, k))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(target)], schema=target)
 
     return arrow_map(rows, run, FOUND)
 
 
+def _closest(d: np.ndarray, ids: list[list[int]], query: int, k: int) -> list[tuple[float, int, int]]:
+    """Distance, id and place of the ``k`` nearest ids but the query's own, each with its nearest vector, ties to the smaller id."""
+    take = k + 1
+    while True:
+        near = np.flatnonzero(d <= np.partition(d, take - 1)[take - 1]) if take < len(d) else np.arange(len(d))
+        best: dict[int, tuple[float, int]] = {}
+        for i in near[np.argsort(d[near], kind="stable")].tolist():
+            for v in ids[i]:
+                if v != query:
+                    best.setdefault(v, (float(d[i]), i))
+        if len(best) >= k or len(near) == len(d):
+            return sorted((s, v, i) for v, (s, i) in best.items())[:k]
+        take *= 2  # some ids have several vectors here
+
+
 def _vectors(column: pa.Array) -> Iterator[np.ndarray]:
     offsets = np.asarray(column.offsets)
     values = np.asarray(column.flatten(), dtype=np.float64)
@@ -161,12 +174,12 @@ def _shown(entries: DataFrame, sample: list[tuple[int, np.ndarray]], k: int, tab
                         query, vector = shared.value[n]
                         gap = x - vector
                         d = np.sqrt((gap * gap).sum(axis=1))
-                        far = best[n][-1][0] if len(best[n]) == k else np.inf
-                        if len(d) > k + 1:
-                            far = min(far, np.partition(d, k)[k])
-                        new = [(float(d[i]), v, x[i].copy()) for i in np.flatnonzero(d <= far) for v in ids[numbers[i]] if v != query]
+                        near = np.flatnonzero(d <= (best[n][-1][0] if len(best[n]) == k else np.inf))
+                        new = _closest(d[near], [ids[numbers[i]] for i in near.tolist()], query, k)
                         if new:
-                            best[n] = sorted(best[n] + new, key=lambda c: c[:2])[:k]
+                            every = sorted(best[n] + [(s, v, x[near[i]].copy()) for s, v, i in new], key=lambda c: c[:2])
+                            nearest_of = {v: (s, v, vector) for s, v, vector in reversed(every)}
+                            best[n] = sorted(nearest_of.values(), key=lambda c: c[:2])[:k]
         rows = []
         for asked in numbered.values():
             near = [(i, n, *c) for i, n in enumerate(asked) for c in best[n]]
