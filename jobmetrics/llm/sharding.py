@@ -25,7 +25,7 @@ class Shard:
     weight: float = 1.0
 
 
-def topology(shards: int, base: int = 24, per_rack: int = 4, racks: int = 2) -> list[Shard]:
+def topology(shards: int, base: int, per_rack: int = 4, racks: int = 2) -> list[Shard]:
     """``base`` shards in racks and regions of the given sizes; each further one is a region of its own."""
     return [
         Shard(f"region{k // (per_rack * racks)}", f"rack{k // per_rack}", k) if k < base else Shard(f"added{k}", f"added{k}", k)
@@ -70,6 +70,46 @@ def shard_of(key: Column, shards: list[Shard]) -> Column:
     return _pick(key, regions)
 
 
+def with_shard(df: DataFrame, key: Column, shards: list[Shard], name: str) -> DataFrame:
+    """``df`` with the shard number of each row: as ``shard_of``, with a column for each level, so that each draw is made once."""
+    tree: dict[str, dict[str, list[Shard]]] = {}
+    for s in shards:
+        if s.weight > 0:
+            tree.setdefault(s.region, {}).setdefault(s.rack, []).append(s)
+    if not tree:
+        raise ValueError("no shard has a weight")
+    key = F.coalesce(key.cast("string"), F.lit("\0"))
+
+    def best(children: list[tuple[str, float]]) -> Column:
+        if len(children) == 1:
+            return F.lit(0)
+        return F.greatest(*[F.struct(_draw(key, child, weight).alias("draw"), F.lit(k).alias("k")) for k, (child, weight) in enumerate(children)])["k"]
+
+    def within(at: str, choices: list[Column]) -> Column:
+        out = choices[-1]
+        for k, choice in list(enumerate(choices))[:-1]:
+            out = F.when(F.col(at) == k, choice).otherwise(out)
+        return out
+
+    def weight(leaves: list[Shard]) -> float:
+        return sum(s.weight for s in leaves)
+
+    regions = [(region, sum(weight(leaves) for leaves in racks.values())) for region, racks in tree.items()]
+    rack_of = [best([(f"{region}/{rack}", weight(leaves)) for rack, leaves in racks.items()]) for region, racks in tree.items()]
+    # Racks are numbered throughout, so that the last level looks at one number.
+    begins, leaves_of = [], []
+    for region, racks in tree.items():
+        begins.append(len(leaves_of))
+        leaves_of.extend((f"{region}/{rack}", leaves) for rack, leaves in racks.items())
+    numbers = [F.element_at(F.array(*[F.lit(s.number) for s in leaves]), best([(f"{path}/{s.number}", s.weight) for s in leaves]) + 1) for path, leaves in leaves_of]
+    return (
+        df.withColumn("_region", best(regions))
+        .withColumn("_rack", within("_region", [choice + begin for choice, begin in zip(rack_of, begins)]))
+        .withColumn(name, within("_rack", numbers).cast("int"))
+        .drop("_region", "_rack")
+    )
+
+
 def with_slots(df: DataFrame, shard: str = "shard", order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A gapless ``slot`` from 0 within each shard.
 
@@ -87,12 +127,13 @@ def with_slots(df: DataFrame, shard: str = "shard", order: tuple[str, ...] = ("d
     return numbered.join(begins, [shard, "_part"]).withColumn("slot", (F.col("_begin") + F.col("_row") - 1).cast("long")).drop("_part", "_row", "_begin")
 
 
-def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", base: int = 24) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", base: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of each row, under the law ``key``.
 
     The id and the number of shards alone decide: rows with one id share a shard, equal texts with different ids do not.
     ``size`` is the bytes of the text plus 8; a null text counts as empty. ``grown_shard`` is the shard with one more of
-    them. A null id is an id like any other; repeated rows get slots of their own; other columns are left out; an
+    them. ``base`` is the number of shards that there were at first (24, or all if they are fewer), which form the tree; each later
+    one is a region of its own, so rows that move when one is added all go to it. Give the same ``base`` as shards are added. A null id is an id like any other; repeated rows get slots of their own; other columns are left out; an
     empty table gives an empty one.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -104,7 +145,8 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
     ).select(
         "*",
         F.lit("key").alias("law"),
-        shard_of(key, topology(shards, base)).cast("int").alias("shard"),
-        shard_of(key, topology(shards + 1, base)).cast("int").alias("grown_shard"),
     )
+    base = min(24, shards) if base is None else min(base, shards)
+    rows = with_shard(rows, key, topology(shards, base), "shard")
+    rows = with_shard(rows, key, topology(shards + 1, base), "grown_shard")
     return with_slots(rows, order=("doc_id", "text_crc32", "size")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
