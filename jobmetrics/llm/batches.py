@@ -8,7 +8,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -18,6 +18,7 @@ _BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
+_models: dict = {}
 
 
 def documents_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -48,6 +49,35 @@ def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+def remembered(key: object, build: Callable[[], object]) -> object:
+    """A model that a worker keeps from task to task; only the last one, so a worker that does other work lets it go."""
+    if key not in _models:
+        _models.clear()
+        _models[key] = build()
+    return _models[key]
+
+
+def forget() -> None:
+    """Let go of the model of another step that this worker did before."""
+    _models.clear()
+
+
+def lean_workers(spark: SparkSession) -> None:
+    """Python workers started from now on give memory back: large arrays are mapped and unmapped one by one, Arrow takes its memory
+    from the same allocator, and matrix products run in the worker's own thread instead of with buffers for every core of the machine.
+    For jobs in which many steps share the workers. Settings that are there already stay.
+    """
+    environment = spark.sparkContext.environment
+    for key, value in {
+        "MALLOC_MMAP_THRESHOLD_": str(1 << 18),
+        "MALLOC_TRIM_THRESHOLD_": str(1 << 20),
+        "MALLOC_ARENA_MAX": "2",
+        "ARROW_DEFAULT_MEMORY_POOL": "system",
+        "OPENBLAS_NUM_THREADS": "1",
+    }.items():
+        environment.setdefault(key, value)
+
+
 def to_batch(rows: list[tuple], target: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [[] for _ in target]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)

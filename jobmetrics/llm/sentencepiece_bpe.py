@@ -15,17 +15,16 @@ import sys
 from array import array
 from collections import Counter
 from collections.abc import Iterable
-from functools import lru_cache
 from hashlib import sha256
 
 import ahocorasick
 from pyspark.sql import DataFrame
 
-from jobmetrics.llm.batches import documents_of, map_texts
+from jobmetrics.llm.batches import documents_of, map_texts, remembered
 
 MARK = "▁"
 #: Words that a worker remembers at a time, and the longest word that it does.
-REMEMBERED, REMEMBERED_LENGTH = 1 << 19, 40
+REMEMBERED, REMEMBERED_LENGTH = 1 << 17, 40
 NONE = -1
 BYTE_MARK = 0xDC00
 BYTES = re.compile("[\udc00-\udcff]+")
@@ -234,9 +233,8 @@ class _Words(dict):
         return ids
 
 
-@lru_cache(maxsize=2)
 def model(model_file: str) -> BpeModel:
-    return BpeModel(model_file)
+    return remembered(("sentencepiece", model_file), lambda: BpeModel(model_file))
 
 
 def encode_texts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
