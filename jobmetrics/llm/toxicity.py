@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobmetrics.llm.batches import arrow_map, arrow_schema, byte_table, chunks, documents_of, joined, keep_rows, map_texts, mix, prefix_hashes, span_hashes, to_batch, word_spans
+from jobmetrics.llm.batches import arrow_map, arrow_schema, byte_table, chunks, documents_of, forget, joined, keep_rows, map_texts, mix, prefix_hashes, span_hashes, to_batch, word_spans
 
 #: Everything in ASCII but letters separates words.
 TABLE = byte_table([*range(65), *range(91, 97), *range(123, 128)])
@@ -126,7 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, id_col: s
     """A machine learned from at most ``rows`` labelled texts whose ids are ``in_training``.
 
     Labels other than 0 and 1, null ids and labels without a text are left out; of several labels of an id the larger
-    counts, of several texts each. Equal texts count once. Without any label the machine gives 0.5 throughout.
+    counts; of an id with several texts each is learned, but of all texts at most ``rows``, those with the smallest hashes.
+    Equal texts count once. Without any label the machine gives 0.5 throughout.
     """
     chosen = (
         labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
@@ -139,7 +140,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, id_col: s
     texts = documents_of(docs, id_col, text_col).where("text is not null")
     training = texts.join(F.broadcast(chosen), "doc_id")  # at most ``rows`` rows
     training = training.select("label", "text").groupBy(F.xxhash64("text").alias("h")).agg(F.max("label").alias("label"), F.first("text").alias("text"))
-    training = training.select("label", "text").persist()
+    # An id may stand on any number of texts: the bound holds for texts too.
+    first = training.select("h").orderBy("h").limit(rows)
+    training = training.join(F.broadcast(first), "h", "left_semi").select("label", "text").persist()
+    counted = None
     try:
         counted = _term_counts(training).groupBy("term").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive")).persist()
         n, positive = training.agg(F.count("*"), F.sum("label")).first()
@@ -161,11 +165,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, id_col: s
         rng = np.random.default_rng(5)
         start = float(np.log(positive / (n - positive)))
         machine = Machine(known, start, np.zeros(len(known)), rng.normal(0, 0.01, (len(known), FACTORS)))
-        found = _kept_terms(training, machine).orderBy("h").collect()  # bounded by ``rows``, ``TERMS`` and ``COMPANY``
+        found = _kept_terms(training, machine).collect()  # bounded by ``rows``, ``TERMS`` and ``COMPANY``
+        found.sort(key=lambda r: (r["h"], r["label"], r["places"]))
         _train(machine, [np.array(r["places"], np.int64) for r in found], np.array([r["label"] for r in found], float))
         return machine
     finally:
-        counted.unpersist()
+        if counted is not None:
+            counted.unpersist()
         training.unpersist()
 
 
@@ -187,6 +193,7 @@ def _in_company(training: DataFrame, frequent: np.ndarray) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, labels, n_terms = shared.value
+        forget()
         x = np.arange(len(labels) + 1, dtype=float)
         times_log = x * np.log(np.maximum(x, 1))
 
@@ -212,6 +219,7 @@ def _in_company(training: DataFrame, frequent: np.ndarray) -> np.ndarray:
 
     found = arrow_map(spark.range(0, len(both), 1, len(both)), run, "place int, ratio double").groupBy("place").agg(F.max("ratio").alias("ratio"))
     found = sorted(found.collect(), key=lambda r: (-r["ratio"], r["place"]))
+    shared.destroy()
     return frequent[np.array([r["place"] for r in found], np.int64)]
 
 
@@ -284,12 +292,18 @@ def score_texts(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def rows(ids: list, texts: list):
+        forget()
         return zip(ids, shared.value.scores(texts).tolist())
 
     return map_texts(documents_of(docs, id_col, text_col), rows, "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score is below ``threshold``."""
+    """The rows of ``docs``, with all their columns, whose score is below ``threshold``; null and empty texts as in ``score_texts``."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    return keep_rows(docs, text_col, lambda texts: shared.value.scores(texts) < threshold)
+
+    def keep(texts: list) -> np.ndarray:
+        forget()
+        return shared.value.scores(texts) < threshold
+
+    return keep_rows(docs, text_col, keep)
