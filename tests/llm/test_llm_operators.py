@@ -578,5 +578,40 @@ def test_weights_are_followed_and_movement_is_confined(spark):
     assert [round(share[k] / 40_000, 2) for k in range(4)] == pytest.approx([1 / 8, 3 / 8, 1 / 4, 1 / 4], abs=0.02)
     moved = {(r.x, r.y) for r in got if r.x != r.y}
     assert all(x in (2, 3) and y in (2, 3, 4) for x, y in moved), "region a keeps its rows: the weights of the regions are as before"
-    grown = spark.range(40_000).select(sharding.shard_of(key, sharding.topology(30)).alias("x"), sharding.shard_of(key, sharding.topology(31)).alias("y")).collect()
+    grown = spark.range(40_000).select(sharding.shard_of(key, sharding.topology(30, 24)).alias("x"), sharding.shard_of(key, sharding.topology(31, 24)).alias("y")).collect()
     assert {r.y for r in grown if r.x != r.y} == {30}
+
+
+def test_rows_that_move_go_to_the_new_shard_at_every_number_of_shards(spark):
+    rows = spark.range(3000).selectExpr("id as doc_id", "string(id) as text").cache()
+    for n in (1, 2, 3, 7, 8, 9, 10, 16, 20, 23, 24, 25, 30, 40):
+        got = sharding.assign_shards(rows, n).select("doc_id", "shard", "grown_shard").collect()
+        assert {r["shard"] for r in got} <= set(range(n))
+        moved = [r for r in got if r["shard"] != r["grown_shard"]]
+        assert {r["grown_shard"] for r in moved} == {n}
+        assert abs(len(moved) / 3000 - 1 / (n + 1)) < 0.05
+        if n in (7, 24):  # what grows step by step is what is laid out at once
+            later = {r["doc_id"]: r["shard"] for r in sharding.assign_shards(rows, n + 1, base=n).collect()}
+            assert later == {r["doc_id"]: r["grown_shard"] for r in got}
+    shards = sharding.topology(30, 24)
+    both = sharding.with_shard(rows, F.col("doc_id"), shards, "x").select("x", sharding.shard_of(F.col("doc_id"), shards).alias("y"))
+    assert both.where("x <> y").count() == 0
+
+
+def test_nearest_with_ids_that_have_many_vectors(spark):
+    """Thirty vectors of one id next to the query, and two of the query's own id, do not hide the other ids."""
+    rng = np.random.default_rng(3)
+    data = [(0, [1.0, 0.0, 0.0, 0.0]), (0, [1.0, 1e-9, 0.0, 0.0])]
+    data += [(1, [1.0, float(x), 0.0, 0.0]) for x in rng.uniform(0, 0.01, 30)]
+    data += [(i, [float(x) for x in rng.normal(0, 1, 4)]) for i in range(2, 40)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    want = defaultdict(lambda: math.inf)
+    for i, v in data:
+        for q in (data[0][1], data[1][1]):
+            if i:
+                want[i] = min(want[i], math.dist(q, v))
+    want = [(i, s) for s, i in sorted((s, i) for i, s in want.items())[:10]]
+    for more in ({}, {"block": 3}, {"tables": 1, "probes": 1}):
+        got = nearest.nearest(df, F.col("vec_id") == 0, **more).orderBy("rank").collect()
+        assert [r["vec_id"] for r in got] == [i for i, _ in want]
+        assert [r["score"] for r in got] == pytest.approx([s for _, s in want], abs=1e-12)
