@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobmetrics.llm import decontamination, minhash, secret_scan, sentencepiece_bpe, toxicity
+from jobmetrics.llm.batches import lean_workers
 from jobmetrics.llm.queries import table, vocabulary
 from jobmetrics.runtime import Stage
 
@@ -19,6 +20,7 @@ Step = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose score is 0.7 or more; texts without known terms stay."""
+    lean_workers(spark)
     return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
