@@ -7,7 +7,7 @@ changes any more go to a result folder and take no part in later rounds.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -47,32 +47,93 @@ def _targets(edges: DataFrame) -> DataFrame:
     return edges.select("flow_id", F.col("dest_stage").alias("src_stage")).distinct()
 
 
+def _watched(stage: Stage, name: str, df: DataFrame, *kept: str, **counts: Column) -> tuple[DataFrame, dict]:
+    """Write a table (in a folder for each value of the ``kept`` columns), and count some of its rows on the way."""
+    seen = Observation()
+    path = stage.paths[name] = f"{stage.root}/{name}"
+    watched = df.observe(seen, *[F.count_if(condition).alias(key) for key, condition in counts.items()])
+    watched.write.partitionBy(*kept).parquet(path)
+    return stage.spark.read.schema(df.schema).parquet(path), seen.get
+
+
+def _chains(hops: DataFrame, stage: Stage) -> DataFrame:
+    """Vertices with one way in and one way out: (flow_id, stage, head, distance), the head being the nearest vertex before it
+    that is not one of them. Pointer doubling: a run of n vertices takes log2(n) rounds. A ring of them is an error."""
+    ways_in = hops.groupBy("flow_id", F.col("dest_stage").alias("stage")).agg(F.count(F.lit(1)).alias("n"), F.min("src_stage").alias("head"))
+    ways_out = hops.groupBy("flow_id", F.col("src_stage").alias("stage")).agg(F.count(F.lit(1)).alias("m"))
+    inner = ways_in.where("n = 1").join(ways_out.where("m = 1"), ["flow_id", "stage"]).select("flow_id", "stage", "head")
+    inner = stage.put("inner", inner)
+    known = inner.select("flow_id", F.col("stage").alias("head"), F.lit(True).alias("open"))
+    first = inner.join(known, ["flow_id", "head"], "left").select("flow_id", "stage", "head", F.lit(1).cast("bigint").alias("distance"), F.coalesce("open", F.lit(False)).alias("open"))
+    chains, seen = _watched(stage, "chain-0", first, open=F.col("open"), rows=F.lit(True))
+    r = 0
+    while seen["open"]:
+        if 1 << r > seen["rows"]:
+            raise CycleError("the edges contain a cycle")
+        before = chains.select("flow_id", F.col("stage").alias("head"), F.col("head").alias("_head"), F.col("distance").alias("_distance"), F.col("open").alias("_open"))
+        # Those that have their head meet nothing.
+        joined = chains.withColumn("_at", F.when(F.col("open"), F.col("head"))).join(before.withColumnRenamed("head", "_at"), ["flow_id", "_at"], "left")
+        moved = joined.select(
+            "flow_id",
+            "stage",
+            F.coalesce("_head", "head").alias("head"),
+            (F.col("distance") + F.coalesce("_distance", F.lit(0))).alias("distance"),
+            (F.col("open") & F.coalesce("_open", F.lit(False))).alias("open"),
+        )
+        r += 1
+        chains, seen = _watched(stage, f"chain-{r}", moved, open=F.col("open"), rows=F.lit(True))
+        stage.drop(f"chain-{r - 1}")
+    stage.drop("inner")
+    return chains.drop("open")
+
+
 def dag_levels(edges: DataFrame) -> DataFrame:
-    """Longest-path level of each vertex (flow_id, stage, level); vertices without incoming edges have level 0.
+    """Longest-path level of each vertex (flow_id, stage, level); vertices without incoming edges have level 0. A cycle is an error.
 
-    Round k keeps the edges whose source ends a path of k edges. A vertex that is a target in one round and no longer
-    in the next is settled, so each vertex is written once, into a folder by level that is read at the end. If a round
-    drops no edge, what is left hangs on a cycle, which is an error.
+    Runs of vertices with one way in and one way out become one edge as long as the run (``_chains``). On what is left, a round
+    settles the vertices that no edge leads to any more and takes their edges away, in one write; so the rounds are as many as
+    the branchings on a path, not its steps. Then the runs get their levels from their heads.
     """
     stage = Stage(edges.sparkSession, "levels")
-    left = stage.put("edges-0", edges.select(*EDGE).distinct())
-    targets = _targets(left).withColumnRenamed("src_stage", "stage")
-    settled = Settled(stage, "settled", "level")
-    sources = left.select("flow_id", F.col("src_stage").alias("stage")).distinct()
-    settled.add(0, sources.join(targets, ["flow_id", "stage"], "left_anti"))
-    size, level = left.count(), 0
-    while size:
-        rest = stage.put(f"edges-{level + 1}", lookup(left, _targets(left), ["flow_id", "src_stage"], "left_semi").select(*EDGE))
-        rest_size = rest.count()
-        if rest_size == size:
+    hops = stage.put("hops", edges.select(*EDGE).distinct())
+    chains = _chains(hops, stage)
+    inner = chains.select("flow_id", F.col("stage").alias("dest_stage"))
+    runs = chains.select("flow_id", F.col("stage").alias("src_stage"), "head", "distance")
+    ends = hops.join(inner, ["flow_id", "dest_stage"], "left_anti").join(runs, ["flow_id", "src_stage"], "left")
+    kind = hops.schema["src_stage"].dataType
+    columns = ["flow_id", "src_stage", "dest_stage", "value", "kind"]
+    left = ends.groupBy("flow_id", F.coalesce("head", "src_stage").cast(kind).alias("src_stage"), "dest_stage").agg(
+        F.max(F.coalesce("distance", F.lit(0)) + 1).alias("value")
+    )
+    left = stage.put("left", left)
+    ready = left.select("flow_id", "src_stage").distinct().join(_targets(left), ["flow_id", "src_stage"], "left_anti")
+    ready = ready.select("flow_id", "src_stage", F.lit(None).cast(kind).alias("dest_stage"), F.lit(0).cast("bigint").alias("value"), F.lit("ready").alias("kind"))
+    written, seen = _watched(stage, "rounds/at=0", left.withColumn("kind", F.lit("edge")).select(*columns).unionByName(ready), "kind", edges=F.col("kind") == "edge", ready=F.col("kind") == "ready")
+    r = 0
+    while seen["edges"]:
+        if not seen["ready"]:
             raise CycleError("the edges contain a cycle")
-        still = _targets(rest).withColumnRenamed("src_stage", "stage")
-        done = _targets(left).withColumnRenamed("src_stage", "stage").join(still, ["flow_id", "stage"], "left_anti")
-        settled.add(level + 1, done)
-        stage.drop(f"edges-{level}")
-        left, size, level = rest, rest_size, level + 1
-    stage.drop(f"edges-{level}")
-    return settled.read()
+        left, ready = written.where("kind = 'edge'"), written.where("kind = 'ready'").select("flow_id", "src_stage", F.col("value").alias("level"))
+        followed = left.join(ready, ["flow_id", "src_stage"], "left")
+        rest = followed.where("level is null").select(*columns)
+        offers = followed.where("level is not null").select("flow_id", F.col("dest_stage").alias("src_stage"), (F.col("level") + F.col("value")).alias("value"))
+        offers = offers.unionByName(written.where("kind = 'open'").select("flow_id", "src_stage", "value"))
+        offers = offers.groupBy("flow_id", "src_stage").agg(F.max("value").alias("value"))
+        still = _targets(rest).withColumn("_still", F.lit(True))
+        vertices_ = offers.join(still, ["flow_id", "src_stage"], "left")
+        state = F.when(F.col("_still").isNull(), "ready").otherwise("open").alias("kind")
+        step = rest.unionByName(vertices_.select("flow_id", "src_stage", F.lit(None).cast(kind).alias("dest_stage"), "value", state))
+        r += 1
+        written, seen = _watched(stage, f"rounds/at={r}", step, "kind", edges=F.col("kind") == "edge", ready=F.col("kind") == "ready")
+        for part in ("edge", "open"):
+            stage.paths["gone"] = f"{stage.root}/rounds/at={r - 1}/kind={part}"
+            stage.drop("gone")
+    stage.drop("left", "hops")
+    levels = stage.spark.read.schema(written.schema).parquet(f"{stage.root}/rounds")
+    levels = levels.where("kind = 'ready'").select("flow_id", F.col("src_stage").alias("stage"), F.col("value").alias("level"))
+    spread = lookup(chains.withColumnRenamed("stage", "_stage").withColumnRenamed("head", "stage"), levels, ["flow_id", "stage"])
+    spread = spread.select("flow_id", F.col("_stage").alias("stage"), (F.col("level") + F.col("distance")).alias("level"))
+    return levels.unionByName(spread).select("flow_id", "stage", F.col("level").cast("int").alias("level"))
 
 
 def topo_order(edges: DataFrame) -> DataFrame:

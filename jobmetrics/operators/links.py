@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobmetrics.functions import names
@@ -92,7 +92,7 @@ def flow_links(flows: DataFrame) -> DataFrame:
 def failure_links(steps: DataFrame, flows: DataFrame, config: ServerConfig = ServerConfig()) -> DataFrame:
     """For runs that need attention: pages of failed tasks, else the client logs.
 
-    Both kinds are told apart by a rank of their own and go through one pass by flow, which keeps the better kind.
+    Which flows have pages of failed tasks is one row each; the logs of the others are found against these.
     """
     failing = flows.filter(is_failing(F.col("flow_status")))
     # Only failed steps with failed tasks can give a link here.
@@ -105,6 +105,4 @@ def failure_links(steps: DataFrame, flows: DataFrame, config: ServerConfig = Ser
     )
     logs = flow_links(failing).filter(F.col("name") == CLIENT_LOGS)
     logs = logs.groupBy("flow_id", "name").agg(F.min("url").alias("url"))
-    has_pages = F.count_if("_page").over(Window.partitionBy("flow_id")) > 0
-    every = tasks.withColumn("_page", F.lit(True)).unionByName(logs.withColumn("_page", F.lit(False)))
-    return every.withColumn("_pages", has_pages).filter(F.col("_page") | ~F.col("_pages")).drop("_page", "_pages")
+    return tasks.unionByName(logs.join(tasks.select("flow_id").distinct(), "flow_id", "left_anti"))

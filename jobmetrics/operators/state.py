@@ -2,7 +2,8 @@
 
 Updates carry ``update_date`` (epoch seconds) and one or more sequence columns that give their arrival order.
 Built-in file tables cannot be merged in place, so each function returns the new table; the caller writes it to
-a new path, or keeps appending deltas (see ``jobmetrics.streaming.feeds``).
+a new path, keeps appending deltas (see ``jobmetrics.streaming.feeds``), or keeps the table in buckets of which only the
+touched ones are written anew (see ``jobmetrics.sources.buckets``).
 """
 
 from __future__ import annotations
@@ -33,9 +34,14 @@ def upsert(current: DataFrame, updates: DataFrame, keys: Sequence[str], seq: Seq
     """Replace all columns of known keys by the last update, add unknown keys, keep the first ``create_date``.
 
     The updates are collapsed first, then one full outer join meets the current table, whose keys are unique.
-    A table bucketed by its key joins without moving its rows.
+    A table bucketed by its key (``sources.buckets``) joins without moving its rows.
     """
     fresh = collapse(updates, keys, seq).drop(*[c for c in seq if c not in current.columns])
+    return merge_latest(current, fresh, keys)
+
+
+def merge_latest(current: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The current rows, in place of which come fresh ones of the same key, but for the first ``create_date``."""
     columns = [c for c in current.columns if c not in keys]
     new_row = F.struct(*[F.col(c) for c in fresh.columns if c not in keys]).alias("_new")
     old_row = F.struct(*[F.col(c) for c in columns]).alias("_old")
@@ -63,7 +69,7 @@ def has_aggregated(updates: DataFrame) -> DataFrame:
     return updates.filter(F.col("aggregated").isNotNull())
 
 
-def _merged(current: DataFrame, fresh: DataFrame, keys: Sequence[str], keep_old: bool) -> DataFrame:
+def merged(current: DataFrame, fresh: DataFrame, keys: Sequence[str], keep_old: bool) -> DataFrame:
     """One full outer join of two tables with unique keys; of a key in both, one side's row as a whole."""
     rest = [c for c in current.columns if c not in keys]
     old, new = F.struct(*rest).alias("_old"), F.struct(*rest).alias("_new")
@@ -72,20 +78,32 @@ def _merged(current: DataFrame, fresh: DataFrame, keys: Sequence[str], keep_old:
     return joined.select(*keys, row.alias("_row")).select(*keys, "_row.*").select(*current.columns)
 
 
+EDGE_KEYS = ["flow_id", "src_stage", "dest_stage"]
+AGG_KEYS = ["epoch_ms", "flow_id"]
+
+
+def first_edges(new: DataFrame, seq: Sequence[str]) -> DataFrame:
+    """Of each edge the first one to arrive."""
+    rest = [c for c in new.columns if c not in EDGE_KEYS]
+    first = new.groupBy(*EDGE_KEYS).agg(F.min_by(F.struct(*rest), F.struct(*seq)).alias("_row"))
+    return first.select(*EDGE_KEYS, "_row.*")
+
+
+def last_snapshots(updates: DataFrame, seq: Sequence[str]) -> DataFrame:
+    """Of each snapshot the last one to arrive."""
+    rest = [c for c in updates.columns if c not in AGG_KEYS]
+    last = updates.groupBy(*AGG_KEYS).agg(F.max_by(F.struct(*rest), F.struct(*seq)).alias("_row"))
+    return last.select(*AGG_KEYS, "_row.*")
+
+
 def insert_edges(current: DataFrame, new: DataFrame, seq: Sequence[str]) -> DataFrame:
     """Add edges that are not there yet; the first one to arrive wins."""
-    keys = ["flow_id", "src_stage", "dest_stage"]
-    rest = [c for c in new.columns if c not in keys]
-    first = new.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*seq)).alias("_row"))
-    return _merged(current, first.select(*keys, "_row.*"), keys, keep_old=True)
+    return merged(current, first_edges(new, seq), EDGE_KEYS, keep_old=True)
 
 
 def upsert_agg(current: DataFrame, updates: DataFrame, seq: Sequence[str]) -> DataFrame:
     """Snapshots by (epoch_ms, flow_id); the last write wins. There are no dates to keep."""
-    keys = ["epoch_ms", "flow_id"]
-    rest = [c for c in updates.columns if c not in keys]
-    last = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*seq)).alias("_row"))
-    return _merged(current, last.select(*keys, "_row.*"), keys, keep_old=False)
+    return merged(current, last_snapshots(updates, seq), AGG_KEYS, keep_old=False)
 
 
 def changed_steps(updates: DataFrame, seq: Sequence[str], bucket: str, known: DataFrame | None = None) -> DataFrame:

@@ -36,17 +36,23 @@ def flow_totals(steps: DataFrame, extra: Mapping[str, Column] | None = None) ->
     return steps.groupBy("flow_id").agg(_progress().alias("flow_progress"), *sums, *more)
 
 
+def field_of(document: Column, name: str, kind: str) -> Column:
+    """A field of an open document (a variant) as ``kind``; null where it is absent or no such value."""
+    return F.try_variant_get(document, f'$["{name}"]', kind)
+
+
 def aggregate_or(aggregated: Column, name: str, default: float | int) -> Column:
-    """An aggregate kept with the flow, or the default, in the default's type."""
+    """An aggregate kept with the flow (variant), or the default, in the default's type."""
     kind = "bigint" if isinstance(default, int) else "double"
-    return F.coalesce(aggregated[name].cast(kind), F.lit(default).cast(kind))
+    return F.coalesce(field_of(aggregated, name, kind), F.lit(default).cast(kind))
 
 
 def stored_totals(flows: DataFrame) -> DataFrame:
-    """The aggregates kept with each flow (map ``aggregated``) as columns: progress and the counter totals, null where absent."""
+    """The aggregates kept with each flow (variant ``aggregated``) as columns: progress and the counter totals, null where absent
+    or not a number."""
     kept = F.col("aggregated")
-    totals = {name: kept[name].cast("bigint") for name in FLOW_TOTALS}
-    return flows.withColumns({"flow_progress": kept["flow_progress"].cast("double"), **totals})
+    totals = {name: field_of(kept, name, "bigint") for name in FLOW_TOTALS}
+    return flows.withColumns({"flow_progress": field_of(kept, "flow_progress", "double"), **totals})
 
 
 def merge_maps(left: Column, right: Column) -> Column:

@@ -45,7 +45,7 @@ def _(t):
     path = posted(t, envelope(t.flows, body, F.col("update_date"), F.col("flow_priority")), "flow-feed")
     return feeds.read_flow_updates(t.spark, path).select(
         "flow_id", "flow_name", "flow_status", "user_name", "flow_duration", "tmp_dir",
-        F.col("aggregated")["flow_progress"].cast("double").alias("progress"), F.col("config_props")["args"].alias("job_args"),
+        totals.field_of(F.col("aggregated"), "flow_progress", "double").alias("progress"), F.col("config_props")["args"].alias("job_args"),
         "update_date", "seq",
     )
 
@@ -88,7 +88,8 @@ def agg_envelopes(t, *more):
 def _(t):
     read = feeds.read_agg(t.spark, posted(t, agg_envelopes(t), "agg-feed"))
     stored = F.from_json("agg_json", AGG_DOC)["agg_json"]
-    return read.select("flow_id", "epoch_ms", stored["value"].alias("metric"), F.col("metrics")["user"].alias("user"), "seq")
+    user = totals.field_of(F.col("metrics"), "user", "double").alias("user")
+    return read.select("flow_id", "epoch_ms", totals.field_of(stored, "value", "double").alias("metric"), user, "seq")
 
 
 @query(
@@ -100,10 +101,10 @@ def _(t):
 )
 def _(t):
     root, names = scratch_path(t.spark, "store"), TableNames(flows="flows_new", steps="steps_new")
-    write_table(t.flows.select("flow_id", "flow_name", "flow_status", "create_date", "update_date"), root, names.flows, "create_date")
-    write_table(t.steps.select("step_id", "flow_id", "step_status"), root, names.steps)
-    write_table(t.edges, root, names.edges)
-    write_table(t.agg, root, names.aggregates, "epoch_ms")
+    write_table(t.flows.select("flow_id", "flow_name", "flow_status", "create_date", "update_date"), root, names.flows, "create_date", ["flow_id"])
+    write_table(t.steps.select("step_id", "flow_id", "step_status"), root, names.steps, find=["flow_id", "step_id"])
+    write_table(t.edges, root, names.edges, find=["flow_id"])
+    write_table(t.agg, root, names.aggregates, "epoch_ms", ["flow_id"])
     store = load_store(t.spark, root, names)
 
     def part(name, df, key, *content):
@@ -137,7 +138,10 @@ def _(t):
 
 
 TOLERATED = """select a.flow_id, a.epoch_ms, a.seq from agg a left join (select flow_id, seq as stop from agg where kind = 'error'
-        qualify row_number() over (partition by flow_id order by seq) = 10) s using (flow_id) where (stop is null or seq < stop)"""
+        qualify row_number() over (partition by flow_id order by seq) = 10) s using (flow_id) left join (select x.flow_id,
+        min(x.seq) as final from agg x join (select flow_id, seq as stop from agg where kind = 'error' qualify row_number() over
+        (partition by flow_id order by seq) = 10) y on x.flow_id = y.flow_id and x.seq > y.stop group by all) e using (flow_id)
+    where (stop is null or seq < stop or seq = final)"""
 
 
 @query("r3_within_tolerance", TOLERATED)
@@ -224,16 +228,13 @@ def _(t):
 def ingested(t):
     """All tables posted as reports, ingested into empty stores, written and loaded again."""
     sums = totals.flow_totals(t.steps)
-    kept = F.map_from_arrays(
-        F.array(*[F.lit(c) for c in sums.columns[1:]]), F.array(*[F.col(c).cast("string") for c in sums.columns[1:]])
-    ).alias("aggregated")
+    kept = F.struct(*sums.columns[1:]).alias("aggregated")
     flow = F.struct(
         *[c for c in FLOW_DOC.names if c in t.flows.columns and c != "flow_id"],
         "aggregated",
         F.create_map(F.lit(ARGS_KEY), F.col("job_args")).alias("config_props"),
     )
     flows = t.flows.join(sums.select("flow_id", kept), "flow_id", "left")
-    # Numbers are posted as numbers: the map's texts lose their quotes.
     body = F.from_json(F.to_json(flow), FLOW_DOC)
     step = F.struct("step_id", "step_number", "step_status", "map_progress", "has_reduce_stage", counters_struct(t).alias("counters"))
     edge = F.create_map(F.col("src_stage").cast("string"), F.array("dest_stage"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from jobmetrics.functions import names, numbers, status, templates, times
 from jobmetrics.operators import cluster, hooks, unpack
 from jobmetrics.operators.select import running_steps
+from jobmetrics.operators.totals import field_of
 from jobmetrics.plans import settings as s
 from jobmetrics.plans.registry import query
 from jobmetrics.plans.settings import CONFIG, DESCRIBED
@@ -334,7 +335,7 @@ def _(t):
         "username_link",
         "truncated_name",
         F.array_join("args", "|").alias("args"),
-        C("aggregated")["flow_progress"].cast("double").alias("progress"),
+        field_of(C("aggregated"), "flow_progress", "double").alias("progress"),
     )
 
 

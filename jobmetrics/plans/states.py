@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from jobmetrics.operators import state
 from jobmetrics.plans.registry import query
 from jobmetrics.plans.tables import ARRIVAL
+from jobmetrics.runtime import scratch_path
+from jobmetrics.sources import buckets
 
 # The first half of the updates is the current table, the second half arrives.
 SPLIT = 883612800  # 1998-01-01 00:00:00 UTC
@@ -30,6 +32,21 @@ def _(t):
     return state.upsert_steps(old, updates.filter(F.col("arrived") >= SPLIT), ARRIVAL).select(*STEP_STATE.split(", "))
 
 
+def bucketed(df, name: str, schema: str, keys: list[str]) -> buckets.BucketedTable:
+    """An empty table in the shared folder."""
+    return buckets.BucketedTable(df.sparkSession, scratch_path(df.sparkSession, name), schema, keys, 8)
+
+
+@query("u3_bucketed_steps", STEP_STATE_SQL)
+def _(t):
+    updates = dated_steps(t)
+    schema = "flow_id string, step_id string, step_status string, map_progress double, update_date bigint, create_date bigint"
+    table = bucketed(updates, "steps", schema, ["step_id"])
+    for part in (F.col("arrived") < SPLIT, F.col("arrived") >= SPLIT):
+        buckets.upsert(table, updates.filter(part), ARRIVAL)
+    return table.read()
+
+
 # One report of a flow for each of its step updates. Old clients send no aggregates.
 FLOW_UPDATES = """select flow_id, 'run ' || cast(step_number as string) as flow_name, step_status as flow_status,
     case when step_status = 'SUBMITTED' then null else map_progress end as aggregated, arrived as update_date, arrived, seq_a, seq_b,
@@ -48,14 +65,13 @@ def flow_updates(t):
     )
 
 
-@query(
-    "u1_upsert_flows",
-    """select flow_id, flow_name, flow_status, aggregated, update_date, first_arrived as create_date from (select *,
+U1_SQL = """select flow_id, flow_name, flow_status, aggregated, update_date, first_arrived as create_date from (select *,
         first_value(arrived) over (partition by flow_id order by arrived, seq_a, seq_b, step_number) as first_arrived,
         row_number() over (partition by flow_id order by arrived desc, seq_a desc, seq_b desc, step_number desc) as rn
-        from flow_updates where aggregated is not null) where rn = 1""",
-    {"flow_updates": FLOW_UPDATES},
-)
+        from flow_updates where aggregated is not null) where rn = 1"""
+
+
+@query("u1_upsert_flows", U1_SQL, {"flow_updates": FLOW_UPDATES})
 def _(t):
     updates = state.has_aggregated(flow_updates(t))
     old = state.collapse(updates.filter(F.col("arrived") < SPLIT), ["flow_id"], FLOW_ORDER).drop(*FLOW_ORDER)
@@ -64,6 +80,16 @@ def _(t):
     return out.select("flow_id", "flow_name", "flow_status", "aggregated", "update_date", "create_date")
 
 
+@query("u1_bucketed_flows", U1_SQL, {"flow_updates": FLOW_UPDATES})
+def _(t):
+    updates = state.has_aggregated(flow_updates(t))
+    schema = "flow_id string, flow_name string, flow_status string, aggregated double, update_date bigint, create_date bigint"
+    table = bucketed(updates, "flows", schema, ["flow_id"])
+    for part in (F.col("arrived") < SPLIT, F.col("arrived") >= SPLIT):
+        buckets.upsert(table, updates.filter(part), FLOW_ORDER)
+    return table.read()
+
+
 @query(
     "u2_has_aggregated",
     "select flow_id, flow_name, aggregated from flow_updates where aggregated is not null",
@@ -88,12 +114,13 @@ def edge_updates(t):
     )
 
 
-@query(
-    "u4_insert_edges",
+U4_SQL = (
     "select flow_id, src_stage, dest_stage, update_date, update_date as create_date from edge_updates "
-    "qualify row_number() over (partition by flow_id, src_stage, dest_stage order by arrived, seq_a, seq_b) = 1",
-    {"edge_updates": EDGE_UPDATES},
+    "qualify row_number() over (partition by flow_id, src_stage, dest_stage order by arrived, seq_a, seq_b) = 1"
 )
+
+
+@query("u4_insert_edges", U4_SQL, {"edge_updates": EDGE_UPDATES})
 def _(t):
     updates = edge_updates(t)
     empty = updates.filter(F.lit(False)).drop(*ARRIVAL)
@@ -101,6 +128,16 @@ def _(t):
     return state.insert_edges(old, updates.filter(F.col("arrived") >= SPLIT), ARRIVAL)
 
 
+@query("u4_bucketed_edges", U4_SQL, {"edge_updates": EDGE_UPDATES})
+def _(t):
+    updates = edge_updates(t)
+    schema = "flow_id string, src_stage int, dest_stage int, update_date bigint, create_date bigint"
+    table = bucketed(updates, "edges", schema, state.EDGE_KEYS)
+    for part in (F.col("arrived") < SPLIT, F.col("arrived") >= SPLIT):
+        buckets.insert_edges(table, updates.filter(part), ARRIVAL)
+    return table.read()
+
+
 # Snapshots arrive by the minute here, so some keys are written more than once.
 AGG_UPDATES = "select flow_id, epoch_ms // 60000 * 60000 as epoch_ms, metric, payload, seq, epoch_ms as at_ms from agg"
 
@@ -110,12 +147,13 @@ def agg_updates(t):
     return t.agg.select("flow_id", minute.alias("epoch_ms"), "metric", "payload", "seq", F.col("epoch_ms").alias("at_ms"))
 
 
-@query(
-    "u5_upsert_agg",
+U5_SQL = (
     "select flow_id, epoch_ms, metric, payload from agg_updates "
-    "qualify row_number() over (partition by flow_id, epoch_ms order by at_ms desc, seq desc) = 1",
-    {"agg_updates": AGG_UPDATES},
+    "qualify row_number() over (partition by flow_id, epoch_ms order by at_ms desc, seq desc) = 1"
 )
+
+
+@query("u5_upsert_agg", U5_SQL, {"agg_updates": AGG_UPDATES})
 def _(t):
     updates = agg_updates(t)
     half = F.col("at_ms") < 1705000000000
@@ -124,6 +162,16 @@ def _(t):
     return state.upsert_agg(old, updates.filter(~half), ["at_ms", "seq"])
 
 
+@query("u5_bucketed_agg", U5_SQL, {"agg_updates": AGG_UPDATES})
+def _(t):
+    updates = agg_updates(t)
+    half = F.col("at_ms") < 1705000000000
+    table = bucketed(updates, "snapshots", "epoch_ms bigint, flow_id string, metric string, payload string", state.AGG_KEYS)
+    for part in (half, ~half):
+        buckets.upsert_agg(table, updates.filter(part), ["at_ms", "seq"])
+    return table.read()
+
+
 CHANGED_SQL = """select step_id, step_status, previous_status, arrived, seq_a, seq_b from (select *, lag(step_status) over
     (partition by step_id order by arrived, seq_a, seq_b) as previous_status from step_updates)
     where previous_status is null or step_status = 'RUNNING' or step_status <> previous_status"""

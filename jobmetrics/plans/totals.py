@@ -71,7 +71,7 @@ def _(t):
 )
 def _(t):
     sums = totals.flow_totals(t.steps).select(
-        "flow_id", F.create_map(F.lit("flow_cpu_millis"), F.col("flow_cpu_millis").cast("string")).alias("aggregated")
+        "flow_id", F.to_variant_object(F.create_map(F.lit("flow_cpu_millis"), F.col("flow_cpu_millis"))).alias("aggregated")
     )
     aggregated = F.col("aggregated")
     return t.flows.select("flow_id").join(sums, "flow_id", "left").select(

@@ -9,7 +9,8 @@ _STRING, _INT, _LONG, _DOUBLE, _BOOL = T.StringType(), T.IntegerType(), T.LongTy
 STRING_MAP = T.MapType(_STRING, _STRING)
 FIELD_MAP = T.MapType(_STRING, T.ArrayType(_STRING))
 COUNTER_MAP = T.MapType(_STRING, T.MapType(_STRING, _LONG))
-METRIC_MAP = T.MapType(_STRING, _DOUBLE)
+#: A document with fields of the reporter's own choice; numbers stay the numbers that were posted.
+OPEN = T.VariantType()
 EDGE_MAP = T.MapType(_STRING, T.ArrayType(_INT))
 
 # Counter groups, and per step column the (group, counter) it is read from.
@@ -109,7 +110,7 @@ FLOW_DOC = _struct(
     flow_submit_epoch_ms=_LONG,
     flow_end_epoch_ms=_LONG,
     flow_links=_STRING,
-    aggregated=STRING_MAP,  # numbers as they are written: totals are longs, progress and users' own values doubles
+    aggregated=OPEN,  # totals, progress and users' own values
     config_props=STRING_MAP,
 )
 
@@ -132,7 +133,7 @@ STEP_DOC = _struct(
     config_props=STRING_MAP,
 )
 
-AGG_DOC = _struct(flow_id=_STRING, epoch_ms=_LONG, agg_json=METRIC_MAP)
+AGG_DOC = _struct(flow_id=_STRING, epoch_ms=_LONG, agg_json=OPEN)
 
 # Stores, as they are kept: key columns, dates in epoch seconds and the document as text.
 FLOW_TABLE = _struct(

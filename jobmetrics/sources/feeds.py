@@ -53,10 +53,15 @@ def _dated(feed: DataFrame, *columns) -> DataFrame:
 
 def flow_updates(feed: DataFrame) -> DataFrame:
     """One row per flow report; the flow id of the route replaces that of the document."""
-    fields = [F.col(f"body.{f.name}") for f in FLOW_DOC if f.name != "flow_id"]
+    fields = [_known(f"body.{f.name}", f.dataType).alias(f.name) for f in FLOW_DOC if f.name != "flow_id"]
     return _dated(feed, *fields)
 
 
+def _known(name: str, kind: T.DataType) -> Column:
+    """A field of a report; the null of an open document is no document."""
+    return F.when(~F.is_variant_null(name), F.col(name)) if isinstance(kind, T.VariantType) else F.col(name)
+
+
 def step_updates(feed: DataFrame) -> DataFrame:
     """One row per step in each report."""
     return _dated(feed.withColumn("step", F.explode("body")), "step.*")

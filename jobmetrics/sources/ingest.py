@@ -41,7 +41,7 @@ def ingest(current: Store, flows: DataFrame, steps: DataFrame, edges: DataFrame,
 
 def write_store(store: Store, root: str, names: TableNames = TableNames()) -> None:
     """Write the stores to a root that is not in use."""
-    write_table(store.flows, root, names.flows, "update_date")
-    write_table(store.steps, root, names.steps)
-    write_table(store.edges, root, names.edges)
-    write_table(store.aggregates, root, names.aggregates, "epoch_ms")
+    write_table(store.flows, root, names.flows, "update_date", ["flow_id"])
+    write_table(store.steps, root, names.steps, find=["flow_id", "step_id"])
+    write_table(store.edges, root, names.edges, find=["flow_id"])
+    write_table(store.aggregates, root, names.aggregates, "epoch_ms", ["flow_id"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +31,15 @@ def load_store(spark: SparkSession, root: str, names: TableNames = TableNames())
     return Store(read(names.flows), read(names.steps), read(names.edges), read(names.aggregates))
 
 
-def write_table(df: DataFrame, root: str, name: str, sort: str | None = None) -> None:
+def write_table(df: DataFrame, root: str, name: str, sort: str | None = None, find: Sequence[str] = (), **options: str) -> None:
     """Write one store to a path that is not in use. Sorting inside the files by the column that selections
-    test lets row-group statistics skip most of them, and needs no shuffle."""
+    test lets row-group statistics skip most of them, and needs no shuffle.
+
+    ``find`` are columns by which single rows are looked up. Each row group gets a Bloom filter of their values, sized by how many
+    there are, so a lookup reads the row groups that hold the value and hardly any others. ``options`` are the writer's.
+    """
     out = df.sortWithinPartitions(sort) if sort else df
-    out.write.parquet(f"{root}/{name}")
+    writer = out.write.options(**options)
+    for column in find:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+    writer.parquet(f"{root}/{name}")

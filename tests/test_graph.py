@@ -55,6 +55,28 @@ def test_levels_and_order(spark):
         assert all(order[flow, a] < order[flow, b] for a, b in pairs)
 
 
+def test_rounds_do_not_grow_with_the_length_of_a_chain(spark, monkeypatch):
+    """Chains of 10 and 1,000 steps, alone and between branchings."""
+    names = []
+    watched = graph._watched
+    monkeypatch.setattr(graph, "_watched", lambda stage, name, *rest, **more: names.append(name) or watched(stage, name, *rest, **more))
+    rounds = {}
+    for n in (10, 1000):
+        names.clear()
+        chain = [("c", i, i + 1) for i in range(n)]
+        loop = [("d", 0, 1), ("d", 0, 5000), ("d", 5000, n + 1), *(("d", i, i + 1) for i in range(1, n + 1)), ("d", n + 1, n + 2)]
+        levels = {(r.flow_id, r.stage): r.level for r in graph.dag_levels(spark.createDataFrame(chain + loop, SCHEMA)).collect()}
+        assert levels == {("c", i): i for i in range(n + 1)} | {("d", i): i for i in range(n + 3)} | {("d", 5000): 1}
+        rounds[n] = len(names)
+    assert rounds[1000] - rounds[10] <= 7
+
+
+def test_rings_are_errors(spark):
+    for edges in ([("f", 1, 1)], [("f", 1, 2), ("f", 2, 1)], [("f", 1, 2), ("f", 2, 3), ("f", 3, 1), ("g", 4, 5)], [("f", i, (i + 1) % 17) for i in range(17)]):
+        with pytest.raises(graph.CycleError):
+            graph.dag_levels(spark.createDataFrame(edges, SCHEMA))
+
+
 def test_cycle_is_an_error(spark):
     with pytest.raises(graph.CycleError):
         graph.dag_levels(spark.createDataFrame([("f", 1, 2), ("f", 2, 3), ("f", 3, 2), ("g", 1, 2)], SCHEMA))

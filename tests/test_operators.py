@@ -280,7 +280,7 @@ def test_feed_shapes(spark, tmp_path):
 
     body = {"flow_id": "ignored", "flow_name": "n", "aggregated": {"flow_progress": 12.5}}
     flows = feeds.read_flow_updates(spark, posted("flows", {"flow_id": "f", "received": 9, "seq": 1, "body": body}))
-    assert rows(flows.select("flow_id", "flow_name", "aggregated", "update_date")) == [("f", "n", {"flow_progress": "12.5"}, 9)]
+    assert rows(flows.select("flow_id", "flow_name", F.to_json("aggregated"), "update_date")) == [("f", "n", '{"flow_progress":12.5}', 9)]
     steps = feeds.read_step_updates(
         spark, posted("steps", {"flow_id": "f", "received": 9, "seq": 1, "body": [{"step_id": "A", "step_number": 1}, {"step_id": "B"}]})
     )
@@ -289,6 +289,31 @@ def test_feed_shapes(spark, tmp_path):
     assert rows(edges.select("flow_id", "src_stage", "dest_stage")) == [("f", 1, 2), ("f", 1, 3), ("f", 2, 3)]
 
 
+def test_stored_documents_are_those_posted(spark, tmp_path):
+    """Numbers stay numbers, whatever fields a report has; a malformed one is null and stops nothing."""
+    from jobmetrics.sources.ingest import empty_store, ingest, write_store
+    from jobmetrics.sources.store import load_store
+
+    own = {"flow_progress": 12.5, "flow_cpu_millis": 9007199254740993, "mine": 0.1, "deep": {"a": [1, "x", None]}, "text": "7"}
+    bodies = {"a1": own, "a2": {"flow_progress": "bad", "flow_cpu_millis": "x", "flow_gc_millis": 12.5}, "a3": None, "a4": {"flow_cpu_millis": "12"}}
+    lines = [{"flow_id": k, "received": 9, "seq": 1, "body": {"flow_id": k, "flow_name": "n", "flow_status": "RUNNING", "aggregated": v}} for k, v in bodies.items()]
+    metrics = {"m": 9007199254740993, "user": 1.5, "note": "text"}
+    agg = [{"flow_id": "a1", "received": 9, "seq": 1, "body": {"flow_id": "a1", "epoch_ms": 5, "agg_json": metrics}}]
+    for name, content in (("flows", lines), ("agg", agg), ("steps", []), ("edges", [])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part.json").write_text("\n".join(map(json.dumps, content)))
+    paths = {name: str(tmp_path / name) for name in ("flows", "steps", "edges", "agg")}
+    feeds_read = feeds.read_flow_updates(spark, paths["flows"]), feeds.read_step_updates(spark, paths["steps"]), feeds.read_edges(spark, paths["edges"])
+    write_store(ingest(empty_store(spark), *feeds_read, feeds.read_agg(spark, paths["agg"])), str(tmp_path / "store"))
+    store = load_store(spark, str(tmp_path / "store"))
+    kept = {r.flow_id: json.loads(r.flow_json)["aggregated"] for r in store.flows.collect()}
+    assert kept == {k: v for k, v in bodies.items() if v is not None}  # a report without aggregates is left out
+    assert [json.loads(r.agg_json)["agg_json"] for r in store.aggregates.collect()] == [metrics]
+    flows = totals.stored_totals(unpack.unpack_flows(store.flows, cluster.ServerConfig()))
+    got = flows.select("flow_id", "flow_progress", "flow_cpu_millis", "flow_gc_millis", totals.aggregate_or(F.col("aggregated"), "mine", -1.0))
+    assert rows(got) == [("a1", 12.5, 9007199254740993, None, 0.1), ("a2", None, None, 12, -1.0), ("a4", None, 12, None, -1.0)]
+
+
 def test_words_and_hooks(spark, tmp_path):
     (tmp_path / "in.txt").write_text("Apple bee bee\nzoo APPLE, it's\n")
     counts = words.word_count(read_lines(spark, str(tmp_path / "in.txt")))

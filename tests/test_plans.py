@@ -131,3 +131,35 @@ def test_paths_of_separate_edges_are_not_all_pairs(spark):
     edges = spark.range(200).selectExpr("'f' as flow_id", "cast(id * 2 as int) as src_stage", "cast(id * 2 + 1 as int) as dest_stage")
     sources = edges.selectExpr("flow_id", "src_stage as source")
     assert graph.shortest_paths(edges, sources).count() == 400
+
+
+def rows_scanned(df) -> int:
+    """Rows that the scan of a plan gave out, after row groups were skipped."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return leaves.apply(0).metrics().apply("numOutputRows").value()
+
+
+def test_a_lookup_reads_few_row_groups(spark, tmp_path):
+    """A store of many row groups sorted by date, whose flow ids lie anywhere."""
+    ids = spark.range(60_000).repartition(1).select(F.md5(F.col("id").cast("string")).alias("flow_id"), F.col("id").alias("update_date"))
+    names = {"found": ["flow_id"], "plain": []}
+    for name, find in names.items():
+        options = {"parquet.block.size": str(1 << 16), "parquet.page.size": str(1 << 13), "parquet.block.size.row.check.min": "100", "parquet.page.size.row.check.min": "100"}
+        write_table(ids, str(tmp_path), name, "update_date", find, **options)
+    wanted = ids.where("update_date = 777").first()["flow_id"]
+    read = {name: select.flow_by_id(spark.read.parquet(f"{tmp_path}/{name}"), wanted) for name in names}
+    assert [r["update_date"] for r in read["found"].collect()] == [777] == [r["update_date"] for r in read["plain"].collect()]
+    assert rows_scanned(read["plain"]) > 40_000
+    assert rows_scanned(read["found"]) < 6_000
+    missing = select.flow_by_id(spark.read.parquet(f"{tmp_path}/found"), "0" * 32)
+    assert missing.count() == 0 and rows_scanned(missing) < 6_000
+
+
+def test_a_lookup_in_a_bucketed_store_reads_one_bucket(spark, tmp_path):
+    from jobmetrics.sources.buckets import BucketedTable
+
+    table = BucketedTable(spark, str(tmp_path / "flows"), "flow_id string, update_date bigint", ["flow_id"], 16)
+    table.write(spark.range(16_000).select(F.md5(F.col("id").cast("string")).alias("flow_id"), F.col("id").alias("update_date")))
+    text = plan(select.flow_by_id(table.read(), "0" * 32))
+    assert "SelectedBucketsCount: 1 out of 16" in text
