@@ -151,6 +151,8 @@ def _(t):
 
 
 PARTS = 3
+#: Of the streams' state, for tables of this size.
+BUCKETS = 8
 
 
 def in_parts(df, order):
@@ -171,7 +173,7 @@ def _(t):
     for part in in_parts(lines, "seq"):
         lines.filter(part).select("value").write.mode("append").text(source)
         feed = feeds.read_feed(t.spark, source, AGG_DOC, stream=True)
-        streams.tolerant_stream(feed, out, log, checkpoint, refresh=None).awaitTermination()
+        streams.tolerant_stream(feed, out, log, checkpoint, refresh=None, buckets=BUCKETS).awaitTermination()
     kept = t.spark.read.parquet(out)
     return kept.select("flow_id", F.col("body.epoch_ms").alias("epoch_ms"), "seq")
 
@@ -192,10 +194,10 @@ def _(t):
     )
 
     def start(stream, path):
-        return streams.upsert_stream(stream, f"{path}/log", f"{path}/checkpoint", ["step_id"], ARRIVAL, refresh=None, every=2)
+        return streams.upsert_stream(stream, f"{path}/log", f"{path}/checkpoint", ["step_id"], ARRIVAL, refresh=None, every=2, buckets=BUCKETS)
 
     path = run_in_parts(t, updates, "arrived", "step-state", start)
-    return streams.read_state(t.spark, f"{path}/log", updates.schema, ["step_id"], ARRIVAL).drop(*ARRIVAL)
+    return streams.read_state(t.spark, f"{path}/log", updates.schema, ["step_id"], ARRIVAL, BUCKETS).drop(*ARRIVAL)
 
 
 @query("r5_stream_changes", CHANGED_SQL)
@@ -205,7 +207,7 @@ def _(t):
 
     def start(stream, path):
         return streams.changed_steps_stream(
-            stream, f"{path}/out", f"{path}/log", f"{path}/checkpoint", ARRIVAL, "month", refresh=None, every=2
+            stream, f"{path}/out", f"{path}/log", f"{path}/checkpoint", ARRIVAL, "month", refresh=None, every=2, buckets=BUCKETS
         )
 
     path = run_in_parts(t, updates, "arrived", "changes", start)
@@ -218,10 +220,10 @@ def _(t):
     keys = ["epoch_ms", "flow_id"]
 
     def start(stream, path):
-        return streams.upsert_stream(stream, f"{path}/log", f"{path}/checkpoint", keys, ["seq"], refresh=None, every=2)
+        return streams.upsert_stream(stream, f"{path}/log", f"{path}/checkpoint", keys, ["seq"], refresh=None, every=2, buckets=BUCKETS)
 
     path = run_in_parts(t, snapshots, "seq", "snapshots", start)
-    state = streams.read_state(t.spark, f"{path}/log", snapshots.schema, keys, ["seq"])
+    state = streams.read_state(t.spark, f"{path}/log", snapshots.schema, keys, ["seq"], BUCKETS)
     return state.select("flow_id", "epoch_ms", "metric", "payload")
 
 

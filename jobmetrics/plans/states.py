@@ -166,7 +166,7 @@ def _(t):
 def _(t):
     updates = agg_updates(t)
     half = F.col("at_ms") < 1705000000000
-    table = bucketed(updates, "snapshots", "epoch_ms bigint, flow_id string, metric string, payload string", state.AGG_KEYS)
+    table = bucketed(updates, "snapshots", "epoch_ms bigint, flow_id string, metric double, payload string", state.AGG_KEYS)
     for part in (half, ~half):
         buckets.upsert_agg(table, updates.filter(part), ["at_ms", "seq"])
     return table.read()

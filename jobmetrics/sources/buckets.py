@@ -45,10 +45,14 @@ class BucketedTable:
     def at(self, before: int | None = None) -> BucketedTable:
         """Show the state before a version, or the newest one."""
         wanted = self.newest(before)
-        for bucket in sorted(self._places.keys() - wanted.keys()):
-            self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION ({BUCKET}={bucket})")
-        for bucket, version in sorted(wanted.items() - self._places.items()):
-            self._point(bucket, version)
+        gone = sorted(b for b, version in self._places.items() if wanted.get(b) != version)
+        new = sorted(wanted.items() - self._places.items())
+        # The table's files are its own matter: dropping a partition leaves them where they are.
+        if gone:
+            self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS " + ", ".join(f"PARTITION ({BUCKET}={b})" for b in gone))
+        if new:
+            places = (f"PARTITION ({BUCKET}={b}) LOCATION '{self.path}/version={version}/{BUCKET}={b}'" for b, version in new)
+            self.spark.sql(f"ALTER TABLE {self.name} ADD " + " ".join(places))
         self._places = wanted
         return self
 
@@ -69,11 +73,6 @@ class BucketedTable:
             f"CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
 
-    def _point(self, bucket: int, version: int) -> None:
-        place = f"{self.path}/version={version}/{BUCKET}={bucket}"
-        self.spark.sql(f"ALTER TABLE {self.name} ADD IF NOT EXISTS PARTITION ({BUCKET}={bucket}) LOCATION '{place}'")
-        self.spark.sql(f"ALTER TABLE {self.name} PARTITION ({BUCKET}={bucket}) SET LOCATION '{place}'")
-
     def _glob(self, pattern: str) -> list[str]:
         """Paths below the table's folder."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs

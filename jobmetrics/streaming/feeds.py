@@ -152,7 +152,7 @@ def failure_counts(rejects: DataFrame, limit: int = MAX_FAILURES) -> DataFrame:
 
 
 def tolerant_stream(
-    feed: DataFrame, out: str, log: str, checkpoint: str, limit: int = MAX_FAILURES, refresh: str | None = REFRESH
+    feed: DataFrame, out: str, log: str, checkpoint: str, limit: int = MAX_FAILURES, refresh: str | None = REFRESH, buckets: int = BUCKETS
 ) -> StreamingQuery:
     """Readable reports of ``feed`` (envelopes with flow_id and seq), batch by batch, of flows that are still tracked.
 
@@ -162,7 +162,7 @@ def tolerant_stream(
     """
     spark = feed.sparkSession
     kinds = {"n_failed": IntegerType(), "ended": BooleanType(), "update_date": IntegerType(), "create_date": IntegerType()}
-    state = Log(spark, log, StructType([feed.schema["flow_id"], *(StructField(name, kind) for name, kind in kinds.items())]), ["flow_id"], [])
+    state = Log(spark, log, StructType([feed.schema["flow_id"], *(StructField(name, kind) for name, kind in kinds.items())]), ["flow_id"], [], buckets=buckets)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
@@ -208,6 +208,7 @@ def changed_steps_stream(
     bucket: str,
     refresh: str | None = REFRESH,
     every: int = COMPACT_EVERY,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Streaming form of ``changed_steps``, written to ``out`` batch by batch.
 
@@ -216,7 +217,7 @@ def changed_steps_stream(
     """
     spark = updates.sparkSession
     narrow = updates.select("step_id", "step_status", *seq, F.lit(0).alias("update_date"), F.lit(0).alias("create_date"))
-    state = Log(spark, log, narrow.schema, ["step_id"], seq, every)
+    state = Log(spark, log, narrow.schema, ["step_id"], seq, every, buckets)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
