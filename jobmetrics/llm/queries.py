@@ -153,6 +153,45 @@ QUERIES: dict[str, Query] = {
 }
 #: Where SQL can say what an operator finds; all are held against a brute-force version in tests/llm besides.
 SQL: dict[str, str] = {
+    "op1_minhash": r"""
+        with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        shingles as (select distinct doc_id, unnest(case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+            else w end) as s from words),
+        sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+        shared as (select x.doc_id as a, y.doc_id as b, count(*) as c from shingles x join shingles y on x.s = y.s and x.doc_id < y.doc_id group by all),
+        links as (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+        ways as (select a, b from links union all select b, a from links),
+        reached as (select a, b from ways union select r.a, w.b from reached r join ways w on w.a = r.b),
+        smallest as (select a as doc_id, min(b) as b from reached group by a)
+        select doc_id, coalesce(n, 0) as n_shingles, least(doc_id, coalesce(b, doc_id)) as component_id, doc_id <= coalesce(b, doc_id) as kept
+        from words left join sizes using (doc_id) left join smallest using (doc_id)""",
+    "op7_chat": r"""
+        with turns as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        marked as (select *, replace(replace(role, '\', '\\'), '<|', '<\|') as r, replace(replace(text, '\', '\\'), '<|', '<\|') as t from turns)
+        select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+            cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+            sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+            cast(sum(length('<|start|>' || r || '<|text|>' || t || '<|end|>')) as bigint) as formatted_chars
+        from marked group by conv_id""",
+    "op9_decontamination": r"""
+        with docs as (select row_number() over () as id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+        items as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+        starts as (select item_id, w, least(len(w), 10) as size, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from items where len(w) > 0),
+        windows as (select distinct item_id, size, array_to_string(w[i:i + size - 1], ' ') as x from starts),
+        sizes as (select distinct size from windows),
+        spots as (select id, w, size, unnest(range(1, len(w) - size + 2)) as i from docs, sizes where len(w) >= size),
+        found as (select id, size, i, array_to_string(w[i:i + size - 1], ' ') as x from spots),
+        hits as (select id, i, f.size, item_id from found f join windows using (size, x)),
+        covered as (select id, count(distinct p) as n from (select id, unnest(range(i, i + size)) as p from hits) group by id),
+        named as (select id, list_sort(list(distinct cast(item_id as varchar))) as ids from hits where item_id is not null group by id)
+        select doc_id, len(w) as n_words, coalesce(n, 0) as n_hit, coalesce(len(ids), 0) as n_items,
+            sha256(coalesce(array_to_string(ids, ','), '')) as items_sha256, coalesce(n, 0) > 0 as contaminated
+        from docs left join covered using (id) left join named using (id)""",
     "op12_collocations": r"""
         with pieces as (
             select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
