@@ -349,3 +349,11 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str | None = No
             stage.drop(f"state-{r}", "hops", "start")
             return settled.read().select(*keys, "best.distance", "best.predecessor")
         r += 1
+
+
+def all_distances(edges: DataFrame, weight: str | None = None) -> DataFrame:
+    """``shortest_paths`` from every vertex: (flow_id, source, stage, distance, predecessor) of all pairs of which one reaches the other.
+
+    A flow of n vertices gives up to n^2 rows, spread over as many tasks as there are partitions; pass the flows that are wanted.
+    """
+    return shortest_paths(edges, vertices(edges).withColumnRenamed("stage", "source"), weight)

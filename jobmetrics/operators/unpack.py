@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobmetrics.functions import names
 from jobmetrics.functions.numbers import duration_text, half_up
@@ -34,12 +35,24 @@ def unpack_flows(flows: DataFrame, config: ServerConfig, mapping: DataFrame | No
     return describe_flows(parsed.select(*keys, *fields), config, mapping)
 
 
-def counter_columns(steps: DataFrame, totals: bool = False) -> DataFrame:
-    """Step columns from the counters map; ``totals`` adds those that only the totals of a flow need."""
-    wanted = {**STEP_COUNTERS, **TOTAL_ONLY_COUNTERS} if totals else STEP_COUNTERS
+def _wanted(totals: bool) -> dict[str, tuple[str, str]]:
+    return {**STEP_COUNTERS, **TOTAL_ONLY_COUNTERS} if totals else STEP_COUNTERS
+
+
+def _tracked(totals: bool) -> T.StructType:
+    """A step's document with the tracked counters as fields, in place of a map of all."""
+    groups: dict[str, T.StructType] = {}
+    for group, key in _wanted(totals).values():
+        groups.setdefault(group, T.StructType()).add(key, T.LongType())
+    counters = T.StructType([T.StructField(group, fields) for group, fields in groups.items()])
+    return T.StructType([T.StructField("counters", counters) if f.name == "counters" else f for f in STEP_DOC])
+
+
+def counter_columns(steps: DataFrame, totals: bool = False, counters: str = "counters") -> DataFrame:
+    """Step columns from the counters map (or struct); ``totals`` adds those that only the totals of a flow need."""
     columns = {
-        name: counter(F.col("counters"), group, key, None if name in NULLABLE_COUNTERS else 0)
-        for name, (group, key) in wanted.items()
+        name: counter(F.col(counters), group, key, None if name in NULLABLE_COUNTERS else 0)
+        for name, (group, key) in _wanted(totals).items()
     }
     out = steps.withColumns(columns)
     return out.withColumns(
@@ -51,13 +64,19 @@ def counter_columns(steps: DataFrame, totals: bool = False) -> DataFrame:
 
 
 def unpack_steps(steps: DataFrame, totals: bool = False) -> DataFrame:
-    """Parse step_json into columns and read the tracked counters."""
+    """Parse step_json into columns and read the tracked counters, which the parser takes as fields.
+
+    ``counters``, the map of all counters, is parsed apart, and only where it is used.
+    """
     keys = ["flow_id", "create_date", "update_date"]
-    parsed = steps.select(*keys, F.from_json("step_json", STEP_DOC).alias("doc")).select(*keys, "doc.*")
+    parsed = steps.select(*keys, "step_json", F.from_json("step_json", _tracked(totals)).alias("doc"))
+    every = F.from_json("step_json", T.StructType([STEP_DOC["counters"]]))["counters"]
+    fields = [F.col(f"doc.{name}") for name in STEP_DOC.names if name != "counters"]
+    parsed = parsed.select(*keys, *fields, every.alias("counters"), F.col("doc.counters").alias("_tracked"))
     parsed = parsed.withColumn(
         "config_props", F.coalesce("config_props", F.from_json(F.lit("{}"), "map<string,string>"))
     )
-    return counter_columns(parsed, totals)
+    return counter_columns(parsed, totals, "_tracked").drop("_tracked")
 
 
 def steps_by_number(steps: DataFrame, order: Sequence[str], sort: bool = True) -> DataFrame:

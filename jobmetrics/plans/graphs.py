@@ -126,6 +126,20 @@ def _(t):
     return graph.shortest_paths(edges, roots.distinct())
 
 
+@query(
+    "g8_all_distances",
+    DISTANCES,
+    {
+        "weighted": "select *, cast(1 as bigint) as weight from edges",
+        "starts": "select flow_id, src_stage as source from edges union select flow_id, dest_stage from edges",
+        "paths": PATHS,
+    },
+)
+def _(t):
+    """Hop distances of all pairs of steps of which one reaches the other."""
+    return graph.all_distances(cut(t.edges))
+
+
 # DOT text: node names differ from stages, and ids are hexadecimal.
 def dot_lines(t):
     node = F.col("step_number") + 100
