@@ -33,10 +33,11 @@ def read_dot(spark: SparkSession, path: str, flow_id: str = r"([^/]+)\.[^./]*$")
 
 
 def read_numbered_dot(spark: SparkSession, path: str, flow_id: str = r"([^/]+)\.[^./]*$") -> DataFrame:
-    """As ``read_dot``, with ``line_no``. A file is read whole, by one task, for the sake of its order."""
-    files = spark.read.text(path, wholetext=True)
+    """As ``read_dot``, with ``line_no``, by which the lines of a file have their order: where their split of the file begins, and
+    their place in it. A split is read by one task from front to back, so files of any size are split here too."""
     name = F.regexp_extract(F.url_decode(F.regexp_replace(F.input_file_name(), r"\+", "%2B")), flow_id, 1)
-    lines = files.select(name.alias("flow_id"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"))
+    lines = spark.read.text(path).select(name.alias("flow_id"), place.alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line"))
     return lines.filter(F.col("flow_id") != "")
 
 

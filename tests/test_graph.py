@@ -169,6 +169,27 @@ def test_dot(spark, tmp_path):
     assert {tuple(r) for r in dot_edges(lines, last_line_wins=True).collect()} == full - {(g, 11, 22) for g in "GH"}
 
 
+def test_order_of_lines_in_files_of_many_splits(spark, tmp_path):
+    """The last line of each node counts, in a file that many tasks read."""
+    rng = random.Random(6)
+    lines = ["digraph G {", *(f'  {n} [label = "{n}_{n:04X}"];' for n in range(200))]
+    last = {}
+    for _ in range(5000):
+        node, targets = rng.randrange(200), sorted({rng.randrange(200) for _ in range(3)})
+        last[node] = targets
+        lines.append(f"  {node} -> {' '.join(map(str, targets))};")
+    (tmp_path / "G.txt").write_text("\n".join([*lines, "}"]) + "\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        read = read_numbered_dot(spark, str(tmp_path))
+        assert read.rdd.getNumPartitions() > 8
+        got = {tuple(r) for r in dot_edges(read, last_line_wins=True).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == {("G", node, target) for node, targets in last.items() for target in targets}
+
+
 def test_dot_with_many_targets(spark):
     lines = [("G", 0, ' 1 [label = "5_A"];'), ("G", 1, ' 2 [label = "6_B"];'), ("G", 2, ' 3 [label = "7_C"];'), ("G", 3, " 1 -> 2 \t3 ;")]
     df = spark.createDataFrame(lines, "flow_id string, line_no int, line string")
