@@ -115,6 +115,7 @@ def step_tips(steps: DataFrame) -> DataFrame:
     rack = F.coalesce(text(_share("rack_local_map_tasks")), F.lit("?"))
     (tasks, reduces), (io_r, io_w) = both("tasks"), both("io_secs")
     (vc_m, vc_r), (cpu, gc) = both("vcore_secs"), both("cpu_gc_secs")
+    # The wording of the tips.
     tips = {
         "tasks": tip(tasks, " Map Tasks, ", reduces, " Reduce Tasks", "used in"),
         "locality": tip(local, "% Node Local Mappers, ", rack, "% Rack Local Mappers"),
