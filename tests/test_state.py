@@ -226,3 +226,35 @@ def test_lookup_by_keys_of_any_type(spark):
 def test_lag_keeps_null_values(spark):
     df = spark.createDataFrame([("k", 0, 1, "x"), ("k", 0, 2, None), ("k", 1, 3, "y")], "k string, slice int, at int, v string")
     assert {r.at: r.p for r in lag_in_slices(df, ["k"], "slice", ["at"], "v", "p").collect()} == {1: None, 2: "x", 3: None}
+
+
+def test_timed_trigger_takes_up_what_arrives_while_it_runs(spark, tmp_path):
+    """The stream runs on at its interval, and a final flush takes what came after it was stopped."""
+    import time
+
+    source, log, checkpoint = (str(tmp_path / x) for x in ("in", "log", "checkpoint"))
+    schema = "step_id string, step_status string, seq bigint, update_date bigint"
+
+    def arrive(*rows_):
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(source)
+
+    def state_now():
+        stream = spark.readStream.schema(schema).parquet(source)
+        return rows(streams.read_state(spark, log, stream.schema, ["step_id"], ["seq"], 2).select("step_id", "step_status", "create_date"))
+
+    arrive(("a", "PENDING", 1, 10))
+    stream = spark.readStream.schema(schema).parquet(source)
+    query = streams.upsert_stream(stream, log, checkpoint, ["step_id"], ["seq"], refresh="1 seconds", buckets=2)
+    try:
+        query.processAllAvailable()
+        assert query.isActive and state_now() == [("a", "PENDING", 10)]
+        arrive(("a", "RUNNING", 2, 20), ("b", "PENDING", 3, 20))
+        limit = time.time() + 60
+        while time.time() < limit and len(state_now()) < 2:
+            time.sleep(0.5)
+        assert state_now() == [("a", "RUNNING", 10), ("b", "PENDING", 20)]
+    finally:
+        query.stop()
+    arrive(("a", "DONE", 4, 30))
+    streams.upsert_stream(stream, log, checkpoint, ["step_id"], ["seq"], refresh=None, buckets=2).awaitTermination()
+    assert state_now() == [("a", "DONE", 10), ("b", "PENDING", 20)]
