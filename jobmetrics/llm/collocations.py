@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from jobmetrics.llm.batches import arrow_map, arrow_schema, chunks, mix
+from jobmetrics.llm.batches import arrow_map, arrow_schema, chunks, mix, prefix_hashes, span_hashes
 from jobmetrics.operators.skew import lookup, top_per_key
 from jobmetrics.runtime import Stage
 
@@ -98,27 +98,26 @@ class _Spots:
     """Where the phrases of each length begin in the texts of one language, with their hashes and when they were reached."""
 
     def __init__(self, lang: str, texts: list[bytes], filters: list[Filter]):
-        data = _BREAK.join(texts).translate(TABLE).replace(_BREAK, b" " + _BREAK + b" ")
-        number, words = _Numbers({_BREAK: 0}), data.split()
-        self.ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        self.words = [b"", *list(number)[1:]]
-        seed = xxhash.xxh32_intdigest(lang.encode())
-        self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))
-        self.filters = filters
+        self.data, self.filters = _BREAK.join(texts).translate(TABLE), filters
+        buf = np.frombuffer(self.data, np.uint8)
+        inside = np.zeros(len(buf) + 2, np.int8)
+        inside[1:-1] = (buf != 32) & (buf != _BREAK[0])
+        step = np.diff(inside)
+        starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        self.piece = np.searchsorted(np.flatnonzero(buf == _BREAK[0]), starts)
+        self.hashes = mix(span_hashes(prefix_hashes(buf), starts, ends) + np.uint64(xxhash.xxh32_intdigest(lang.encode())))
 
     def lengths(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """size, then by position: inside a piece, hash, stop at which both parts were reached, stop at which it was itself."""
-        ids = self.ids
-        here, h = ids != 0, self.hashes[ids]
-        at = self.filters[0].reached(self.hashes)[ids]
-        yield 1, here, h, np.zeros(len(ids), np.uint8), at
+        n, h, at = len(self.piece), self.hashes, self.filters[0].reached(self.hashes)
+        yield 1, np.ones(n, bool), h, np.zeros(n, np.uint8), at
         for size in range(2, len(self.filters) + 1):
-            m = len(ids) - size + 1
+            m = n - size + 1
             if m <= 0:
                 return
             since = np.maximum(at[:m], at[1 : m + 1])
-            here = here[:m] & (ids[size - 1 :] != 0)
-            h = mix(h[:m] * _FACTOR + self.hashes[ids[size - 1 :]])
+            here = self.piece[:m] == self.piece[size - 1 :]
+            h = mix(h[:m] * _FACTOR + self.hashes[size - 1 :])
             at = np.full(m, _NEVER, np.uint8)
             known = np.flatnonzero(here & (since < _NEVER))
             at[known] = self.filters[size - 1].reached(h[known])
@@ -133,26 +132,30 @@ class _Spots:
                 yield found, size * 256 + since[active][first].astype(np.int64), n
 
     def counted(self) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-        """size, phrases and counts of all that has been reached; size 0 is the number of all words."""
-        names = pa.array(self.words, pa.binary()).cast(pa.string())
+        """size, phrases and counts of all that has been reached, by their words; size 0 is the number of all words."""
+        if not len(self.piece):
+            return
+        number, words = _Numbers(), self.data.replace(_BREAK, b" ").split()
+        ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        names = pa.array(list(number), pa.binary()).cast(pa.string())
+        yield 0, pa.array([""]), np.array([len(words)])
         for size, here, _, _, at in self.lengths():
-            if size == 1 and here.any():
-                yield 0, pa.array([""]), np.array([here.sum()])
             place = np.flatnonzero(here & (at != _NEVER))
-            code, first = self.ids[place], np.arange(len(place))
-            for k in range(1, size):
-                _, first, code, n = np.unique(code << 32 | self.ids[place + k], return_index=True, return_inverse=True, return_counts=True)
-            if size == 1:
-                _, first, n = np.unique(code, return_index=True, return_counts=True)
+            code = ids[place]
+            for k in range(1, size - 1):
+                code = np.unique(code << 32 | ids[place + k], return_inverse=True)[1]
+            if size > 1:
+                code = code << 32 | ids[place + size - 1]
+            _, first, n = np.unique(code, return_index=True, return_counts=True)
             if len(place):
-                parts = [names.take(pa.array(self.ids[place[first] + k])) for k in range(size)]
+                parts = [names.take(pa.array(ids[place[first] + k])) for k in range(size)]
                 yield size, pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0], n
 
 
-def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
+def _by_lang(batch: pa.RecordBatch, chunk_bytes: int = 1 << 21) -> Iterator[tuple[str, list[bytes]]]:
     """Texts of each language in chunks."""
     langs, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
-    for low, high in chunks(texts, 1 << 21):
+    for low, high in chunks(texts, chunk_bytes):
         own: dict[str, list[bytes]] = {}
         for lang, text in zip(langs[low:high], texts.slice(low, high - low).to_pylist()):
             own.setdefault(lang, []).append(text)
@@ -164,7 +167,7 @@ def _scan(shard: DataFrame, shared: Broadcast, stop: int, shards: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, texts in _by_lang(batch):
+            for lang, texts in _by_lang(batch, 1 << 20):
                 for h, tag, n in _Spots(lang, texts, shared.value).open_(stop, shards):
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(tag.astype(np.int32)), pa.array(n)], schema=target)
 
