@@ -25,12 +25,20 @@ def envelope(df, body, received, seq, *more):
 
 
 def posted(t, df, name):
-    """Write envelopes as JSON lines and give the path."""
+    """Write envelopes as gzipped JSON lines and give the path; readers take them by their extension."""
     path = scratch_path(t.spark, name)
-    df.write.json(path)
+    df.write.option("compression", "gzip").json(path)
     return path
 
 
+def removed(t, *paths):
+    """Delete posted feeds that nothing reads any more."""
+    conf = t.spark._jsc.hadoopConfiguration()
+    for name in paths:
+        path = t.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+
+
 @query(
     "s1_read_flow_updates",
     "select flow_id, flow_name, flow_status, user_name, flow_duration, tmp_dir, cast(flow_duration as double) as progress, "
@@ -250,6 +258,7 @@ def ingested(t):
     read = (feeds.read_flow_updates, feeds.read_step_updates, feeds.read_edges, feeds.read_agg)
     root = scratch_path(t.spark, "ingested")
     write_store(ingest(empty_store(t.spark), *[r(t.spark, p) for r, p in zip(read, paths)]), root)
+    removed(t, *paths)
     return load_store(t.spark, root)
 
 
