@@ -1,5 +1,7 @@
 """Queries: JSON feeds and stores (S1-S5), streams (R)."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from jobmetrics.operators import totals, unpack
@@ -31,6 +33,36 @@ def posted(t, df, name):
     return path
 
 
+#: Input bytes of a feed's part.
+PART_BYTES = 32 << 20
+
+
+def flow_parts(t, df):
+    """Conditions on flow_id that cut the flows into parts, one for every ``PART_BYTES`` of the files ``df`` reads."""
+    conf = t.spark._jsc.hadoopConfiguration()
+    size = 0
+    for name in df.inputFiles():
+        path = t.spark._jvm.org.apache.hadoop.fs.Path(name)
+        size += path.getFileSystem(conf).getFileStatus(path).getLen()
+    n = max(1, -(-size // PART_BYTES))
+    return [F.pmod(F.xxhash64("flow_id"), F.lit(n)) == i for i in range(n)]
+
+
+@contextmanager
+def shuffle_files_dropped(t):
+    """Shuffle files of the queries run inside are deleted as each ends, not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = t.spark.conf.get(key, None)
+    t.spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            t.spark.conf.unset(key)
+        else:
+            t.spark.conf.set(key, before)
+
+
 def removed(t, *paths):
     """Delete posted feeds that nothing reads any more."""
     conf = t.spark._jsc.hadoopConfiguration()
@@ -70,11 +102,17 @@ def _(t):
     # A report holds the steps of a flow that arrived together.
     reports = t.step_updates.select("flow_id", "arrived", "seq_a", step.alias("step"))
     reports = reports.groupBy("flow_id", "arrived", "seq_a").agg(F.collect_list("step").alias("steps"))
-    path = posted(t, envelope(reports, F.col("steps"), F.col("arrived"), F.col("seq_a")), "step-feed")
-    steps = unpack.counter_columns(feeds.read_step_updates(t.spark, path))
-    return steps.select(
-        "flow_id", "step_id", "step_number", "step_status", "map_progress", "has_reduce_stage", "cpu_millis", "gs_bytes_read", "seq"
-    )
+    envelopes = envelope(reports, F.col("steps"), F.col("arrived"), F.col("seq_a"))
+    root = scratch_path(t.spark, "step-updates")
+    # Flows are posted and read part by part, so that one part's feed and shuffle are on disk at a time.
+    columns = "flow_id", "step_id", "step_number", "step_status", "map_progress", "has_reduce_stage", "cpu_millis", "gs_bytes_read", "seq"
+    for part in flow_parts(t, t.step_updates):
+        with shuffle_files_dropped(t):
+            path = posted(t, envelopes.filter(part), "step-feed")
+        steps = unpack.counter_columns(feeds.read_step_updates(t.spark, path))
+        steps.select(*columns).write.mode("append").parquet(root)
+        removed(t, path)
+    return t.spark.read.parquet(root)
 
 
 @query("s3_read_edges", "select flow_id, src_stage, dest_stage from edges")

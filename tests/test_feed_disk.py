@@ -3,6 +3,7 @@
 import os
 
 from jobmetrics.plans import feeds as plans
+from jobmetrics.plans.all import QUERIES
 from jobmetrics.plans.tables import Tables
 from jobmetrics.runtime import scratch_root
 from jobmetrics.sources import feeds
@@ -27,3 +28,17 @@ def test_ingested_removes_its_feeds(spark):
     left = [d for d in os.listdir(root) if d.startswith(("all-flows-", "all-steps-", "all-edges-", "all-agg-"))]
     assert left == []
     assert store.steps.count() > 0
+
+
+def test_step_feed_read_in_parts_is_whole_and_leaves_no_feed(spark, monkeypatch):
+    monkeypatch.setattr(plans, "PART_BYTES", 1 << 14)
+    t = Tables(spark, SMALL)
+    assert len(plans.flow_parts(t, t.step_updates)) > 1
+    root = scratch_root(spark)
+    got = QUERIES["s2_read_step_updates"].run(t)
+    want = t.step_updates.selectExpr(
+        "flow_id", "step_id", "step_number", "step_status", "map_progress", "has_reduce_stage", "cpu_millis", "gs_bytes_read", "seq_a as seq"
+    )
+    assert got.count() == want.count()
+    assert got.exceptAll(want.select(*got.columns)).count() == 0
+    assert [d for d in os.listdir(root) if d.startswith("step-feed-")] == []
