@@ -37,15 +37,24 @@ def posted(t, df, name):
 PART_BYTES = 32 << 20
 
 
-def flow_parts(t, df):
-    """Conditions on flow_id that cut the flows into parts, one for every ``PART_BYTES`` of the files ``df`` reads."""
+def part_count(t, *dfs):
+    """One part for every ``PART_BYTES`` of the files that ``dfs`` read."""
     conf = t.spark._jsc.hadoopConfiguration()
     size = 0
-    for name in df.inputFiles():
+    for name in {name for df in dfs for name in df.inputFiles()}:
         path = t.spark._jvm.org.apache.hadoop.fs.Path(name)
         size += path.getFileSystem(conf).getFileStatus(path).getLen()
-    n = max(1, -(-size // PART_BYTES))
-    return [F.pmod(F.xxhash64("flow_id"), F.lit(n)) == i for i in range(n)]
+    return max(1, -(-size // PART_BYTES))
+
+
+def in_part(key, i, n):
+    return F.pmod(F.xxhash64(key), F.lit(n)) == i
+
+
+def flow_parts(t, df):
+    """Conditions on flow_id that cut the flows into ``part_count`` parts."""
+    n = part_count(t, df)
+    return [in_part("flow_id", i, n) for i in range(n)]
 
 
 @contextmanager
@@ -287,16 +296,22 @@ def ingested(t):
     step = F.struct("step_id", "step_number", "step_status", "map_progress", "has_reduce_stage", counters_struct(t).alias("counters"))
     edge = F.create_map(F.col("src_stage").cast("string"), F.array("dest_stage"))
     one = F.lit(1)
-    paths = [
-        posted(t, envelope(flows, body, F.col("create_date"), one), "all-flows"),
-        posted(t, envelope(t.step_updates, F.array(step), F.col("arrived"), F.col("seq_a") * 1_000_000 + F.col("seq_b")), "all-steps"),
-        posted(t, envelope(t.edges, edge, one, one), "all-edges"),
-        posted(t, agg_envelopes(t), "all-agg"),
-    ]
     read = (feeds.read_flow_updates, feeds.read_step_updates, feeds.read_edges, feeds.read_agg)
     root = scratch_path(t.spark, "ingested")
-    write_store(ingest(empty_store(t.spark), *[r(t.spark, p) for r, p in zip(read, paths)]), root)
-    removed(t, *paths)
+    # Each store has its own key, within a flow or a step; the parts are posted, ingested and stored apart, and read as one.
+    n = part_count(t, t.flows, t.steps, t.step_updates, t.edges, t.agg)
+    for i in range(n):
+        flow_part, step_part = in_part("flow_id", i, n), in_part("step_id", i, n)
+        with shuffle_files_dropped(t):
+            paths = [
+                posted(t, envelope(flows.filter(flow_part), body, F.col("create_date"), one), "all-flows"),
+                posted(t, envelope(t.step_updates.filter(step_part), F.array(step), F.col("arrived"), F.col("seq_a") * 1_000_000 + F.col("seq_b")), "all-steps"),
+                posted(t, envelope(t.edges.filter(flow_part), edge, one, one), "all-edges"),
+                posted(t, agg_envelopes(t).filter(flow_part), "all-agg"),
+            ]
+            write_store(ingest(empty_store(t.spark), *[r(t.spark, p) for r, p in zip(read, paths)]), f"{root}/{i}")
+        removed(t, *paths)
+    root = f"{root}/*"
     return load_store(t.spark, root)
 
 

@@ -42,3 +42,15 @@ def test_step_feed_read_in_parts_is_whole_and_leaves_no_feed(spark, monkeypatch)
     assert got.count() == want.count()
     assert got.exceptAll(want.select(*got.columns)).count() == 0
     assert [d for d in os.listdir(root) if d.startswith("step-feed-")] == []
+
+
+def test_ingested_in_parts_gives_the_whole_stores(spark, monkeypatch):
+    t = Tables(spark, SMALL)
+    whole = plans.ingested(t)
+    monkeypatch.setattr(plans, "PART_BYTES", 1 << 14)
+    assert plans.part_count(t, t.flows, t.step_updates) > 1
+    parted = plans.ingested(t)
+    for name in ("flows", "steps", "edges", "aggregates"):
+        a, b = getattr(whole, name), getattr(parted, name)
+        assert a.count() == b.count() > 0
+        assert a.exceptAll(b.select(*a.columns)).count() == 0
