@@ -54,3 +54,9 @@ def test_ingested_in_parts_gives_the_whole_stores(spark, monkeypatch):
         a, b = getattr(whole, name), getattr(parted, name)
         assert a.count() == b.count() > 0
         assert a.exceptAll(b.select(*a.columns)).count() == 0
+
+
+def test_ingested_stores_are_zstd(spark):
+    store = plans.ingested(Tables(spark, SMALL))
+    files = store.steps.inputFiles() + store.flows.inputFiles()
+    assert files and all(".zstd." in f for f in files)
