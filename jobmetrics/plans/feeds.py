@@ -1,8 +1,10 @@
 """Queries: JSON feeds and stores (S1-S5), streams (R)."""
 
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from jobmetrics.operators import totals, unpack
 from jobmetrics.operators.cluster import ARGS_KEY
@@ -12,7 +14,7 @@ from jobmetrics.plans.registry import query
 from jobmetrics.plans.series import history_sql
 from jobmetrics.plans.settings import CONFIG, DESCRIBED
 from jobmetrics.plans.states import CHANGED, CHANGED_SQL, STEP_STATE_SQL
-from jobmetrics.plans.tables import ARRIVAL
+from jobmetrics.plans.tables import ARRIVAL, STEP_COLUMNS, Tables
 from jobmetrics.plans.totals import LISTING_SQL, PROGRESS_SQL
 from jobmetrics.runtime import scratch_path
 from jobmetrics.schemas import AGG_DOC, FLOW_DOC
@@ -27,34 +29,76 @@ def envelope(df, body, received, seq, *more):
 
 
 def posted(t, df, name):
-    """Write envelopes as gzipped JSON lines and give the path; readers take them by their extension."""
+    """Write envelopes as gzipped JSON lines and give the path; readers take them by their extension. They are read once and
+    dropped, so the fastest level is enough."""
     path = scratch_path(t.spark, name)
-    df.write.option("compression", "gzip").json(path)
+    df.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").json(path)
     return path
 
 
 #: Input bytes of a feed's part.
 PART_BYTES = 32 << 20
+#: Each part has fixed costs, which must not add up over a large input: beyond this many, parts grow instead.
+MOST_PARTS = 24
+#: Parts at work at a time, so that one part's last tasks leave no cores idle.
+IN_FLIGHT = 2
 
 
 def part_count(t, *dfs):
-    """One part for every ``PART_BYTES`` of the files that ``dfs`` read."""
+    """One part for every ``PART_BYTES`` of the files that ``dfs`` read, up to ``MOST_PARTS``."""
     conf = t.spark._jsc.hadoopConfiguration()
     size = 0
     for name in {name for df in dfs for name in df.inputFiles()}:
         path = t.spark._jvm.org.apache.hadoop.fs.Path(name)
         size += path.getFileSystem(conf).getFileStatus(path).getLen()
-    return max(1, -(-size // PART_BYTES))
+    return max(1, min(MOST_PARTS, -(-size // PART_BYTES)))
 
 
 def in_part(key, i, n):
     return F.pmod(F.xxhash64(key), F.lit(n)) == i
 
 
+class Part(Tables):
+    """The tables of a directory with only the rows of one part where ``split`` cut them."""
+
+    def __init__(self, t, cut, i):
+        super().__init__(t.spark, t.sf_dir)
+        self.cut, self.i = cut, i
+
+    def raw(self, name):
+        if name not in self.cut:
+            return super().raw(name)
+        return self.cut[name][1].filter(F.col("_part") == self.i).drop("_part")
+
+    def drop(self):
+        """Delete the rows of this part."""
+        removed(self, *[f"{path}/_part={self.i}" for path, _ in self.cut.values()])
+
+
+def split(t, n, **keys):
+    """``n`` parts of the tables named in ``keys``, by the hash of the key expression given for each. Every row is written
+    to its part once, so the parts together read the input once, not each of them all of it. One part reads the tables in place."""
+    if n == 1:
+        return [Part(t, {}, 0)]
+    cut = {}
+    for name, key in keys.items():
+        raw, path = t.raw(name), scratch_path(t.spark, f"split-{name}")
+        raw.withColumn("_part", F.pmod(F.xxhash64(F.expr(key)), F.lit(n)).cast("int")).write.partitionBy("_part").parquet(path)
+        cut[name] = path, t.spark.read.schema(f"{raw.schema.toDDL()}, _part int").parquet(path)
+    return [Part(t, cut, i) for i in range(n)]
+
+
 def flow_parts(t, df):
-    """Conditions on flow_id that cut the flows into ``part_count`` parts."""
-    n = part_count(t, df)
-    return [in_part("flow_id", i, n) for i in range(n)]
+    """Parts of the steps by flow, one for every ``PART_BYTES`` that ``df`` reads."""
+    return split(t, part_count(t, df), lineitem=STEP_COLUMNS["flow_id"])
+
+
+def dealt_updates(t):
+    """The step updates, dealt to the tasks that group them into reports. The narrow input rows are moved; the derived columns
+    are computed after the shuffle."""
+    lineitem = t.raw("lineitem").withColumns({"ship_epoch": t._epoch("l_shipdate"), "flow": F.expr(STEP_COLUMNS["flow_id"])})
+    dealt = lineitem.repartition("flow", "ship_epoch", STEP_COLUMNS["seq_a"])
+    return dealt.selectExpr(*[f"{e} as {n}" for n, e in (STEP_COLUMNS | {"flow_id": "flow"}).items()])
 
 
 @contextmanager
@@ -72,6 +116,13 @@ def shuffle_files_dropped(t):
             t.spark.conf.set(key, before)
 
 
+def each_part(t, work, *parts):
+    """Call ``work`` with the number and the tables of each part, ``IN_FLIGHT`` at a time."""
+    with shuffle_files_dropped(t), ThreadPoolExecutor(IN_FLIGHT) as pool:
+        for _ in pool.map(inheritable_thread_target(t.spark)(work), range(len(parts[0])), *parts):
+            pass
+
+
 def removed(t, *paths):
     """Delete posted feeds that nothing reads any more."""
     conf = t.spark._jsc.hadoopConfiguration()
@@ -109,19 +160,20 @@ def _(t):
         "step_id", "step_number", "step_status", "map_progress", "has_reduce_stage", counters_struct(t).alias("counters")
     )
     # A report holds the steps of a flow that arrived together.
-    reports = t.step_updates.select("flow_id", "arrived", "seq_a", step.alias("step"))
-    reports = reports.groupBy("flow_id", "arrived", "seq_a").agg(F.collect_list("step").alias("steps"))
-    envelopes = envelope(reports, F.col("steps"), F.col("arrived"), F.col("seq_a"))
     root = scratch_path(t.spark, "step-updates")
-    # Flows are posted and read part by part, so that one part's feed and shuffle are on disk at a time.
+    # Flows are posted and read part by part, so that few parts' feeds and shuffles are on disk at a time.
     columns = "flow_id", "step_id", "step_number", "step_status", "map_progress", "has_reduce_stage", "cpu_millis", "gs_bytes_read", "seq"
-    for part in flow_parts(t, t.step_updates):
-        with shuffle_files_dropped(t):
-            path = posted(t, envelopes.filter(part), "step-feed")
-        steps = unpack.counter_columns(feeds.read_step_updates(t.spark, path))
-        steps.select(*columns).write.mode("append").parquet(root)
+
+    def read_part(i, part):
+        reports = dealt_updates(part).select("flow_id", "arrived", "seq_a", step.alias("step"))
+        reports = reports.groupBy("flow_id", "arrived", "seq_a").agg(F.collect_list("step").alias("steps"))
+        path = posted(t, envelope(reports, F.col("steps"), F.col("arrived"), F.col("seq_a")), "step-feed")
+        part.drop()
+        unpack.counter_columns(feeds.read_step_updates(t.spark, path)).select(*columns).write.parquet(f"{root}/{i}")
         removed(t, path)
-    return t.spark.read.parquet(root)
+
+    each_part(t, read_part, flow_parts(t, t.step_updates))
+    return t.spark.read.parquet(f"{root}/*")
 
 
 @query("s3_read_edges", "select flow_id, src_stage, dest_stage from edges")
