@@ -14,7 +14,7 @@ from jobmetrics.plans.registry import query
 from jobmetrics.plans.series import history_sql
 from jobmetrics.plans.settings import CONFIG, DESCRIBED
 from jobmetrics.plans.states import CHANGED, CHANGED_SQL, STEP_STATE_SQL
-from jobmetrics.plans.tables import ARRIVAL, STEP_COLUMNS, Tables
+from jobmetrics.plans.tables import AGG_COLUMNS, ARRIVAL, FLOW_COLUMNS, STEP_COLUMNS, Tables
 from jobmetrics.plans.totals import LISTING_SQL, PROGRESS_SQL
 from jobmetrics.runtime import scratch_path
 from jobmetrics.schemas import AGG_DOC, FLOW_DOC
@@ -54,10 +54,6 @@ def part_count(t, *dfs):
     return max(1, min(MOST_PARTS, -(-size // PART_BYTES)))
 
 
-def in_part(key, i, n):
-    return F.pmod(F.xxhash64(key), F.lit(n)) == i
-
-
 class Part(Tables):
     """The tables of a directory with only the rows of one part where ``split`` cut them."""
 
@@ -336,15 +332,6 @@ def _(t):
 
 def ingested(t):
     """All tables posted as reports, ingested into empty stores, written and loaded again."""
-    sums = totals.flow_totals(t.steps)
-    kept = F.struct(*sums.columns[1:]).alias("aggregated")
-    flow = F.struct(
-        *[c for c in FLOW_DOC.names if c in t.flows.columns and c != "flow_id"],
-        "aggregated",
-        F.create_map(F.lit(ARGS_KEY), F.col("job_args")).alias("config_props"),
-    )
-    flows = t.flows.join(sums.select("flow_id", kept), "flow_id", "left")
-    body = F.from_json(F.to_json(flow), FLOW_DOC)
     step = F.struct("step_id", "step_number", "step_status", "map_progress", "has_reduce_stage", counters_struct(t).alias("counters"))
     edge = F.create_map(F.col("src_stage").cast("string"), F.array("dest_stage"))
     one = F.lit(1)
@@ -352,19 +339,36 @@ def ingested(t):
     root = scratch_path(t.spark, "ingested")
     # Each store has its own key, within a flow or a step; the parts are posted, ingested and stored apart, and read as one.
     n = part_count(t, t.flows, t.steps, t.step_updates, t.edges, t.agg)
-    for i in range(n):
-        flow_part, step_part = in_part("flow_id", i, n), in_part("step_id", i, n)
-        with shuffle_files_dropped(t):
-            paths = [
-                posted(t, envelope(flows.filter(flow_part), body, F.col("create_date"), one), "all-flows"),
-                posted(t, envelope(t.step_updates.filter(step_part), F.array(step), F.col("arrived"), F.col("seq_a") * 1_000_000 + F.col("seq_b")), "all-steps"),
-                posted(t, envelope(t.edges.filter(flow_part), edge, one, one), "all-edges"),
-                posted(t, agg_envelopes(t).filter(flow_part), "all-agg"),
-            ]
-            write_store(ingest(empty_store(t.spark), *[r(t.spark, p) for r, p in zip(read, paths)]), f"{root}/{i}")
+    by_flow = split(t, n, orders=FLOW_COLUMNS["flow_id"], lineitem=STEP_COLUMNS["flow_id"], events=AGG_COLUMNS["flow_id"])
+    by_step = split(t, n, lineitem=STEP_COLUMNS["step_id"])
+
+    def store_part(i, flows, steps):
+        updates = envelope(steps.step_updates, F.array(step), F.col("arrived"), F.col("seq_a") * 1_000_000 + F.col("seq_b"))
+        paths = [
+            posted(t, flow_envelopes(flows), "all-flows"),
+            posted(t, updates, "all-steps"),
+            posted(t, envelope(flows.edges, edge, one, one), "all-edges"),
+            posted(t, agg_envelopes(flows), "all-agg"),
+        ]
+        flows.drop()
+        steps.drop()
+        write_store(ingest(empty_store(t.spark), *[r(t.spark, p) for r, p in zip(read, paths)]), f"{root}/{i}")
         removed(t, *paths)
-    root = f"{root}/*"
-    return load_store(t.spark, root)
+
+    each_part(t, store_part, by_flow, by_step)
+    return load_store(t.spark, f"{root}/*")
+
+
+def flow_envelopes(t):
+    """Flows as reports, each with the totals of its steps."""
+    sums = totals.flow_totals(t.steps)
+    kept = F.struct(*sums.columns[1:]).alias("aggregated")
+    body = F.struct(
+        *[c for c in FLOW_DOC.names if c in t.flows.columns and c != "flow_id"],
+        "aggregated",
+        F.create_map(F.lit(ARGS_KEY), F.col("job_args")).alias("config_props"),
+    )
+    return envelope(t.flows.join(sums.select("flow_id", kept), "flow_id", "left"), body, F.col("create_date"), F.lit(1))
 
 
 @query(

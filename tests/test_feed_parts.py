@@ -58,3 +58,20 @@ def test_parts_give_the_whole(tables, monkeypatch):
     assert {n: sorted(map(str, getattr(parted, n).select(*getattr(whole, n).columns).collect())) for n in names} == want
     again = QUERIES["s2_read_step_updates"].run(tables).select(*read.columns)
     assert sorted(map(str, again.collect())) == updates and len(updates) == 284
+
+
+def test_ingested_posts_each_row_from_its_part(spark, tables, monkeypatch):
+    monkeypatch.setattr(plans, "PART_BYTES", 4096)
+    plain, read, rows = plans.posted, [], []
+
+    def posted(t, df, name):
+        read.extend(df.inputFiles())
+        path = plain(t, df, name)
+        if name == "all-steps":
+            rows.append(spark.read.text(path).count())
+        return path
+
+    monkeypatch.setattr(plans, "posted", posted)
+    plans.ingested(tables)
+    assert len(rows) > 2 and sum(rows) == tables.raw("lineitem").count()
+    assert read and all("/split-" in f for f in read)
